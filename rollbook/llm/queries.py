@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from rollbook.llm import mixing, quality_rules
+from rollbook.llm import minhash, mixing, quality_rules, secret_scan
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_mixing": mixing.op7_mixing,
 }
