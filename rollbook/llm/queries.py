@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rollbook.llm import minhash, mixing, quality_rules, secret_scan
+from rollbook.llm import bpe, minhash, mixing, quality_rules, secret_scan, token_counts
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_token_counts": token_counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
+    "op8_bpe": bpe.op8_bpe,
 }
 ORACLE_SQL = {**quality_rules.ORACLE_SQL, **mixing.ORACLE_SQL}
