@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import WORD, cut
+from rollbook.llm.shared import WORD, cut, row_key
 
 #: Rule -> its metric over the columns of ``measures``, and candidate cutoffs from strict to lenient. Fixed values.
 RULES = {
@@ -111,6 +111,17 @@ def verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return joined.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & ~over).drop("known", *RULES)
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` keeps, whole. Rows that agree in id and text stay or go together: they stay
+    if one of them, in its own stratum, is kept."""
+    keyed = docs.withColumn("__key", row_key(doc_id, text))
+    good = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "quality")
+    # the verdicts go by row key; labels follow the ids to it
+    held = keyed.select(F.col(doc_id).alias("__id"), "__key").join(good, "__id").select(F.col("__key").alias("doc_id"), "quality")
+    kept = verdicts(keyed, held, "__key", text, stratum, **risk).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     got = verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
