@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from rollbook.llm import bpe, minhash, mixing, quality_mil, quality_rules, secret_scan, token_counts, toxicity
+from rollbook.llm import bpe, minhash, mixing, mtree, quality_mil, quality_rules, secret_scan, token_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_quality_mil": quality_mil.op2_quality_mil,
     "op3_minhash": minhash.op3_minhash,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_token_codec": token_codec.op5_token_codec,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_mixing": mixing.op7_mixing,
     "op8_bpe": bpe.op8_bpe,
+    "op9_mtree": mtree.op9_mtree,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-ORACLE_SQL = {**quality_rules.ORACLE_SQL, **mixing.ORACLE_SQL}
+ORACLE_SQL = {**quality_rules.ORACLE_SQL, **mixing.ORACLE_SQL, **mtree.ORACLE_SQL}
