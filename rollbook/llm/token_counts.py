@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from rollbook.llm.bpe import Bpe, load
 from rollbook.llm.shared import shuffle_parts
 
 #: Documents whose pre-tokens are packed together.
-BLOCK_DOCS = 10_000
+BLOCK_DOCS = 4_000
 #: Pre-tokens whose counts a task remembers before it starts anew.
 REMEMBERED = 500_000
 #: Stands for a null id inside the packed rows.
@@ -48,7 +49,7 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
        entry meets its count in a table no larger than the vocabulary; so the very frequent ones go no further.
     2. The others' frequencies are packed by block of documents and bucket of pre-tokens and shuffled by bucket: there
        every distinct pre-token is merged once, and its count joins all the documents that hold it.
-    3. The partial sums are added up by document.
+    3. The partial sums, still packed, are added up by block and then by document.
 
     Special strings in a text count one each. Null and empty texts: 0. Rows that share an id are parts of one
     document, which gets one row with their sums; rows without id are one document too. ``doc_id`` is integral.
@@ -84,43 +85,55 @@ def count_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                             else:
                                 where[word] += [row] * n
                     near[row] = total
-                yield pd.DataFrame([(-1, None, None, None, ids.tobytes(), near.tobytes(), size.tobytes())], columns=_PACKED)
+                key = hashlib.blake2b(ids.tobytes() + near.tobytes(), digest_size=16).digest()
+                yield pd.DataFrame([(-1, key, None, None, None, ids.tobytes(), near.tobytes(), size.tobytes())], columns=_PACKED)
                 dealt: dict[int, list[str]] = defaultdict(list)
                 for word in where:
                     dealt[_bucket(word, buckets)].append(word)
                 for bucket, words in dealt.items():
-                    held = np.array([r for w in words for r in where[w]], np.int64)
-                    own, local = np.unique(held, return_inverse=True)
-                    yield pd.DataFrame(
-                        [(bucket, words, np.array([len(where[w]) for w in words], np.int32).tobytes(), local.astype(np.int16).tobytes(), ids[own].tobytes(), None, None)], columns=_PACKED)
+                    times = np.array([len(where[w]) for w in words], np.int32)
+                    local = np.array([r for w in words for r in where[w]], np.int16)
+                    yield pd.DataFrame([(bucket, key, words, times.tobytes(), local.tobytes(), None, None, None)], columns=_PACKED)
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe, seen = load(path), {}
         for batch in batches:
-            for words, times, local, ids, near, size in zip(*(batch[c] for c in _PACKED[1:])):
-                own = np.frombuffer(ids, np.int64)
+            rows = []
+            for _, key, words, times, local, ids, near, size in zip(*(batch[c] for c in _PACKED)):
                 if words is None:
-                    yield _sums(own, np.frombuffer(near, np.int64), np.frombuffer(size, np.int64))
+                    rows.append((key, None, None, ids, near, size))
                     continue
                 if len(seen) > REMEMBERED:
                     seen.clear()
                 new = [w for w in words if w not in seen]
                 seen.update(zip(new, map(len, bpe.merge([w.encode("utf-8", "surrogateescape") for w in new]))))
                 each = np.repeat(np.array([seen[w] for w in words]), np.frombuffer(times, np.int32))
-                yield _sums(own, np.bincount(np.frombuffer(local, np.int16), each, len(own)).astype(np.int64), np.zeros(len(own), np.int64))
-
-    packed = rows.mapInPandas(pack, "bucket int, words array<string>, times binary, local binary, ids binary, near binary, size binary")
-    # bucket -1 holds what needs no join; it is dealt out by its own ids
-    dealt = packed.repartition(buckets, "bucket", F.when(F.col("bucket") == -1, F.xxhash64("ids")))
-    sums = dealt.mapInPandas(join, "doc_id long, n_bytes long, n_tokens long").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
+                sums = np.bincount(np.frombuffer(local, np.int16), each)
+                held = np.flatnonzero(sums)
+                rows.append((key, held.astype(np.int16).tobytes(), sums[held].astype(np.int64).tobytes(), None, None, None))
+            yield pd.DataFrame(rows, columns=["block", "local", "sums", "ids", "near", "size"])
+
+    def add(group: pd.DataFrame) -> pd.DataFrame:
+        head = group["ids"].notna().to_numpy()
+        ids = np.frombuffer(group["ids"][head].iloc[0], np.int64)
+        tokens, size = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for near, own in zip(group["near"][head], group["size"][head]):
+            tokens += np.frombuffer(near, np.int64)
+            size += np.frombuffer(own, np.int64)
+        for local, sums in zip(group["local"][~head], group["sums"][~head]):
+            tokens[np.frombuffer(local, np.int16)] += np.frombuffer(sums, np.int64)
+        return pd.DataFrame({"doc_id": ids, "n_bytes": size, "n_tokens": tokens})
+
+    packed = rows.mapInPandas(pack, "bucket int, block binary, words array<string>, times binary, local binary, ids binary, near binary, size binary")
+    # bucket -1 holds what needs no join; it is dealt out by its own block
+    dealt = packed.repartition(buckets, "bucket", F.when(F.col("bucket") == -1, F.col("block")))
+    counted = dealt.mapInPandas(join, "block binary, local binary, sums binary, ids binary, near binary, size binary")
+    # a block has at most BLOCK_DOCS documents, so its parts fit a task
+    sums = counted.groupBy("block").applyInPandas(add, "doc_id long, n_bytes long, n_tokens long").groupBy("doc_id").agg(F.sum("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
     return sums.select(F.when(F.col("doc_id") != int(NO_ID), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-_PACKED = ["bucket", "words", "times", "local", "ids", "near", "size"]
-
-
-def _sums(ids: np.ndarray, tokens: np.ndarray, size: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"doc_id": ids, "n_bytes": size, "n_tokens": tokens})
+_PACKED = ["bucket", "block", "words", "times", "local", "ids", "near", "size"]
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
