@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct probabilities of a group are dealt over so many parts, whose distributions are then combined.
@@ -64,27 +64,35 @@ def distributions(df: DataFrame, keys: list[str], q: str = "p_female", n: str |
     cells = df.withColumn("__q", ok).groupBy(*keys, "__q").agg(F.sum(weight).cast("long").alias("__n"))
     cells = cells.withColumn("__salt", F.pmod(F.xxhash64("__q"), F.lit(SALTS)))
     kinds = dict(cells.dtypes)
-    shape = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "draws long, offset long, mass array<double>"
-    whole = shape + ", mean double, var double"
+    shape = "".join(f"`{k}` {kinds[k]}, " for k in keys)
 
-    def head(group: pd.DataFrame) -> dict:
-        return {k: [group[k].iloc[0]] for k in keys}
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [_combined([(*_binomial(n, q), n * q, n * q * (1 - q)) for q, n in zip(*_pairs(own))]) for own in batch["__cells"]]
+            draws = [int(sum(_pairs(own)[1])) for own in batch["__cells"]]
+            yield batch[keys].assign(draws=draws, offset=[x[0] for x in made], mass=[x[1] for x in made], mean=[x[2] for x in made], var=[x[3] for x in made])
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            offsets, masses, draws = [], [], []
+            for own in batch["__parts"]:
+                offset, mass, _, _ = _combined([(x["offset"], np.asarray(x["mass"]), x["mean"], x["var"]) for x in own])
+                n = int(sum(x["draws"] for x in own))
+                if n <= WHOLE:
+                    mass, offset = np.concatenate((np.zeros(offset), mass, np.zeros(max(0, n + 1 - offset - len(mass))))), 0
+                offsets.append(offset), masses.append(mass), draws.append(n)
+            yield batch[keys].assign(draws=draws, offset=offsets, mass=masses)
 
-    def part(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(float(x), int(m)) for x, m in zip(group["__q"], group["__n"]) if x == x and x is not None]
-        offset, mass, mean, var = _combined([(*_binomial(m, x), m * x, m * x * (1 - x)) for x, m in rows])
-        return pd.DataFrame(head(group) | {"draws": [sum(m for _, m in rows)], "offset": [offset], "mass": [mass], "mean": [mean], "var": [var]})
+    whole = "draws long, offset long, mass array<double>"
+    parts = cells.groupBy(*keys, "__salt").agg(F.collect_list(F.struct(F.col("__q").alias("q"), F.col("__n").alias("n"))).alias("__cells"))
+    parts = parts.select(*keys, "__cells").mapInPandas(part, f"{shape}{whole}, mean double, var double")
+    gathered = parts.groupBy(*keys).agg(F.collect_list(F.struct("draws", "offset", "mass", "mean", "var")).alias("__parts"))  # SALTS at most
+    return gathered.mapInPandas(join, shape + whole)
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        offset, mass, mean, var = _combined([(o, np.asarray(x), m, v) for o, x, m, v in zip(group["offset"], group["mass"], group["mean"], group["var"])])
-        draws = int(group["draws"].sum())
-        if draws <= WHOLE:
-            mass = np.concatenate((np.zeros(offset), mass, np.zeros(max(0, draws + 1 - offset - len(mass)))))
-            offset = 0
-        return pd.DataFrame(head(group) | {"draws": [draws], "offset": [offset], "mass": [mass]})
 
-    parts = cells.groupBy(*keys, "__salt").applyInPandas(part, whole) if keys else cells.groupBy("__salt").applyInPandas(part, whole)
-    return parts.groupBy(*keys).applyInPandas(join, shape)
+def _pairs(cells) -> tuple[list[float], list[int]]:
+    known = sorted((x["q"], x["n"]) for x in cells if x["q"] is not None)
+    return [q for q, _ in known], [n for _, n in known]
 
 
 def cumulative(dist: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,12 +108,13 @@ def with_quantiles(dist: DataFrame, alphas: dict[str, float]) -> DataFrame:
     """``dist`` with a column per entry of ``alphas``: the least k whose cumulative mass reaches alpha, else the last k."""
     if any(not 0 <= a <= 1 for a in alphas.values()):
         raise ValueError("quantile outside [0, 1]")
-    for name, alpha in alphas.items():
-        reached = F.aggregate(
-            "mass", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below")),
-            lambda acc, x, a=alpha: F.struct((acc["sum"] + x).alias("sum"), (acc["below"] + F.when(acc["sum"] + x < a, 1).otherwise(0)).alias("below")), lambda acc: acc["below"])
-        dist = dist.withColumn(name, F.col("offset") + F.least(reached, F.size("mass") - 1))
-    return dist
+
+    def below(alpha: float) -> Column:
+        """How many of the masses, added up, stay under alpha."""
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), (acc["below"] + F.when(acc["sum"] + x < alpha, 1).otherwise(0)).alias("below"))
+        return F.aggregate("mass", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("below")), step, lambda acc: acc["below"])
+
+    return dist.withColumns({name: F.col("offset") + F.least(below(alpha), F.size("mass") - 1) for name, alpha in alphas.items()})
 
 
 def monte_carlo_difference(df: DataFrame, group: str, a: str, b: str, q: str = "p_female", iterations: int = 100_000, seed: int = 42) -> DataFrame:

@@ -52,7 +52,7 @@ def dist_sql(source: str, key: str) -> str:
     pts AS (SELECT key, n, unnest(range(0, n + 1)) AS l FROM sizes),
     cf AS (SELECT pts.key, pts.n, l, coalesce(sum(c * ln(greatest(sqrt((1 - q + q * cos(2 * pi() * l / (n + 1))) ** 2 + (q * sin(2 * pi() * l / (n + 1))) ** 2), 1e-300))), 0) AS size,
         coalesce(sum(c * atan2(q * sin(2 * pi() * l / (n + 1)), 1 - q + q * cos(2 * pi() * l / (n + 1)))), 0) AS turn FROM pts LEFT JOIN h ON pts.key = h.key AND q IS NOT NULL GROUP BY ALL),
-    mass AS (SELECT key, k, greatest(sum(exp(size) * cos(turn - 2 * pi() * ((l * k) % (n + 1)) / (n + 1))) / (n + 1), 0) AS mass FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM cf) GROUP BY key, k),
+    mass AS (SELECT key, k, greatest(sum(exp(size) * cos(turn - 2 * pi() * ((l * k) % (n + 1)) / (n + 1))) / (n + 1), 0) AS mass FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM cf) GROUP BY key, k, n),
     pmf AS (SELECT *, sum(mass) OVER (PARTITION BY key ORDER BY k) AS cdf FROM mass),
     bounds AS (SELECT key, coalesce(min(k) FILTER (cdf >= 0.025), max(k)) AS low, coalesce(min(k) FILTER (cdf >= 0.975), max(k)) AS high FROM pmf GROUP BY key)"""
 
@@ -83,16 +83,13 @@ REALS = {
 def even(df: DataFrame) -> DataFrame:
     """Real columns rounded to six places and counts as long, as the SQL side has them."""
     kinds = dict(df.dtypes)
+
     def one(c):
         if c in REALS:
-            return (F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c)
+            return (F.round(F.col(c).cast("double") + F.lit(1e-10), 6) + F.lit(0.0)).alias(c)
         return F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
-    return df.select(*[one(c) for c in df.columns])
 
-
-def rounded(columns: list[str]) -> str:
-    """The select list with the same rounding."""
-    return ", ".join(f"round({c}::DOUBLE, 6) + 0.0 AS {c}" if c in REALS else c for c in columns)
+    return df.select(*[one(c) for c in df.columns])
 
 
 ALL = list(summary.METRICS)
@@ -100,7 +97,7 @@ S4 = ["total", "resolvidos", "nao_identificados", "cobertura", "expected_female"
 
 
 def longs(columns: list[str], text_columns: tuple[str, ...]) -> str:
-    return ", ".join(c if c in text_columns else f"round({c}::DOUBLE, 6) + 0.0 AS {c}" if c in REALS else f"{c}::BIGINT AS {c}" for c in columns)
+    return ", ".join(c if c in text_columns else f"round({c}::DOUBLE + 1e-10, 6) + 0.0 AS {c}" if c in REALS else f"{c}::BIGINT AS {c}" for c in columns)
 
 
 WORDS = ("tipo_registro", "curso_normalizado", "periodo", "level", "curso", "agrupamento", "periodo_ingresso", "periodo_conclusao", "status", "grupo", "privacidade", "latest_graduation_period", "latest_graduation_period_course", "candidate_ids")
@@ -221,10 +218,10 @@ def hmac_token(spark, sf_dir):
 # --- filters and checks --------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {REG} SELECT record_id, curso_normalizado, periodo FROM registry WHERE tipo_registro = 'concluinte' AND curso_normalizado IN ('1 URGENT', '2 HIGH') AND period_idx BETWEEN 3986 AND 3991")
+@query(f"WITH {REG} SELECT record_id, curso_normalizado, periodo FROM registry WHERE tipo_registro = 'concluinte' AND curso_normalizado IN ('1 URGENT', '2 HIGH') AND period_idx BETWEEN 3992 AND 3997")
 def filters(spark, sf_dir):
     reg = bridge.registry(spark, sf_dir).where("tipo_registro = 'concluinte'").where(F.col("curso_normalizado").isin(text.keys_of(COURSES)))
-    return charts.in_range(reg, "periodo", "1993/1", "1995/2").select("record_id", "curso_normalizado", "periodo")
+    return charts.in_range(reg, "periodo", "1996/1", "1998/2").select("record_id", "curso_normalizado", "periodo")
 
 
 @query("""WITH p AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'other' WHEN 1 THEN NULL ELSE 'male' END AS gender, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 1.5 ELSE 0.5 END AS probability, CASE c_custkey % 3 WHEN 0 THEN -1 ELSE 1 END AS count FROM customer)
@@ -442,16 +439,16 @@ def publications_equal(spark, sf_dir):
     return quality.difference(rows, rows.repartition(3)).agg(F.count("*").alias("differences"))
 
 
-@query(f"WITH {PUBLIC_SQL} SELECT tipo_registro, sum(total)::BIGINT AS total, sum(resolvidos)::BIGINT AS resolvidos, sum(nao_identificados)::BIGINT AS nao_identificados, round(sum(expected_female), 6) + 0.0 AS expected_female, round(100 * sum(expected_female) / sum(resolvidos), 6) + 0.0 AS female_percent, round(100 * sum(resolvidos) / sum(total), 6) + 0.0 AS coverage_percent FROM public WHERE agrupamento = 'semestre' AND curso = 'Todos os cursos' AND periodo >= '1994/1' GROUP BY 1")
+@query(f"WITH {PUBLIC_SQL} SELECT tipo_registro, sum(total)::BIGINT AS total, sum(resolvidos)::BIGINT AS resolvidos, sum(nao_identificados)::BIGINT AS nao_identificados, round(sum(expected_female), 6) + 0.0 AS expected_female, round(100 * sum(expected_female) / sum(resolvidos), 6) + 0.0 AS female_percent, round(100 * sum(resolvidos) / sum(total), 6) + 0.0 AS coverage_percent FROM public WHERE agrupamento = 'semestre' AND curso = 'Todos os cursos' AND periodo >= '1997/1' GROUP BY 1")
 def dashboard_rollup(spark, sf_dir):
     rows = summary.public_rows(bridge.records(spark, sf_dir)).where((F.col("agrupamento") == "semestre") & (F.col("curso") == summary.ALL_COURSES))
-    return even(summary.dashboard_rollup(charts.in_range(rows, "periodo", "1994/1"), ["tipo_registro"]))
+    return even(summary.dashboard_rollup(charts.in_range(rows, "periodo", "1997/1"), ["tipo_registro"]))
 
 
-@query(f"WITH {PUBLIC_SQL} SELECT tipo_registro, curso, periodo, total::BIGINT AS total, CASE WHEN resolvidos > 0 THEN round(expected_female, 6) + 0.0 END AS expected_female FROM public WHERE agrupamento = 'semestre' AND curso = '1 URGENT' AND periodo BETWEEN '1993/1' AND '1996/2' ORDER BY curso, periodo")
+@query(f"WITH {PUBLIC_SQL} SELECT tipo_registro, curso, periodo, total::BIGINT AS total, CASE WHEN resolvidos > 0 THEN round(expected_female, 6) + 0.0 END AS expected_female FROM public WHERE agrupamento = 'semestre' AND curso = '1 URGENT' AND periodo BETWEEN '1996/1' AND '1999/2' ORDER BY curso, periodo")
 def dashboard_table(spark, sf_dir):
     rows = summary.public_rows(bridge.records(spark, sf_dir)).where((F.col("agrupamento") == "semestre") & (F.col("curso") == "1 URGENT"))
-    rows = charts.in_range(rows, "periodo", "1993/1", "1996/2").withColumn("expected_female", F.when(F.col("resolvidos") > 0, F.col("expected_female")))
+    rows = charts.in_range(rows, "periodo", "1996/1", "1999/2").withColumn("expected_female", F.when(F.col("resolvidos") > 0, F.col("expected_female")))
     return even(rows.orderBy("curso", periods.period_index(F.col("periodo"))).select("tipo_registro", "curso", "periodo", "total", "expected_female"))
 
 
@@ -532,33 +529,34 @@ RE, RM = "(resolved_entrants > 0 AND resolved_entrants < 60)", "(resolved_matche
 CASE WHEN NOT {M5} THEN expected_female_matched END AS expected_female_matched, CASE WHEN NOT {M5} THEN expected_male_matched END AS expected_male_matched), CASE WHEN {M5} THEN '{privacy.FEW_MATCHES}' END AS mark FROM cohorts),
 b AS (SELECT * REPLACE (CASE WHEN coalesce({RM.replace('< 9', '< 9')}, false) THEN NULL ELSE resolved_matched END AS resolved_matched, CASE WHEN coalesce({RM}, false) THEN NULL ELSE expected_female_matched END AS expected_female_matched,
 CASE WHEN coalesce({RM}, false) THEN NULL ELSE expected_male_matched END AS expected_male_matched, CASE WHEN coalesce({RM}, false) THEN '{privacy.FEW_COHORT}' ELSE mark END AS mark) FROM a)
-SELECT curso_normalizado, periodo_ingresso, n_ingressantes::BIGINT AS n_ingressantes, n_matches_exact_unique::BIGINT AS n_matches_exact_unique, resolved_matched::BIGINT AS resolved_matched, round(expected_female_matched, 6) + 0.0 AS expected_female_matched, round(match_proportion, 6) + 0.0 AS match_proportion, mark AS privacidade FROM b""")
+SELECT curso_normalizado, periodo_ingresso, n_ingressantes::BIGINT AS n_ingressantes, n_matches_exact_unique::BIGINT AS n_matches_exact_unique, resolved_matched::BIGINT AS resolved_matched, round(expected_female_matched, 6) + 0.0 AS expected_female_matched, round(match_proportion, 6) + 0.0 AS match_proportion, mark AS privacidade FROM b WHERE n_ingressantes >= 9
+UNION ALL SELECT curso_normalizado, periodo_ingresso, NULL, NULL, NULL, NULL, NULL, '{privacy.SMALL}' FROM cohorts WHERE n_ingressantes < 9""")
 def protect_cohorts(spark, sf_dir):
     rec = bridge.records(spark, sf_dir)
     rows = privacy.protect(cohorts.summarize_cohorts(rec, cohorts.match_cohorts(rec)), 9)
     return even(rows.select("curso_normalizado", "periodo_ingresso", "n_ingressantes", "n_matches_exact_unique", "resolved_matched", "expected_female_matched", "match_proportion", "privacidade"))
 
 
-@query(f"""WITH {REC}, {sums_sql(['tipo_registro', 'periodo'])}, a AS (SELECT * FROM stats WHERE tipo_registro = 'ingressante' AND periodo <> '1994/1'), b AS (SELECT * FROM stats WHERE tipo_registro = 'concluinte' AND periodo <> '1996/2')
+@query(f"""WITH {REC}, {sums_sql(['tipo_registro', 'periodo'])}, a AS (SELECT * FROM stats WHERE tipo_registro = 'ingressante' AND periodo <> '1997/1'), b AS (SELECT * FROM stats WHERE tipo_registro = 'concluinte' AND periodo <> '1996/2')
 SELECT periodo, round(a.female_percent_resolved, 6) + 0.0 AS female_percent_entrants, round(b.female_percent_resolved, 6) + 0.0 AS female_percent_graduates, round(b.female_percent_resolved - a.female_percent_resolved, 6) + 0.0 AS difference_pp_graduates_minus_entrants FROM a FULL JOIN b USING (periodo)""")
 def compare_periods(spark, sf_dir):
     rows = summary.summarize(bridge.records(spark, sf_dir), ["tipo_registro", "periodo"])
-    return even(summary.compare_periods(rows.where("tipo_registro = 'ingressante' AND periodo <> '1994/1'"), rows.where("tipo_registro = 'concluinte' AND periodo <> '1996/2'")))
+    return even(summary.compare_periods(rows.where("tipo_registro = 'ingressante' AND periodo <> '1997/1'"), rows.where("tipo_registro = 'concluinte' AND periodo <> '1996/2'")))
 
 
 CHART = ["tipo_registro", "periodo", "total", "female_percent_resolved", "lower_percent", "upper_percent", "coverage_percent"]
 
 
-@query(f"""WITH {REC}, part AS (SELECT * FROM records WHERE period_idx BETWEEN 3986 AND 3993 AND NOT (tipo_registro = 'concluinte' AND periodo = '1994/2')), {sums_sql(['tipo_registro', 'periodo'], 'part')}, x AS (SELECT * FROM (SELECT DISTINCT tipo_registro FROM stats), (SELECT DISTINCT periodo FROM stats)),
+@query(f"""WITH {REC}, part AS (SELECT * FROM records WHERE period_idx BETWEEN 3992 AND 3999 AND NOT (tipo_registro = 'concluinte' AND periodo = '1997/2')), {sums_sql(['tipo_registro', 'periodo'], 'part')}, x AS (SELECT * FROM (SELECT DISTINCT tipo_registro FROM stats), (SELECT DISTINCT periodo FROM stats)),
 s AS (SELECT *, 100 * interval95_lower_resolved / nullif(resolvidos, 0) AS lower_percent, 100 * interval95_upper_resolved / nullif(resolvidos, 0) AS upper_percent, 100 * cobertura AS coverage_percent FROM x LEFT JOIN stats USING (tipo_registro, periodo)) SELECT {picked(CHART)} FROM s""")
 def series_table(spark, sf_dir):
-    rec = bridge.records(spark, sf_dir).where("NOT (tipo_registro = 'concluinte' AND periodo = '1994/2')")
-    return even(charts.series_table(rec, 5, "1993/1", "1996/2").select(*CHART))
+    rec = bridge.records(spark, sf_dir).where("NOT (tipo_registro = 'concluinte' AND periodo = '1997/2')")
+    return even(charts.series_table(rec, 5, "1996/1", "1999/2").select(*CHART))
 
 
-@query(f"WITH {COHORT_SQL} SELECT curso_normalizado, periodo_ingresso, round(100 * CASE WHEN n_matches_exact_unique = 0 OR n_matches_exact_unique >= 5 THEN match_proportion END, 6) + 0.0 AS match_percent, followup_semesters::BIGINT AS followup_semesters FROM cohorts WHERE periodo_ingresso BETWEEN '1993/1' AND '1994/2'")
+@query(f"WITH {COHORT_SQL} SELECT curso_normalizado, periodo_ingresso, round(100 * CASE WHEN n_matches_exact_unique = 0 OR n_matches_exact_unique >= 5 THEN match_proportion END, 6) + 0.0 AS match_percent, followup_semesters::BIGINT AS followup_semesters FROM cohorts WHERE periodo_ingresso BETWEEN '1996/1' AND '1999/2'")
 def cohort_match_share(spark, sf_dir):
-    return even(charts.cohort_match_share(bridge.records(spark, sf_dir), 5, "1993/1", "1994/2"))
+    return even(charts.cohort_match_share(bridge.records(spark, sf_dir), 5, "1996/1", "1999/2"))
 
 
 @query(f"WITH {REG}, {MATCHES}, {TIME_SQL} SELECT {picked(['grupo', 'n', 'media_semestres', 'min_semestres', 'max_semestres'])} FROM times WHERE grupo <> 'global' AND n >= 5")
