@@ -17,7 +17,9 @@ from rollbook.llm.shared import cut
 BANDS, ROWS = 32, 4
 #: Shingles are hashed to this many places (a power of two), which the two permutations shuffle.
 PLACES = 1 << 20
-#: Shingles that so many of the documents in question have at most are looked up one by one.
+#: In buckets of so many documents at most all pairs of different components are tried.
+SMALL = 16
+#: In larger ones, shingles that so many documents of a cluster have at most are looked up one by one.
 SCARCE = 64
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
@@ -189,23 +191,46 @@ def components(links: DataFrame) -> DataFrame:
     return ends.union(ends.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _common(open_: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """``open_`` (rep, n, component) with m, the number of its shingles that more than SCARCE of these documents have,
-    and scarce, those that 2 to SCARCE of them have (as hashes)."""
+def _other(entries: DataFrame, *more: str) -> DataFrame:
+    """``entries`` as the second of two documents."""
+    return entries.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), *[F.col(c).alias(f"{c}_b") for c in more])
+
+
+def _in_small(entries: DataFrame, sizes_fit) -> DataFrame:
+    """Pairs (a, b) of different components in buckets of SMALL at most."""
+    pairs = entries.withColumnRenamed("rep", "a").join(_other(entries), "band")
+    return pairs.where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & sizes_fit(F.col("n"), F.col("n_b"))).select("a", "b")
+
+
+def _in_large(entries: DataFrame, texts: DataFrame, width: int, percent: int, sizes_fit) -> DataFrame:
+    """Pairs (a, b) of different components in larger buckets that may still be links; see ``near_duplicates``."""
+    heads = entries.groupBy("band").agg(F.min("rep").alias("a"))
+    groups = components(entries.join(heads, "band").select("a", F.col("rep").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    kind = dict(entries.dtypes)["rep"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a in range(0, len(batch), 200):
                 few = batch.iloc[a : a + 200]
-                yield pd.DataFrame({"rep": few["rep"], "shingles": [h.view(np.int64) for h in shingle_sets(_lowered(few["text"]), width)]})
+                yield pd.DataFrame({"rep": few["rep"], "cluster": few["cluster"], "shingles": [h.view(np.int64) for h in shingle_sets(_lowered(few["text"]), width)]})
+
+    own = groups.join(texts.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"]).mapInPandas(each, f"rep {kind}, cluster {kind}, shingles array<long>")
+    rows = cut(own).select("rep", "cluster", F.explode("shingles").alias("shingle"))
+    few = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df")).where(F.col("df") <= SCARCE)
+    rare = cut(rows.join(few, ["cluster", "shingle"]))
+    sides = entries.select("rep", "n", "component").distinct()
+    apart = (F.col("component") != F.col("component_b")) & (F.col("a") < F.col("b"))
+
+    scarce = rare.where("df > 1").join(sides, "rep").select(F.struct("cluster", "shingle").alias("band"), "rep", "n", "component")
+    sharing = scarce.withColumnRenamed("rep", "a").join(_other(scarce), "band").where(apart & sizes_fit(F.col("n"), F.col("n_b"))).select("a", "b")
 
-    kind = dict(open_.dtypes)["rep"]
-    own = open_.select("rep").join(texts.withColumnRenamed("doc_id", "rep"), "rep").mapInPandas(each, f"rep {kind}, shingles array<long>")
-    rows = cut(own).select("rep", F.explode("shingles").alias("shingle"))
-    few = rows.groupBy("shingle").agg(F.count("*").alias("df")).where(F.col("df") <= SCARCE)
-    per_rep = rows.join(few, "shingle").groupBy("rep").agg(F.count("*").alias("rare"), F.collect_list(F.when(F.col("df") > 1, F.col("shingle"))).alias("scarce"))
-    none = F.array().cast("array<long>")
-    return open_.join(per_rep, "rep", "left").select("rep", "n", "component", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("m"), F.coalesce("scarce", none).alias("scarce"))
+    common = sides.join(rare.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left").select("rep", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("m"))
+    reach = entries.join(common, "rep").where(100 * F.col("m") >= percent * F.col("n"))
+    least = F.least("m", "m_b")
+    fits = 100 * least >= percent * (F.col("n") + F.col("n_b") - least)
+    one_side = (F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    bounded = reach.where("component <> main").withColumnRenamed("rep", "a").join(_other(reach, "m"), "band").where((F.col("component") != F.col("component_b")) & fits & one_side).select("a", "b")
+    return sharing.union(bounded)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
@@ -217,12 +242,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     1. Documents with one shingle set (digest of all its hashes) form a class; only its least id goes on.
     2. Classes that share a band are candidates. Each is first held against the least class of its bucket: that makes
        as many pairs as bucket entries, however large a bucket is.
-    3. What lies in one bucket and not yet in one component is paired across components. Two such documents either
-       share a shingle that at most SCARCE of them have, and are found by it, in as many pairs as the table of these
-       shingles has rows, times SCARCE at most. Or their intersection lies within the m other shingles of each; then
-       both need 100 * m >= percent * n, which leaves few: those outside the bucket's largest component meet the
-       others of the bucket, and only pairs that can still reach the similarity go on. No pair that shares a band and can be
-       a link between two components is left out; members of one component need no more pairs.
+    3. What lies in one bucket and not yet in one component is paired across components; members of one component
+       need no more pairs. Buckets of SMALL at most make few. In the larger ones, buckets that share documents are
+       a cluster, and two documents of a cluster either share a shingle that at most SCARCE of the cluster have, and
+       are found by it; or their intersection lies within the m other shingles of each, and then min(m) must reach the
+       similarity, which leaves few. No pair that shares a band and may link two components is left out.
 
     Every pair is confirmed on the full sets of words. Null, empty and blank texts: 0 shingles, linked with nothing.
     Repeated rows are copies of each other. A row without id is never the least of its class; it counts as not kept.
@@ -240,21 +264,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     named = entries.select("band", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").select("band", "main")
-    open_ = cut(named.join(mixed, "band"))
-    counted = cut(_common(open_.select("rep", "n", "component").distinct(), texts, width))
-    fits = 100 * F.least("m", "m_b") >= percent * (F.col("n") + F.col("n_b") - F.least("m", "m_b"))
-    apart = F.col("component") != F.col("component_b")
-    sides = counted.where(100 * F.col("m") >= percent * F.col("n")).select("rep", "n", "m", "component").join(open_.select("rep", "band", "main"), "rep")
-    other = sides.select("band", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("m").alias("m_b"), F.col("component").alias("component_b"))
-    crossed = (
-        sides.where("component <> main").withColumnRenamed("rep", "a").join(other, "band").where(apart & fits)
-        .where((F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b"))).select("a", "b")
-    )
-    scarce = counted.select("rep", "n", "component", F.explode("scarce").alias("shingle"))
-    other = scarce.select("shingle", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-    sharing = scarce.withColumnRenamed("rep", "a").join(other, "shingle").where(apart & (F.col("a") < F.col("b")) & sizes_fit(F.col("n"), F.col("n_b"))).select("a", "b")
-    crossed = crossed.union(sharing).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    mixed = counts.groupBy("band").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1")
+    open_ = cut(named.join(mixed.select("band", "size", "main"), "band"))
+    crossed = _in_small(open_.where(F.col("size") <= SMALL), sizes_fit).union(_in_large(open_.where(F.col("size") > SMALL), texts, width, percent, sizes_fit))
+    crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     links = links.union(confirmed(crossed, texts, width, percent))
     final = components(links)
     by_class = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
