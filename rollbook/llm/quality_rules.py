@@ -145,7 +145,7 @@ s AS (SELECT t.*, CASE WHEN k >= n THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) -
     FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS p FROM t),
 o AS (SELECT *, p <= {DOUBT!r} / ({len(RULES)} * (SELECT count(DISTINCT coalesce(lang, chr(1))) FROM t)) AS ok FROM s),
 f AS (SELECT lang, rule, coalesce(max(step) FILTER (NOT ok), -1) + 1 AS step FROM o GROUP BY ALL),
-z AS (SELECT lang, rule, cutoff FROM o JOIN f USING (rule, step) WHERE o.lang IS NOT DISTINCT FROM f.lang),
+z AS (SELECT o.lang, rule, o.cutoff FROM o JOIN f USING (rule, step) WHERE o.lang IS NOT DISTINCT FROM f.lang),
 bad AS (SELECT DISTINCT doc_id FROM x JOIN z ON x.rule = z.rule AND x.lang IS NOT DISTINCT FROM z.lang WHERE metric > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
     NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept

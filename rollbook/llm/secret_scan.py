@@ -21,7 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is what [0-9a-f]+ finds and its length check keeps
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Other values that may be credentials: long runs without blanks that have letters and digits.
-OTHER = re.compile(r"[A-Za-z0-9+_=-]{20,}")
+OTHER = re.compile(r"[A-Za-z0-9+_-]{20,}")
 #: A value is live-looking with so many characters, at least so many bits of entropy a character, letters and digits.
 LEAST_LENGTH, LEAST_BITS = 16, 2.8
 #: A value that more owners than this have is a widely copied example.
@@ -52,9 +52,9 @@ def candidates(text: str) -> list[tuple[str, int, int, int, int, str, bool]]:
     for kind, start, end, value in base_spans(text):
         at = text.index(value, start, end) if kind != "assign" else end - len(value)
         out.append((kind, start, end, at, end, hashlib.sha256(value.encode()).hexdigest(), live_looking(value)))
-    known = {(x[3], x[4]) for x in out}
+    known = [(x[3], x[4]) for x in out]
     for m in OTHER.finditer(text):
-        if (m.start(), m.end()) not in known and live_looking(m[0]):
+        if live_looking(m[0]) and all(m.end() <= a or b <= m.start() for a, b in known):
             out.append(("live", m.start(), m.end(), m.start(), m.end(), hashlib.sha256(m[0].encode()).hexdigest(), True))
     return out
 
