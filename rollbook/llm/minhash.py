@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import cut
+from rollbook.llm.shared import cut, shuffle_parts
 
 #: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -166,27 +166,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): node, component (its least node), for every node with a link.
 
-    Alternates the large-star and small-star steps on the edge table until it stays the same; each is a grouped
-    minimum and a join, so that a node with very many links is no task of its own. The table never grows.
+    Alternates the large-star and small-star steps on the edge table until every edge leads to the least node of its
+    component; each is a grouped minimum and a join, so that a node with very many links is no task of its own. The
+    table never grows. It is small beside the documents and kept in fewer partitions.
     """
+    few = max(2, shuffle_parts(links.sparkSession) // 8)
 
     def marked(df: DataFrame) -> DataFrame:
-        return cut(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        return cut(df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().coalesce(few))
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
+    def settled(df: DataFrame) -> bool:
+        roles = df.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        return roles.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
 
     edges = marked(links)
-    now, before = mark(edges), None
-    while now != before:
+    while not settled(edges):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = marked(large)
+        edges = marked(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        small = edges.join(least, "a")
-        edges = marked(small.select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b")))
-        before, now = now, mark(edges)
+        edges = marked(edges.join(least, "a").select("b", "m").toDF("a", "b").union(least.select("a", "m").toDF("a", "b")))
     ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return ends.union(ends.select(F.col("component").alias("node"), "component").distinct())
 
@@ -259,8 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = cut(entries.join(buckets.select("band", "centre", F.col("c.n").alias("centre_n")), "band"))
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = entries.where(F.col("rep") != F.col("centre")).where(sizes_fit(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirmed(stars, texts, width, percent))
-    joined = components(links)
+    joined = components(confirmed(stars, texts, width, percent))
 
     named = entries.select("band", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -268,8 +266,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = cut(named.join(mixed.select("band", "size", "main"), "band"))
     crossed = _in_small(open_.where(F.col("size") <= SMALL), sizes_fit).union(_in_large(open_.where(F.col("size") > SMALL), texts, width, percent, sizes_fit))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(confirmed(crossed, texts, width, percent))
-    final = components(links)
+    more = confirmed(crossed, texts, width, percent)
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     by_class = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
