@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from rollbook.llm.shared import cut, shuffle_parts
 
-#: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 32 < 5e-8.
-BANDS, ROWS = 32, 4
+#: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 28 < 4e-7.
+BANDS, ROWS = 28, 4
+#: A candidate whose signatures agree in fewer than this share of coordinates below the similarity asked for is not looked at
+#: (at 112 coordinates and 0.8 that is over five standard deviations).
+LEEWAY = 0.2
 #: Shingles are hashed to this many places (a power of two), which the two permutations shuffle.
 PLACES = 1 << 20
 #: In buckets of so many documents at most all pairs of different components are tried.
@@ -114,7 +117,7 @@ def _lowered(texts: Iterable) -> list[bytes]:
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the shingle set; null if empty), bands (null if empty)."""
+    """doc_id, n_shingles, digest (of the shingle set), bands, sketch (the last byte of each coordinate); null if empty."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,14 +130,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int
                 rows = []
                 for h in shingle_sets(texts[at:end], width):
                     full = len(h) > 0
-                    rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if full else None, bands(signature(h, n_bands * n_rows), n_bands, n_rows) if full else None))
-                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands"])
+                    sig = signature(h, n_bands * n_rows) if full else None
+                    rows.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest(), bands(sig, n_bands, n_rows), sig.astype(np.uint8).tobytes()) if full else (0, None, None, None))
+                out = pd.DataFrame(rows, columns=["n_shingles", "digest", "bands", "sketch"])
                 out.insert(0, "doc_id", batch["doc_id"].to_numpy()[at:end])
                 yield out
                 at = end
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(each, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, digest binary, bands array<long>")
+    return rows.mapInPandas(each, f"doc_id {dict(rows.dtypes)['doc_id']}, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def pair_set(text: bytes, width: int) -> set:
@@ -163,6 +167,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return rows.select("a", "b", "text_a", "text_b").mapInPandas(each, f"a {kind}, b {kind}")
 
 
+def likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures agree well enough to be worth their texts."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in ("sketch_a", "sketch_b"))
+                yield batch.loc[(x == y).mean(axis=1) >= percent / 100 - LEEWAY, ["a", "b"]]
+
+    kind = dict(pairs.dtypes)["a"]
+    own = lambda c: sketches.select(F.col("rep").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    return pairs.join(own("a"), "a").join(own("b"), "b").mapInPandas(each, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): node, component (its least node), for every node with a link.
 
@@ -252,13 +270,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     found = cut(signatures(docs, doc_id, text, width, n_bands, n_rows))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    classes = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).where("rep IS NOT NULL")
+    classes = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL")
+    classes = cut(classes)
     entries = classes.select("rep", "n", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("centre"), F.min(F.struct("rep", "n")).alias("c")).where("size > 1")
-    entries = cut(entries.join(buckets.select("band", "centre", F.col("c.n").alias("centre_n")), "band"))
+    buckets = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("c.rep < last")
+    entries = cut(entries.join(buckets.select("band", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "band"))
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = entries.where(F.col("rep") != F.col("centre")).where(sizes_fit(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    joined = components(confirmed(stars, texts, width, percent))
+    joined = components(confirmed(likely(stars, classes, percent), texts, width, percent))
 
     named = entries.select("band", "rep", "n").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -266,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = cut(named.join(mixed.select("band", "size", "main"), "band"))
     crossed = _in_small(open_.where(F.col("size") <= SMALL), sizes_fit).union(_in_large(open_.where(F.col("size") > SMALL), texts, width, percent, sizes_fit))
     crossed = crossed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirmed(crossed, texts, width, percent)
+    more = confirmed(likely(crossed, classes, percent), texts, width, percent)
     final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     by_class = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")

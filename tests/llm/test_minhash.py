@@ -69,7 +69,7 @@ def test_signature_agrees_with_the_definition():
     ring = np.random.default_rng(1).permutation(minhash.PLACES)
     with np.errstate(over="ignore"):
         place = ((hashes * np.uint64(2862933555777941757) + np.uint64(3037000493)) >> np.uint64(44)).astype(np.int64) & (minhash.PLACES - 1)
-    want = [ring[(place + k) % minhash.PLACES].min() for k in range(128)]
+    want = [ring[(place + k) % minhash.PLACES].min() for k in range(minhash.BANDS * minhash.ROWS)]
     assert minhash.signature(hashes).tolist() == want
 
 
