@@ -18,10 +18,10 @@ STATE, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 8, 1 << 14
 GRAM_SIZES = (3, 4, 5)
 #: The fit takes at most so many labelled documents of each class (those with the least hash of the id), at most so many
 #: evenly spaced windows of each, and words of at least so many of these documents, but no more than MOST_WORDS.
-FIT_TOXIC, FIT_CLEAN, FIT_WINDOWS, LEAST_DOCS, MOST_WORDS = 1_500, 2_500, 128, 3, 30_000
+FIT_TOXIC, FIT_CLEAN, FIT_WINDOWS, LEAST_DOCS, MOST_WORDS = 1_200, 2_000, 64, 3, 30_000
 EPOCHS = 8
-#: Bytes of text and windows that are worked on together.
-CHUNK, BLOCK = 1 << 22, 4096
+#: Bytes of text, windows, and words that are worked on together.
+CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
 
 
 def _bytes(texts: Iterable) -> list[bytes]:
@@ -71,10 +71,55 @@ class Inputs:
         self.grams, self.n_grams = gram_places(words, first)
 
     def embedded(self, params: dict) -> np.ndarray:
-        starts = np.cumsum(self.n_grams) - self.n_grams
-        char = np.add.reduceat(params["grams"][self.grams], starts, axis=0) / self.n_grams[:, None]
-        word = np.where((self.known >= 0)[:, None], params["words"][self.known], 0)
-        return np.concatenate((word, char), axis=1).astype(np.float32)
+        ends = np.cumsum(self.n_grams)
+        out = np.zeros((len(self.known), WORD_DIM + CHAR_DIM), np.float32)
+        for a in range(0, len(out), BATCH):
+            n = self.n_grams[a : a + BATCH]
+            first = ends[a] - n[0]
+            own = params["grams"][self.grams[first : first + n.sum()]]
+            out[a : a + BATCH, WORD_DIM:] = np.add.reduceat(own, np.cumsum(n) - n, axis=0) / n[:, None]
+            out[a : a + BATCH, :WORD_DIM] = np.where((self.known[a : a + BATCH] >= 0)[:, None], params["words"][self.known[a : a + BATCH]], 0)
+        return out
+
+
+class Lesson(Inputs):
+    """What the fit keeps of its documents: their windows, the distinct words in them, and the vocabulary."""
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray):
+        parts, seen, flags = [], [], []
+        for a, b in chunks(texts, CHUNK):
+            words = words_of(texts[a:b], NO_LETTER)
+            pairs = np.unique(np.stack((words.hash, np.repeat(np.arange(a, b), words.counts).astype(np.uint64))), axis=1)
+            seen.append(pairs[0])
+            flags.append(labels[pairs[1].astype(np.int64)])
+            start, size, text = windows(words.counts)
+            nth, n_own = np.arange(len(text)) - np.searchsorted(text, text), np.bincount(text, minlength=b - a)[text]
+            stays = (n_own <= FIT_WINDOWS) | (nth * FIT_WINDOWS // n_own != (nth - 1) * FIT_WINDOWS // n_own)
+            at, on = _placed(start[stays], size[stays], np.arange(len(words.hash)))
+            distinct, first = np.unique(words.hash[np.unique(at)] if at.size else words.hash[:0], return_index=True)
+            where = np.unique(at)[first] if at.size else first
+            parts.append((words.hash[at], on, text[stays] + a, distinct, *gram_places(words, where)))
+        joined = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
+        hashes, self.on, self.text = joined(0), joined(1), joined(2)
+        all_words, first = np.unique(joined(3), return_index=True)
+        n_grams = joined(5)
+        self.grams, self.n_grams = _picked(joined(4), n_grams, first), n_grams[first]
+        self.at = np.searchsorted(all_words, hashes).astype(np.int32)
+        seen, flags = (np.concatenate(x) if x else np.zeros(0) for x in (seen, flags))
+        words, place, n_docs = np.unique(seen, return_inverse=True, return_counts=True)
+        toxic = np.bincount(place, flags, len(words)) if len(words) else np.zeros(0)
+        chosen = np.flatnonzero(n_docs >= LEAST_DOCS)
+        chosen = np.sort(chosen[np.argsort(-n_docs[chosen], kind="stable")[:MOST_WORDS]])
+        self.vocabulary, n1 = words[chosen].astype(np.uint64), labels.sum()
+        self.odds = np.log((toxic[chosen] + 0.5) / (n1 + 1)) - np.log((n_docs[chosen] - toxic[chosen] + 0.5) / (len(labels) - n1 + 1))
+        near = np.minimum(np.searchsorted(self.vocabulary, all_words), max(0, len(chosen) - 1))
+        self.known = np.where(self.vocabulary[near] == all_words, near, -1) if len(chosen) else np.full(len(all_words), -1)
+
+
+def _picked(grams: np.ndarray, n_grams: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The n-grams of the chosen words, one after the other."""
+    begin, n = (np.cumsum(n_grams) - n_grams)[which], n_grams[which]
+    return grams[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 def forward(params: dict, x: dict[str, np.ndarray], at: np.ndarray, on: np.ndarray, kept: dict | None = None) -> np.ndarray:
@@ -148,51 +193,35 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     the network stays at the share of toxic documents.
     """
     rng = np.random.default_rng(seed)
-    words = words_of(texts, NO_LETTER)
-    doc_of_word = np.repeat(np.arange(len(texts)), words.counts)
-    pairs = np.unique(np.stack((words.hash, doc_of_word.astype(np.uint64))), axis=1)
-    vocabulary, first, n_docs = np.unique(pairs[0], return_index=True, return_counts=True)
-    toxic = np.add.reduceat(labels[pairs[1].astype(np.int64)], first) if len(first) else np.zeros(0)
-    often = n_docs >= min(LEAST_DOCS, np.sort(n_docs)[-MOST_WORDS] if len(n_docs) > MOST_WORDS else LEAST_DOCS)
-    often &= n_docs >= LEAST_DOCS
-    chosen = np.flatnonzero(often)
-    chosen = np.sort(chosen[np.argsort(-n_docs[chosen], kind="stable")[:MOST_WORDS]])
-    n1 = labels.sum()
-    odds = np.log((toxic[chosen] + 0.5) / (n1 + 1)) - np.log((n_docs[chosen] - toxic[chosen] + 0.5) / (len(labels) - n1 + 1))
+    lesson, n1 = Lesson(texts, labels), labels.sum()
+    n_words, text = len(lesson.vocabulary), lesson.text
     some = lambda *shape: (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
-    params = {"words": (rng.standard_normal((max(1, len(chosen)), WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.05).astype(np.float32)}
-    params["words"][: len(chosen), 0] = np.clip(odds, -4, 4) / 2
+    params = {"words": (rng.standard_normal((max(1, n_words), WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.05).astype(np.float32)}
+    params["words"][:n_words, 0] = np.clip(lesson.odds, -4, 4) / 2
     for side in "fb":
         params |= {f"w_{side}": some(WORD_DIM + CHAR_DIM, 3 * STATE), f"u_{side}": some(STATE, 3 * STATE), f"b_{side}": np.zeros(3 * STATE, np.float32)}
     share = (n1 + 0.5) / (len(labels) + 1)
     params |= {"attend": some(2 * STATE, STATE), "attend_b": np.zeros(STATE, np.float32), "pick": some(STATE), "out": some(2 * STATE), "out_b": np.array([np.log(share / (1 - share))], np.float32)}
-    model = params | {"vocabulary": vocabulary[chosen]}
+    model = params | {"vocabulary": lesson.vocabulary}
     if not 0 < n1 < len(labels):
         params["out"][:] = 0
         return model
-    inputs = Inputs(words, vocabulary[chosen])
-    start, size, text = windows(words.counts)
-    nth = np.arange(len(text)) - np.searchsorted(text, text)
-    n_own = np.bincount(text, minlength=len(texts))[text]
-    stays = (n_own <= FIT_WINDOWS) | (nth * FIT_WINDOWS // n_own != (nth - 1) * FIT_WINDOWS // n_own)
-    start, size, text = start[stays], size[stays], text[stays]
     trained, adam = {k: params[k] for k in params}, Adam(params, 0.01)
     weigh = np.where(labels == 1, 0.5 * len(labels) / n1, 0.5 * len(labels) / (len(labels) - n1)) ** 0.5
     for epoch in range(EPOCHS):
-        gates, logit = _gates(trained, inputs.embedded(trained)), np.empty(len(text), np.float32)
+        gates, logit = _gates(trained, lesson.embedded(trained)), np.empty(len(text), np.float32)
         for a in range(0, len(text), BLOCK):
-            at, on = _placed(start[a : a + BLOCK], size[a : a + BLOCK], inputs.of_word)
-            logit[a : a + BLOCK] = forward(trained, gates, at, on)
+            logit[a : a + BLOCK] = forward(trained, gates, lesson.at[a : a + BLOCK], lesson.on[a : a + BLOCK])
         order = np.lexsort((-logit, text))
         highest = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < (2 if epoch < EPOCHS // 2 else 1)]
         adam.rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.003
         rng.shuffle(highest)
         for a in range(0, len(highest), 384):
             which = highest[a : a + 384]
-            at, on = _placed(start[which], size[which], inputs.of_word)
-            used, at = np.unique(at, return_inverse=True)
+            on = lesson.on[which]
+            used, at = np.unique(lesson.at[which], return_inverse=True)
             at = at.reshape(on.shape)
-            few = _Some(inputs, used)
+            few = _Some(lesson, used)
             embedded, kept = few.embedded(trained), {}
             out = forward(trained, _gates(trained, embedded), at, on, kept)
             y = labels[text[which]]
@@ -213,9 +242,7 @@ class _Some(Inputs):
 
     def __init__(self, inputs: Inputs, which: np.ndarray):
         self.known, self.n_grams = inputs.known[which], inputs.n_grams[which]
-        ends = np.cumsum(inputs.n_grams)
-        begin = (ends - inputs.n_grams)[which]
-        self.grams = inputs.grams[np.repeat(begin - (np.cumsum(self.n_grams) - self.n_grams), self.n_grams) + np.arange(self.n_grams.sum())]
+        self.grams = _picked(inputs.grams, inputs.n_grams, which)
 
     def gradients(self, params: dict, d_embedded: np.ndarray) -> dict:
         word, grams = np.zeros_like(params["words"]), np.zeros_like(params["grams"])
