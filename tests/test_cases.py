@@ -105,7 +105,7 @@ def test_summary(spark):
 
 
 def test_change_and_suppression(spark):
-    rec = records(spark, [("ingressante", "X", "2019/1", "A", 0.8), ("ingressante", "X", "2020/2", "B", 0.6)])
+    rec = records(spark, [("ingressante", "X", "2019/1", "A", 0.8), ("ingressante", "X", "2020/2", "B", 0.6)]).cache()
     rows = sorted(summary.temporal(rec).collect(), key=lambda r: r.periodo)
     assert [r.variacao_pp for r in rows] == [None, pytest.approx(-20)]
     hidden = privacy.protected_series(summary.temporal(rec), ["tipo_registro"], 5).collect()
@@ -120,7 +120,7 @@ def test_change_and_suppression(spark):
 
 def test_public_rows_and_rules(spark):
     rec = records(spark, [("ingressante", "X", "2019/1", "A", 0.8), ("ingressante", "X", "2019/2", "B", 0.2), ("ingressante", "X", "2019/2", "C", None)])
-    rows = summary.public_rows(rec)
+    rows = summary.public_rows(rec).cache()
     assert rows.count() == 6 and quality.violations(rows).isEmpty()
     year = rows.where("agrupamento = 'ano' AND curso = 'X'").first()
     assert (year.total, year.resolvidos, year.expected_female, year.female_percent_resolved, year.interval95_lower_resolved, year.interval95_upper_resolved) == (3, 2, 1, 50, 0, 2)
@@ -277,7 +277,7 @@ def test_snapshot_and_publication(spark, tmp_path):
     first = {r.nome_chave for r in rows.collect()}
     store.write_snapshot(rec, root, {})
     assert not first & {r.nome_chave for r in store.read_snapshot(spark, root)[0].collect()}
-    public, out = summary.public_rows(rec), f"file://{tmp_path}/public"
+    public, out = summary.public_rows(rec).cache(), f"file://{tmp_path}/public"
     store.publish(public, out)
     assert quality.difference(store.read_publication(spark, out), public).isEmpty()
     with pytest.raises(ValueError):
