@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -385,6 +386,12 @@ def summarize(spark, sf_dir):
     return even(summary.summarize(bridge.records(spark, sf_dir).where("ano = 1995")))
 
 
+# all years; the SQL's transform grows with the square of the group, so tests hold this against the recurrence
+@query()
+def summarize_whole(spark, sf_dir):
+    return even(summary.summarize(bridge.records(spark, sf_dir)))
+
+
 @query(f"WITH {REC}, {sums_sql(['tipo_registro', 'curso_normalizado', 'periodo'])} SELECT {picked(['tipo_registro', 'curso_normalizado', 'periodo', *ALL])} FROM stats")
 def grouped_summary(spark, sf_dir):
     return even(summary.summarize(bridge.records(spark, sf_dir), ["tipo_registro", "curso_normalizado", "periodo"]))
@@ -476,6 +483,12 @@ def poisson_binomial(spark, sf_dir):
     return even(distribution.cumulative(distribution.distributions(rec, ["key"]), ["key"]))
 
 
+@query(f"WITH {REC}, {dist_sql('records', 'curso_normalizado || tipo_registro || periodo')} SELECT key, k, round(mass + 1e-10, 6) + 0.0 AS mass, round(cdf + 1e-10, 6) + 0.0 AS cdf FROM pmf")
+def poisson_binomial_whole(spark, sf_dir):
+    rec = bridge.records(spark, sf_dir).withColumn("key", F.concat("curso_normalizado", "tipo_registro", "periodo"))
+    return even(distribution.cumulative(distribution.distributions(rec, ["key"]), ["key"]))
+
+
 @query(f"WITH {REC}, {dist_sql('records', 'tipo_registro || periodo')}, q AS (SELECT key, min(k) FILTER (cdf >= 0.5) AS p50 FROM pmf GROUP BY key) SELECT key, low::BIGINT AS p2_5, p50::BIGINT AS p50, high::BIGINT AS p97_5 FROM bounds JOIN q USING (key)")
 def pmf_quantile(spark, sf_dir):
     rec = bridge.records(spark, sf_dir).withColumn("key", F.concat("tipo_registro", "periodo"))
@@ -586,3 +599,10 @@ def pii_absence_check(spark, sf_dir):
 @query(f"WITH {REG}, {MATCHES} SELECT 'matching ambíguo' AS motivo, count(*) AS quantidade FROM matches WHERE status = 'ambiguous'")
 def report_review(spark, sf_dir):
     return report.report_tables(bridge.records(spark, sf_dir))["review"]
+
+
+# the seven tables differ in columns: a row of each as JSON beside the table's name
+@query()
+def full_report(spark, sf_dir):
+    tables = report.report_tables(bridge.records(spark, sf_dir).cache())
+    return reduce(DataFrame.union, [rows.select(F.lit(name).alias("report"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row")) for name, rows in tables.items()])

@@ -1,0 +1,46 @@
+"""Queries over whole tables: all years, all tables of the report."""
+
+import json
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from rollbook.jobs import report
+from rollbook.queries import QUERIES
+from rollbook.sources import bridge
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_summary_of_all_years_against_the_recurrence(spark):
+    rows = bridge.records(spark, FOLDER).select("ano", "p_female").collect()
+    pmf = np.ones(1)
+    for q in (r.p_female for r in rows if r.p_female is not None):
+        pmf = np.convolve(pmf, [1 - q, q])
+    got, cdf = QUERIES["summarize_whole"](spark, FOLDER).first(), np.cumsum(pmf)
+    assert len({r.ano for r in rows}) == 7 and got.total == len(rows) and got.resolvidos == len(pmf) - 1
+    assert (got.interval95_lower_resolved, got.interval95_upper_resolved) == (np.argmax(cdf >= 0.025), np.argmax(cdf >= 0.975))
+
+
+def test_distributions_of_all_years_against_the_recurrence(spark):
+    rec = bridge.records(spark, FOLDER).withColumn("key", F.concat("curso_normalizado", "tipo_registro", "periodo"))
+    groups, got = {}, {}
+    for r in rec.select("key", "p_female").collect():
+        groups.setdefault(r.key, []).append(r.p_female)
+    for r in QUERIES["poisson_binomial_whole"](spark, FOLDER).collect():
+        got.setdefault(r.key, {})[r.k] = r.mass
+    assert set(got) == set(groups)
+    for key, qs in groups.items():
+        pmf = np.ones(1)
+        for q in qs:
+            pmf = pmf if q is None else np.convolve(pmf, [1 - q, q])
+        assert np.allclose([got[key][k] for k in range(len(pmf))], pmf, atol=1e-6) and len(got[key]) == len(pmf)
+
+
+def test_report_of_all_tables(spark):
+    tables = report.report_tables(bridge.records(spark, FOLDER))
+    got = QUERIES["full_report"](spark, FOLDER).collect()
+    assert {r.report for r in got} == set(tables) and len(tables) == 7
+    for name, rows in tables.items():
+        own = [json.loads(r.row) for r in got if r.report == name]
+        assert len(own) == rows.count() and all(list(x) == rows.columns for x in own)
