@@ -16,9 +16,9 @@ WINDOW, STRIDE = 32, 16
 #: Sizes of the recurrent state, of the word and of the character inputs; places of the character n-grams.
 STATE, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 8, 1 << 14
 GRAM_SIZES = (3, 4, 5)
-#: The fit takes at most so many labelled documents of each class (those with the least hash of the id), at most so many
-#: evenly spaced windows of each, and words of at least so many of these documents, but no more than MOST_WORDS.
-FIT_TOXIC, FIT_CLEAN, FIT_WINDOWS, LEAST_DOCS, MOST_WORDS = 1_200, 2_000, 64, 3, 30_000
+#: The fit takes at most so many labelled documents of each class (those with the least hash of the id), all windows
+#: of each, and words of at least so many of these documents, but no more than MOST_WORDS.
+FIT_TOXIC, FIT_CLEAN, LEAST_DOCS, MOST_WORDS = 1_500, 2_500, 3, 30_000
 EPOCHS = 8
 #: Bytes of text, windows, and words that are worked on together.
 CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
@@ -83,28 +83,26 @@ class Inputs:
 
 
 class Lesson(Inputs):
-    """What the fit keeps of its documents: their windows, the distinct words in them, and the vocabulary."""
+    """What the fit keeps of its documents: the place of each word among the distinct ones, the bounds of all windows, and
+    the vocabulary. Windows are laid out a block at a time (``placed``)."""
 
     def __init__(self, texts: list[bytes], labels: np.ndarray):
-        parts, seen, flags = [], [], []
+        parts, seen, flags, n_before = [], [], [], 0
         for a, b in chunks(texts, CHUNK):
             words = words_of(texts[a:b], NO_LETTER)
             pairs = np.unique(np.stack((words.hash, np.repeat(np.arange(a, b), words.counts).astype(np.uint64))), axis=1)
             seen.append(pairs[0])
             flags.append(labels[pairs[1].astype(np.int64)])
             start, size, text = windows(words.counts)
-            nth, n_own = np.arange(len(text)) - np.searchsorted(text, text), np.bincount(text, minlength=b - a)[text]
-            stays = (n_own <= FIT_WINDOWS) | (nth * FIT_WINDOWS // n_own != (nth - 1) * FIT_WINDOWS // n_own)
-            at, on = _placed(start[stays], size[stays], np.arange(len(words.hash)))
-            distinct, first = np.unique(words.hash[np.unique(at)] if at.size else words.hash[:0], return_index=True)
-            where = np.unique(at)[first] if at.size else first
-            parts.append((words.hash[at], on, text[stays] + a, distinct, *gram_places(words, where)))
+            distinct, first, of_word = np.unique(words.hash, return_index=True, return_inverse=True)
+            parts.append((of_word.astype(np.int32), start + n_before, size, text + a, distinct, *gram_places(words, first)))
+            n_before += len(words.hash)
         joined = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
-        hashes, self.on, self.text = joined(0), joined(1), joined(2)
-        all_words, first = np.unique(joined(3), return_index=True)
-        n_grams = joined(5)
-        self.grams, self.n_grams = _picked(joined(4), n_grams, first), n_grams[first]
-        self.at = np.searchsorted(all_words, hashes).astype(np.int32)
+        self.start, self.size, self.text = joined(1), joined(2), joined(3)
+        all_words, first = np.unique(joined(4), return_index=True)
+        n_grams = joined(6)
+        self.grams, self.n_grams = _picked(joined(5), n_grams, first), n_grams[first]
+        self.of_word = np.concatenate([np.searchsorted(all_words, p[4]).astype(np.int32)[p[0]] for p in parts]) if parts else np.zeros(0, np.int32)
         seen, flags = (np.concatenate(x) if x else np.zeros(0) for x in (seen, flags))
         words, place, n_docs = np.unique(seen, return_inverse=True, return_counts=True)
         toxic = np.bincount(place, flags, len(words)) if len(words) else np.zeros(0)
@@ -115,6 +113,9 @@ class Lesson(Inputs):
         near = np.minimum(np.searchsorted(self.vocabulary, all_words), max(0, len(chosen) - 1))
         self.known = np.where(self.vocabulary[near] == all_words, near, -1) if len(chosen) else np.full(len(all_words), -1)
 
+    def placed(self, which: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _placed(self.start[which], self.size[which], self.of_word)
+
 
 def _picked(grams: np.ndarray, n_grams: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The n-grams of the chosen words, one after the other."""
@@ -211,15 +212,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     for epoch in range(EPOCHS):
         gates, logit = _gates(trained, lesson.embedded(trained)), np.empty(len(text), np.float32)
         for a in range(0, len(text), BLOCK):
-            logit[a : a + BLOCK] = forward(trained, gates, lesson.at[a : a + BLOCK], lesson.on[a : a + BLOCK])
+            logit[a : a + BLOCK] = forward(trained, gates, *lesson.placed(slice(a, a + BLOCK)))
         order = np.lexsort((-logit, text))
         highest = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < (2 if epoch < EPOCHS // 2 else 1)]
         adam.rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.003
         rng.shuffle(highest)
         for a in range(0, len(highest), 384):
             which = highest[a : a + 384]
-            on = lesson.on[which]
-            used, at = np.unique(lesson.at[which], return_inverse=True)
+            at, on = lesson.placed(which)
+            used, at = np.unique(at, return_inverse=True)
             at = at.reshape(on.shape)
             few = _Some(lesson, used)
             embedded, kept = few.embedded(trained), {}
