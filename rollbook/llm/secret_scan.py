@@ -24,8 +24,9 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OTHER = re.compile(r"[A-Za-z0-9+_-]{20,}")
 #: A value is live-looking with so many characters, at least so many bits of entropy a character, letters and digits.
 LEAST_LENGTH, LEAST_BITS = 16, 2.8
-#: A value that more owners than this have is a widely copied example.
-MOST_OWNERS = 1
+#: A value that texts of more owners, or of more repositories, than this hold is a widely copied example. All copies
+#: of one text count as one text of one owner and repository.
+MOST_OWNERS, MOST_REPOS = 1, 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -61,29 +62,31 @@ def candidates(text: str) -> list[tuple[str, int, int, int, int, str, bool]]:
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [(key, repo, owner, *c) for key, repo, owner, text in zip(batch["row_key"], batch["repo"], batch["owner"], batch["text"]) if text for c in candidates(text)]
-        yield pd.DataFrame(rows, columns=["row_key", "repo", "owner", "kind", "start", "end", "value_start", "value_end", "digest", "live_looking"])
+        rows = [(key, hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), repo, owner, *c) for key, repo, owner, text in zip(batch["row_key"], batch["repo"], batch["owner"], batch["text"]) if text for c in candidates(text)]
+        yield pd.DataFrame(rows, columns=["row_key", "copy", "repo", "owner", "kind", "start", "end", "value_start", "value_end", "digest", "live_looking"])
 
 
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source") -> DataFrame:
     """Every candidate of every text with how far its value is spread.
 
     row_key, kind, start, end, value_start, value_end, digest, live_looking, n_repos, n_owners, verdict: ``live`` for
-    a live-looking value that at most MOST_OWNERS owners have, ``example`` for one that more have, ``plain`` for
-    the rest. Values are never returned, only their SHA-256.
+    a live-looking value that texts of at most MOST_OWNERS owners and MOST_REPOS repositories hold, ``example`` for one
+    that more hold, ``plain`` for the rest. Values are never returned, only their SHA-256.
 
-    The counts are of distinct (value, repository) and (value, owner) pairs, merged before they are shuffled, so a
-    value that a third of all documents quotes is one row per task. A null repository or owner is one of its own.
+    A text that occurs many times counts once, with the least owner and repository it has: copies of a document don't
+    make its values examples. The counts are of distinct (value, repository) and (value, owner) pairs, merged before
+    they are shuffled by value. A null repository or owner is one of its own.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     known = lambda c: F.coalesce(as_col(c).cast("string"), F.lit("\x00"))
     rows = docs.select(row_key(doc_id, text).alias("row_key"), known(repo).alias("repo"), known(owner).alias("owner"), F.col(text).alias("text"))
-    found = rows.mapInPandas(_scan, "row_key string, repo string, owner string, kind string, start int, end int, value_start int, value_end int, digest string, live_looking boolean").distinct()
+    found = rows.mapInPandas(_scan, "row_key string, copy string, repo string, owner string, kind string, start int, end int, value_start int, value_end int, digest string, live_looking boolean").distinct()
     found = cut(found)  # the texts are read once
-    pairs = found.select("digest", "repo", "owner").distinct()
+    texts = found.groupBy("digest", "copy").agg(F.min(F.struct("owner", "repo")).alias("first"))
+    pairs = texts.select("digest", "first.repo", "first.owner").distinct()
     spread = pairs.groupBy("digest").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
-    verdict = F.when(~F.col("live_looking"), "plain").when(F.col("n_owners") <= MOST_OWNERS, "live").otherwise("example")
-    return found.join(spread, "digest").withColumn("verdict", verdict).drop("repo", "owner").distinct()
+    verdict = F.when(~F.col("live_looking"), "plain").when((F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repos") <= MOST_REPOS), "live").otherwise("example")
+    return found.join(spread, "digest").withColumn("verdict", verdict).drop("copy", "repo", "owner").distinct()
 
 
 def _span(kind: Column, start: str, end: str) -> Column:
@@ -92,17 +95,17 @@ def _span(kind: Column, start: str, end: str) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source") -> DataFrame:
-    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans.
+    """A row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, n_live, n_example, base_sha256, spans, n_owners, n_repos.
 
     Base spans always stay. For each candidate with the verdict ``live`` (see ``findings``) the span of its value is
-    added as kind live; an example adds none. Null and empty texts have no spans and the digest of the empty
+    added as kind live; an example adds none. n_owners and n_repos are those of the row's most widely spread value. Null and empty texts have no spans and the digest of the empty
     string. Repeated rows get the same spans. Columns of ``docs`` beyond those named play no part.
     """
     found = findings(docs, doc_id, text, repo, owner)
     base = F.col("kind") != "live"
     spans = found.groupBy("row_key").agg(
         F.count_if(F.col("kind") == "assign").alias("n_assign"), F.count_if(F.col("kind") == "access").alias("n_access"), F.count_if(F.col("kind") == "hex").alias("n_hex"),
-        F.count_if(F.col("verdict") == "example").alias("n_example"),
+        F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("n_owners"), F.max("n_repos").alias("n_repos"),
         F.collect_set(F.when(base, _span(F.col("kind"), "start", "end"))).alias("base"),
         F.collect_set(F.when(F.col("verdict") == "live", _span(F.lit("live"), "value_start", "value_end"))).alias("live"),
     )
@@ -114,6 +117,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
         F.sha2(F.coalesce(said(F.col("base")), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(said(F.concat("base", "live")), F.lit("")).alias("spans"),
         number(F.size("live")).alias("n_live"), number(F.col("n_example")).alias("n_example"),
+        number(F.col("n_owners")).alias("n_owners"), number(F.col("n_repos")).alias("n_repos"),
     )
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from rollbook.llm import toxicity
+from rollbook.llm import secret_scan, toxicity
 
 
 def test_the_fit_has_all_windows_of_long_texts():
@@ -11,3 +11,12 @@ def test_the_fit_has_all_windows_of_long_texts():
     _, _, text = toxicity.windows(np.array([5, 3000, 20_000, 0]))
     assert lesson.text.tolist() == text.tolist()
     assert (toxicity.FIT_TOXIC, toxicity.FIT_CLEAN) == (1_500, 2_500)
+
+
+def test_copies_of_one_text_do_not_make_an_example(spark):
+    own, sample = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc", "0123456789abcdef0123456789abcdef01234567"
+    rows = [(1, f"token={own}", "a", "a/1"), (2, f"token={own}", "b", "b/1"), (3, f"token={own}", "c", "c/1")]
+    rows += [(10 + k, f"sample {k} token={sample}", "d", f"d/{k}") for k in range(secret_scan.MOST_REPOS + 1)]
+    got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, repo string"), repo="repo").collect()}
+    assert all((got[k].n_live, got[k].n_example, got[k].n_owners, got[k].n_repos) == (1, 0, 1, 1) for k in (1, 2, 3))
+    assert all((r.n_live, r.n_example, r.n_owners, r.n_repos) == (0, 2, 1, secret_scan.MOST_REPOS + 1) for k, r in got.items() if k >= 10)
