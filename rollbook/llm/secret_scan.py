@@ -69,7 +69,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source") -> DataFrame:
     """Every candidate of every text with how far its value is spread.
 
-    row_key, kind, start, end, value_start, value_end, digest, live_looking, n_repos, n_owners, verdict: ``live`` for
+    row_key, kind, start, end, value_start, value_end, digest, live_looking, n_repos, n_owners, copied, verdict: ``live`` for
     a live-looking value that texts of at most MOST_OWNERS owners and MOST_REPOS repositories hold, ``example`` for one
     that more hold, ``plain`` for the rest. Values are never returned, only their SHA-256.
 
@@ -85,8 +85,9 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     texts = found.groupBy("digest", "copy").agg(F.min(F.struct("owner", "repo")).alias("first"))
     pairs = texts.select("digest", "first.repo", "first.owner").distinct()
     spread = pairs.groupBy("digest").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
-    verdict = F.when(~F.col("live_looking"), "plain").when((F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repos") <= MOST_REPOS), "live").otherwise("example")
-    return found.join(spread, "digest").withColumn("verdict", verdict).drop("copy", "repo", "owner").distinct()
+    copied = (F.col("n_owners") > MOST_OWNERS) | (F.col("n_repos") > MOST_REPOS)
+    verdict = F.when(~F.col("live_looking"), "plain").when(~F.col("copied"), "live").otherwise("example")
+    return found.join(spread, "digest").withColumn("copied", copied).withColumn("verdict", verdict).drop("copy", "repo", "owner").distinct()
 
 
 def _span(kind: Column, start: str, end: str) -> Column:
@@ -122,11 +123,11 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with each live value of ``text`` replaced by ``mask``; examples and all other rows stay as they are.
+    """``docs`` with each found value of ``text`` replaced by ``mask`` unless it is widely copied; all other rows stay.
 
-    Overlapping live values are masked as one. No row goes. All columns stay, in their order.
+    Values of the base kinds need not look live (short passwords, passphrases). Overlapping values are masked as one. No row goes. All columns stay, in their order.
     """
-    live = findings(docs, doc_id, text, repo, owner).where("verdict = 'live'").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("value_start", "value_end"))).alias("__live"))
+    live = findings(docs, doc_id, text, repo, owner).where("NOT copied").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("value_start", "value_end"))).alias("__live"))
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["value_end"]).alias("at"),
         F.when(x["value_start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["value_start"] - acc["at"]), F.lit(mask))).alias("out"),
