@@ -7,9 +7,11 @@ A block holds whole or partial documents, at most BLOCK ids. Its bytes:
     words of 16 bits: the range coder's output
 
 Each id is coded in up to three decisions. Order 2 predicts the id that followed the last two ids before, order 1
-the one that followed the last id; whether a prediction holds is one bit, its probability a logistic mixture of
-what the contexts' confidences say. What neither predicts is coded by its four hexadecimal digits with adaptive
-counts of order 0. All arithmetic is on integers, so that any machine reads what another wrote.
+the one that followed the last id; whether a prediction holds is one bit, its probability a logistic mixture of what
+the confidence of order 2, that of order 1 and the outcomes of the last decisions (order 0) say. Where both predict
+one id, the second bit is known and not coded. What neither predicts is coded by its high byte, with order-0 counts of
+the block that take effect every REFRESH ids, and its low byte as eight plain bits. All arithmetic is on integers, so that any machine reads what
+another wrote.
 """
 
 from __future__ import annotations
@@ -24,31 +26,39 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.bpe import _words_of, build_lexicon, encoder
+from rollbook.llm.bpe import build_lexicon, encoder
 from rollbook.llm.shared import shared_folder, shuffle_parts
 
-MAGIC, VERSION = b"RTOK", 1
+MAGIC, VERSION = b"RTOK", 2
 #: Ids of a block, and blocks that are coded side by side.
-BLOCK, LANES = 4096, 1024
-#: Places of the tables of order 2 and order 1.
-PLACES_2, PLACES_1 = 8192, 4096
-#: Digit counts: 1 + 16 + 256 contexts for the first three digits, 256 for the last; step and bound of a context's counts.
-DIGIT_CONTEXTS, DIGIT_STEP, DIGIT_BOUND = 529, 24, 4000
+BLOCK, LANES = 2048, 4096
+#: Bits of a place in the tables of order 2 and order 1.
+BITS_2, BITS_1 = 11, 10
+#: Steps between two updates of the byte counts in use, and what an occurrence adds to a count that starts at 1. A
+#: block's counts stay below 2 ** 16.
+REFRESH, ADDS = 64, 12
+#: Shifts that set how fast probabilities and mixing weights (16-bit fractions) follow.
+RATE, LEARN = 4, 7
 NO_ID = np.iinfo(np.int64).min
 _HEAD, _DOC = struct.Struct("<4s5I"), np.dtype([("doc_id", "<i8"), ("before", "<i8"), ("n", "<u4")])
 
 
 def _squash_table() -> np.ndarray:
-    """4096 / (1 + exp(-x / 256)) for x from -2047 to 2047, by linear steps between fixed points (integers throughout)."""
-    points = [1, 2, 3, 6, 10, 16, 27, 45, 73, 120, 194, 310, 488, 747, 1101, 1546, 2047, 2549, 2994, 3348, 3607, 3785, 3901, 3975, 4024, 4050, 4068, 4079, 4085, 4089, 4092, 4093, 4094]  # fixed values
-    x = np.arange(4096)
-    low, part = x >> 7, x & 127
-    p = np.array(points + points[-1:])
-    return np.clip((p[low] * (128 - part) + p[np.minimum(low + 1, 32)] * part + 64) >> 7, 1, 4095)
+    """4096 / (1 + exp(-x / 256)) for x from -2048 to 2047: exp by its series in whole numbers of 2 ** 40, the same everywhere."""
+    one = 1 << 40
+    root, term, k = one, one, 1  # exp(1 / 256)
+    while term:
+        term = term // 256 // k
+        root, k = root + term, k + 1
+    out, power = [2048], one
+    for _ in range(2048):
+        power = power * root // one
+        out.append(4096 * power // (power + one))
+    return np.array([4096 - p for p in out[:0:-1]] + out[:-1], np.int32).clip(1, 4095)
 
 
 SQUASH = _squash_table()
-STRETCH = np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4095) - 2048
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096)).clip(0, 4095) - 2048).astype(np.int32)
 
 
 class _Coder:
@@ -56,126 +66,185 @@ class _Coder:
 
     def __init__(self, lanes: int, words: np.ndarray | None, room: int = 0):
         self.range = np.full(lanes, 0xFFFFFFFF, np.int64)
-        self.at = np.zeros(lanes, np.int64)
-        self.words = words
+        self.encodes = words is None
         if words is None:
-            self.low, self.out = np.zeros(lanes, np.int64), np.zeros((lanes, room), np.int64)
+            self.room = room
+            self.low, self.out = np.zeros(lanes, np.int64), np.zeros(lanes * room, np.int32)
         else:
-            self.code = words[:, 0].astype(np.int64) << 16 | words[:, 1]
-            self.at += 2
+            self.room = words.shape[1]
+            self.code, self.words = words[:, 0].astype(np.int64) << 16 | words[:, 1], words.reshape(-1)
+        self.first = np.arange(lanes) * self.room
+        self.at = self.first + (0 if words is None else 2)
 
-    def step(self, lane, start: np.ndarray, part: np.ndarray, unit: np.ndarray) -> None:
-        """Narrow the lanes to [start, start + part) units."""
-        if self.words is None:
-            self.low[lane] += unit * start
-        else:
-            self.code[lane] -= unit * start
-        new = unit * part
+    def narrow(self, lane, new: np.ndarray) -> None:
+        """The lanes' new ranges; those that are short take in or give out 16 bits."""
         small = np.flatnonzero(new < 65536)
         if len(small):
-            who = lane[small] if isinstance(lane, np.ndarray) else small
+            who = small if lane is None else lane[small]
             new[small] <<= 16
-            if self.words is None:
-                self.out[who, self.at[who]] = self.low[who] >> 16
-                self.low[who] = (self.low[who] & 0xFFFF) << 16
+            at = self.at[who]
+            if self.encodes:
+                low = self.low[who]
+                self.out[at] = low >> 16
+                self.low[who] = (low & 0xFFFF) << 16
             else:
-                self.code[who] = self.code[who] << 16 | self.words[who, self.at[who]]
-            self.at[who] += 1
-        self.range[lane] = new
+                self.code[who] = self.code[who] << 16 | self.words[at]
+            self.at[who] = at + 1
+        if lane is None:
+            self.range[: len(new)] = new
+        else:
+            self.range[lane] = new
 
     def packed(self) -> list[bytes]:
         for shift in (16, 0):
-            self.out[np.arange(len(self.at)), self.at] = self.low >> shift if shift else self.low & 0xFFFF
+            self.out[self.at] = self.low >> shift if shift else self.low & 0xFFFF
             self.at += 1
-        for k in range(int(self.at.max()) - 1, 0, -1):
-            self.out[:, k - 1] += self.out[:, k] >> 16
-            self.out[:, k] &= 0xFFFF
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.at)]
+        out, size = self.out.reshape(len(self.at), self.room), self.at - self.first
+        for k in range(int(size.max()) - 1, 0, -1):
+            out[:, k - 1] += out[:, k] >> 16
+        out = out.astype(np.uint16)
+        return [row[:n].astype("<u2").tobytes() for row, n in zip(out, size.tolist())]
 
 
 class _Bits:
-    """Mixed bit predictions of all lanes: one probability per context and input, and the mixing weights."""
+    """Mixed bit predictions of all lanes: a probability per context and input, and the mixing weights."""
 
     def __init__(self, lanes: int, contexts: tuple[int, ...]):
-        self.p = [np.full((lanes, n), 2048 << 4, np.int32) for n in contexts]
-        self.weight = np.full((lanes, len(contexts)), 65536 // len(contexts) * 5 // 4, np.int64)
-
-    def code(self, coder: _Coder, lane, rows: np.ndarray, contexts: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
-        given = [p[rows, c] for p, c in zip(self.p, contexts)]
-        said = np.stack([STRETCH[g >> 4] for g in given], axis=1)
-        weight = self.weight[lane]
-        mixed = SQUASH[np.clip((weight * said).sum(axis=1) >> 16, -2047, 2047) + 2048]  # of 4096, for a 1
-        unit = coder.range[lane] >> 12
+        starts = np.cumsum([0, *contexts]) * lanes
+        self.p = np.full(starts[-1], 32768, np.int32)
+        self.base = np.stack([np.arange(lanes) * n + a for n, a in zip(contexts, starts)])
+        self.weight = np.full((len(contexts), lanes), 65536 * 5 // 12, np.int32)
+
+    def code(self, coder: _Coder, lane: np.ndarray | None, n: int, contexts: list[np.ndarray], bit: np.ndarray | None) -> np.ndarray:
+        """Code one bit of the first n lanes, or of the lanes ``lane``."""
+        of = (lambda x: x[..., :n]) if lane is None else (lambda x: x.take(lane, axis=-1))
+        places = of(self.base) + contexts
+        given = self.p.take(places)
+        said = STRETCH.take(given >> 4)
+        weights = of(self.weight)
+        mixed = SQUASH.take(((weights * said).sum(axis=0, dtype=np.int32) >> 16) + 2048, mode="clip")  # of 4096, for a 1
+        whole = of(coder.range)
+        part = (whole >> 12) * mixed
         if bit is None:
-            bit = coder.code[lane] < unit * mixed
-        coder.step(lane, np.where(bit, 0, mixed), np.where(bit, mixed, 4096 - mixed), unit)
-        error = (bit.astype(np.int64) << 12) - mixed
-        self.weight[lane] = weight + ((said * error[:, None] * 6) >> 10)
-        goal = bit.astype(np.int32) * 65535
-        for p, c, g in zip(self.p, contexts, given):
-            p[rows, c] = g + ((goal - g) >> 4)
+            bit = of(coder.code) < part
+        missed, new = part * ~bit, whole - part
+        np.copyto(new, part, where=bit)
+        if lane is not None:
+            _moved(coder, lane, missed, new)
+        else:
+            if coder.encodes:
+                coder.low[:n] += missed
+            else:
+                coder.code[:n] -= missed
+            coder.narrow(None, new)
+        error = (bit << np.int32(12)) - mixed
+        self.p[places] = given + ((bit * np.int32(65535) - given) >> RATE)
+        weights = weights + ((said * error) >> LEARN)
+        if lane is None:
+            self.weight[:, :n] = weights
+        else:
+            self.weight[:, lane] = weights
         return bit
 
 
+class _High:
+    """The high bytes of all lanes' ids, by order-0 counts that are brought up to date from time to time."""
+
+    def __init__(self, lanes: int):
+        self.counts, self.base = np.ones(lanes * 256, np.int32), np.arange(lanes) * 256
+        self.refresh()
+
+    def refresh(self) -> None:
+        self.own = self.counts.copy()
+        self.ends = np.cumsum(self.own.reshape(-1, 256), axis=1, dtype=np.int32).reshape(-1)
+        self.sixteen, self.coarse = self.ends.reshape(-1, 16), np.ascontiguousarray(self.ends.reshape(-1, 16, 16)[:, :, 15])
+
+    def code(self, coder: _Coder, lane: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+        base = self.base.take(lane)
+        total = self.ends.take(base + 255)
+        unit = coder.range.take(lane) // total
+        if value is None:
+            goal = np.minimum(coder.code.take(lane) // unit, total - 1)[:, None]
+            row = lane * 16 + (self.coarse.take(lane, axis=0) <= goal).sum(axis=1)
+            at = row * 16 + (self.sixteen.take(row, axis=0) <= goal).sum(axis=1)
+        else:
+            at = base + value
+        own = self.own.take(at)
+        _moved(coder, lane, unit * (self.ends.take(at) - own), unit * own)
+        self.counts[at] += ADDS
+        return at - base
+
+
+def _moved(coder: _Coder, lane: np.ndarray, before: np.ndarray, new: np.ndarray) -> None:
+    if coder.encodes:
+        coder.low[lane] += before
+    else:
+        coder.code[lane] -= before
+    coder.narrow(lane, new)
+
+
+def _low_byte(coder: _Coder, lane: np.ndarray, value: np.ndarray | None) -> np.ndarray:
+    """Eight bits, each value as likely as the next."""
+    unit = coder.range.take(lane) >> 8
+    if value is None:
+        value = np.minimum(coder.code.take(lane) // unit, 255)
+    _moved(coder, lane, unit * value, unit)
+    return value
+
+
 def _code(lengths: np.ndarray, ids: np.ndarray | None, words: np.ndarray | None) -> list[bytes] | np.ndarray:
-    """Encode ``ids`` (lanes, longest) or decode ``words``; ``lengths`` falls from lane to lane."""
+    """Encode ``ids`` (longest, lanes) or decode ``words`` (lanes, room); ``lengths`` falls from lane to lane."""
     lanes, longest = len(lengths), int(lengths[0])
     encode = ids is not None
     coder = _Coder(lanes, words, 3 * longest // 2 * 2 + 8)
-    out = ids if encode else np.zeros((lanes, longest), np.int64)
-    next_2, next_1 = np.zeros((lanes, PLACES_2), np.uint16), np.zeros((lanes, PLACES_1), np.uint16)
-    sure_2, sure_1 = np.zeros((lanes, PLACES_2), np.int8), np.zeros((lanes, PLACES_1), np.int8)
-    is_2, is_1 = _Bits(lanes, (8, 16, 1)), _Bits(lanes, (8, 8, 1))
-    digits = np.ones((lanes, DIGIT_CONTEXTS, 16), np.int16)
-    last, before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    out = ids if encode else np.zeros((longest, lanes), np.int32)
+    # an entry is an id and its confidence, below 8
+    table_2, table_1 = np.zeros(lanes << BITS_2, np.int32), np.zeros(lanes << BITS_1, np.int32)
+    lane_2, lane_1 = np.arange(lanes) << BITS_2, np.arange(lanes) << BITS_1
+    is_2, is_1, high = _Bits(lanes, (8, 16, 16)), _Bits(lanes, (8, 8, 16)), _High(lanes)
+    last, earlier = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+    hashed, past = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
     active = np.searchsorted(-lengths, -np.arange(longest), "left")  # lanes longer than t
+    n = lanes
     for t in range(longest):
-        n = int(active[t])
-        rows, lane = np.arange(n), slice(0, n)
-        at_1 = (last[:n] * 40503 >> 3) & (PLACES_1 - 1)
-        at_2 = ((last[:n] * 40503 + before[:n] * 60493) >> 3) & (PLACES_2 - 1)
-        guess_1, guess_2 = next_1[rows, at_1].astype(np.int64), next_2[rows, at_2].astype(np.int64)
-        c1, c2 = sure_1[rows, at_1], sure_2[rows, at_2]
-        none = np.zeros(n, np.int64)
-        hit_2 = is_2.code(coder, lane, rows, [c2, c1 + 8 * (guess_1 == guess_2), none], out[:n, t] == guess_2 if encode else None)
-        if not encode:
-            out[:n, t] = guess_2
-        rest = np.flatnonzero(~hit_2)
-        if len(rest):
-            g = guess_1[rest]
-            hit_1 = is_1.code(coder, rest, rest, [c1[rest], c2[rest], none[rest]], out[rest, t] == g if encode else None)
-            if not encode:
-                out[rest, t] = g
-            rest = rest[~hit_1]
+        if active[t] < n:
+            n = int(active[t])
+            last, earlier, hashed, past = last[:n], earlier[:n], hashed[:n], past[:n]
+        if t % REFRESH == 0:
+            high.refresh()
+        own = last * 40503
+        at_1 = lane_1[:n] + ((own >> 3) & ((1 << BITS_1) - 1))
+        at_2 = lane_2[:n] + (((own + hashed) >> 3) & ((1 << BITS_2) - 1))
+        entry_1, entry_2 = table_1.take(at_1), table_2.take(at_2)
+        guess_1, guess_2 = entry_1 >> 3, entry_2 >> 3
+        c1, c2 = entry_1 & 7, entry_2 & 7
+        same = guess_1 == guess_2
+        if encode:
+            now = out[t, :n]
+            right_2 = now == guess_2
+            is_2.code(coder, None, n, [c2, c1 + 8 * same, past], right_2)
+        else:
+            right_2 = is_2.code(coder, None, n, [c2, c1 + 8 * same, past], None)
+            now = np.where(right_2, guess_2, guess_1)
+        past = (past << 1 | right_2) & 15
+        rest = np.flatnonzero(~right_2)
+        more = rest[~same.take(rest)]
+        if len(more):
+            right = is_1.code(coder, more, len(more), [c1.take(more), c2.take(more), past.take(more)], now.take(more) == guess_1.take(more) if encode else None)
+            hit = np.zeros(n, bool)
+            hit[more[right]] = True
+            rest = rest[~hit.take(rest)]
         if len(rest):
-            value, context, base = np.zeros(len(rest), np.int64), np.zeros(len(rest), np.int64), 0
-            for k, (size, shift) in enumerate(((1, 12), (16, 8), (256, 4), (256, 0))):
-                counts = digits[rest, base + context]
-                ends = np.cumsum(counts, axis=1, dtype=np.int64)
-                unit = coder.range[rest] // ends[:, -1]
-                if encode:
-                    digit = (out[rest, t] >> shift) & 15
-                else:
-                    digit = (ends <= np.minimum(coder.code[rest] // unit, ends[:, -1] - 1)[:, None]).sum(axis=1)
-                mine = np.arange(len(rest))
-                own = counts[mine, digit].astype(np.int64)
-                coder.step(rest, ends[mine, digit] - own, own, unit)
-                counts[mine, digit] += DIGIT_STEP
-                full = ends[:, -1] > DIGIT_BOUND
-                if full.any():
-                    counts[full] = (counts[full] + 1) >> 1
-                digits[rest, base + context] = counts
-                value = value << 4 | digit
-                base += size
-                context = value & 255
+            value = now.take(rest) if encode else None
+            top = high.code(coder, rest, value >> 8 if encode else None)
+            end = _low_byte(coder, rest, value & 255 if encode else None)
             if not encode:
-                out[rest, t] = value
-        now = out[:n, t]
-        for table, sure, at, guess, c in ((next_2, sure_2, at_2, guess_2, c2), (next_1, sure_1, at_1, guess_1, c1)):
-            right = guess == now
-            sure[rows, at] = np.where(right, np.minimum(c + 1, 7), c >> 1)
-            table[rows, at] = np.where(right | (c > 1), guess, now)
-        before[:n], last[:n] = last[:n], now
+                now[rest] = top << 8 | end
+        if not encode:
+            out[t, :n] = now
+        for table, at, entry, guess, c, right in ((table_2, at_2, entry_2, guess_2, c2, right_2), (table_1, at_1, entry_1, guess_1, c1, guess_1 == now)):
+            table[at] = np.where(right, entry + (c < 7), np.where(c > 1, guess, now) << 3 | c >> 1)
+        hashed, last = last * 60493, now
     return coder.packed() if encode else out
 
 
@@ -185,10 +254,10 @@ def write_blocks(blocks: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
     for a in range(0, len(blocks), LANES):
         order = sorted(range(a, min(a + LANES, len(blocks))), key=lambda i: -len(blocks[i][1]))
         lengths = np.array([len(blocks[i][1]) for i in order])
-        ids = np.zeros((len(order), lengths[0]), np.int64)
+        ids = np.zeros((len(order), lengths[0]), np.int32)
         for lane, i in enumerate(order):
             ids[lane, : lengths[lane]] = blocks[i][1]
-        for i, words in zip(order, _code(lengths, ids, None)):
+        for i, words in zip(order, _code(lengths, np.ascontiguousarray(ids.T), None)):
             body = blocks[i][0].tobytes() + words
             out[i] = _HEAD.pack(MAGIC, VERSION, len(blocks[i][1]), len(blocks[i][0]), len(words) // 2, zlib.crc32(body)) + body
     return out
@@ -207,110 +276,9 @@ def read_blocks(blocks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     for a in range(0, len(blocks), LANES):
         order = sorted(range(a, min(a + LANES, len(blocks))), key=lambda i: -parts[i][2])
         lengths = np.array([parts[i][2] for i in order])
-        words = np.zeros((len(order), max(len(parts[i][1]) for i in order) + 4), np.int64)
+        words = np.zeros((len(order), max(len(parts[i][1]) for i in order) + 4), np.int32)
         for lane, i in enumerate(order):
             words[lane, : len(parts[i][1])] = parts[i][1]
-        for lane, (i, ids) in enumerate(zip(order, _code(lengths, None, words))):
-            out[i] = (parts[i][0], ids[: lengths[lane]].astype("<u4"))
+        for lane, (i, ids) in enumerate(zip(order, _code(lengths, None, words).T.astype("<u4"))):
+            out[i] = (parts[i][0], ids[: lengths[lane]])
     return out
-
-
-def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, end_id: int) -> DataFrame:
-    """part, nth, n_ids, block: the blocks of each range of ids in the order of the ids."""
-    lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, text, path).pack())
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, nth = encoder(path, lexicon.value), 0
-        seen, open_docs, open_ids, n_open, blocks, part = own.seen, [], [], 0, [], None
-
-        def close() -> None:
-            nonlocal open_docs, open_ids, n_open
-            if n_open:
-                blocks.append((np.array(open_docs, _DOC), np.concatenate(open_ids)))
-            open_docs, open_ids, n_open = [], [], 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal nth, blocks
-            made = write_blocks(blocks)
-            out = pd.DataFrame({"part": part, "nth": range(nth, nth + len(made)), "n_ids": [len(ids) for _, ids in blocks], "block": made})
-            nth, blocks = nth + len(made), []
-            return out
-
-        for batch in batches:
-            part = int(batch["part"].iloc[0]) if len(batch) else part
-            for a in range(0, len(batch), 500):
-                few = batch.iloc[a : a + 500]
-                lists = [_words_of(own.bpe, t) if isinstance(t, str) else [] for t in few["text"]]
-                own.learn({w for words in lists for w in words if type(w) is str}, lambda ids: (len(ids), np.array(ids, np.uint16).tobytes(), None))
-                for key, words in zip(few["doc_id"].astype("Int64").fillna(NO_ID), lists):
-                    ids = np.frombuffer(b"".join([seen[w][1] if type(w) is str else np.array(w, np.uint16).tobytes() for w in words]) + np.uint16(end_id).tobytes(), np.uint16)
-                    for at in range(0, len(ids), BLOCK):
-                        piece = ids[at : at + BLOCK]
-                        if n_open + len(piece) > BLOCK:
-                            close()
-                        open_docs.append((key, at, len(piece)))
-                        open_ids.append(piece)
-                        n_open += len(piece)
-                if len(blocks) >= LANES:
-                    yield flush()
-        close()
-        if blocks:
-            yield flush()
-
-    return dealt.mapInPandas(each, "part int, nth long, n_ids long, block binary")
-
-
-def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
-    """Write the ids of all texts, each with ``end_id`` after it, in ascending order of ``doc_id`` (null first).
-
-    ``folder`` gets one file per range of ids: a table of part, nth (of the block in its part), n_ids, block. Null and
-    empty texts have the end id alone. Repeated rows are written each, side by side.
-    """
-    _encoded(docs, path, doc_id, text, end_id).write.option("compression", "none").parquet(folder)
-
-
-def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document from the files of ``write_tokens``.
-
-    start: ids of all documents before it. Sums by part, then by block, place each block; no task sees them all.
-    A document's pieces in several blocks are put together by their positions.
-    """
-    files = spark.read.parquet(folder)
-    earlier = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(earlier("part")), F.lit(0))).select("part", "part_start")
-    starts = files.select("part", "nth", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(earlier("nth", "part")), F.lit(0)))
-    starts = starts.join(parts, "part").select("part", "nth", (F.col("part_start") + F.col("in_part")).alias("block_start"))
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), LANES):
-                few = batch.iloc[a : a + LANES]
-                rows = []
-                for part, nth, (docs, ids) in zip(few["part"], few["nth"], read_blocks(few["block"].tolist())):
-                    at = 0
-                    for key, before, n in docs.tolist():
-                        rows.append((part, nth, None if key == NO_ID else key, at - before, before, n, zlib.crc32(ids[at : at + n].tobytes()), ids[at : at + n].tobytes() if with_ids or before or n == BLOCK else None))
-                        at += n
-                out = pd.DataFrame(rows, columns=_PIECE)
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    piece = files.select("part", "nth", "block").mapInPandas(each, "part int, nth long, doc_id long, shift long, before long, n long, crc long, ids binary")
-    # a row for each piece; only documents of several pieces bring their ids along
-    placed = piece.join(starts, ["part", "nth"]).withColumn("start", F.col("block_start") + F.col("shift"))
-    whole = placed.groupBy("start", "doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("pieces"), F.first("crc").alias("crc"), F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("before", "ids")))).alias("all"))
-    joined = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
-    more = [joined.alias("ids")] if with_ids else []
-    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("pieces") == 1, F.col("crc")).otherwise(F.crc32(joined)).alias("ids_crc32"), *more)
-
-
-_PIECE = ["part", "nth", "doc_id", "shift", "before", "n", "crc", "ids"]
-
-
-def op5_token_codec(spark, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
-    return read_tokens(spark, folder)
