@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,21 +12,31 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a temporary folder serves them all."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one in local mode; on a cluster that is an error, as each machine would have its own.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not named and not _local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or "file://" + tempfile.mkdtemp(prefix="shared-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+    """Write ``df`` to the cluster's checkpoint folder and go on from there; see ``shared_folder``.
 
-    The folder is the one in ``spark.checkpoint.dir``; a temporary one is set only where that is unset.
+    Spark removes the files once nothing refers to them where spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

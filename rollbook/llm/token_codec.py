@@ -282,3 +282,126 @@ def read_blocks(blocks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         for lane, (i, ids) in enumerate(zip(order, _code(lengths, None, words).T.astype("<u4"))):
             out[i] = (parts[i][0], ids[: lengths[lane]])
     return out
+
+
+def _bounds(ids: DataFrame, parts: int) -> list[int]:
+    """Ids that part the rows into about equal ranges: one number less than ``parts``. An id of very many rows is several of them."""
+    shares = [k / parts for k in range(1, parts)]
+    found = ids.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, shares)), 20 * parts)).first()[0] if shares else None
+    return found or []
+
+
+def _encoded(docs: DataFrame, path: str, doc_id: str, text: str, end_id: int) -> DataFrame:
+    """part, nth, n_ids, block: the blocks of each range of ids in the order of the ids.
+
+    Texts become 16-bit ids where they are read, and only these are shuffled. Rows of an id that spans several ranges,
+    null among them, are dealt over these by a checksum of their ids.
+    """
+    spark = docs.sparkSession
+    parts = shuffle_parts(spark)
+    lexicon = spark.sparkContext.broadcast(build_lexicon(docs, text, path).pack())
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
+    bounds = np.array(_bounds(rows.select("doc_id"), parts), np.int64)
+    end = np.uint16(end_id).tobytes()
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = encoder(path, lexicon.value)
+        for batch in batches:
+            keys = batch["doc_id"].to_numpy(np.int64)
+            for a, b, numbers, counts in own.numbered(batch["text"].tolist()):
+                flat, total = own.ids_of(numbers).astype("<u2"), np.concatenate(([0], np.cumsum(own.n_ids(numbers))))
+                ends = total[np.cumsum(counts)]
+                ids = [flat[i:j].tobytes() + end for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+                low, high = np.searchsorted(bounds, keys[a:b], "left"), np.searchsorted(bounds, keys[a:b], "right")
+                part = low + np.array([zlib.crc32(x) for x in ids], np.int64) % (high - low + 1)
+                yield pd.DataFrame({"part": part.astype(np.int32), "doc_id": keys[a:b], "ids": ids})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        nth, part, blocks, docs_of, ids_of, room = 0, 0, [], [], [], BLOCK
+
+        def close() -> None:
+            nonlocal docs_of, ids_of, room
+            if ids_of:
+                blocks.append((np.array(docs_of, _DOC), np.concatenate(ids_of)))
+            docs_of, ids_of, room = [], [], BLOCK
+
+        def flush() -> pd.DataFrame:
+            nonlocal nth, blocks
+            out = pd.DataFrame({"part": part, "nth": range(nth, nth + len(blocks)), "n_ids": [len(ids) for _, ids in blocks], "block": write_blocks(blocks)})
+            nth, blocks = nth + len(blocks), []
+            return out
+
+        for batch in batches:
+            for part, key, packed in zip(batch["part"].tolist(), batch["doc_id"].tolist(), batch["ids"]):
+                ids = np.frombuffer(packed, "<u2")
+                for at in range(0, len(ids), BLOCK):
+                    piece = ids[at : at + BLOCK]
+                    if len(piece) > room:
+                        close()
+                    docs_of.append((key, at, len(piece)))
+                    ids_of.append(piece)
+                    room -= len(piece)
+                if len(blocks) >= LANES:
+                    yield flush()
+        close()
+        if blocks:
+            yield flush()
+
+    dealt = rows.mapInPandas(encode, "part int, doc_id long, ids binary").repartitionById(parts, "part").sortWithinPartitions("doc_id", "ids")
+    return dealt.mapInPandas(pack, "part int, nth long, n_ids long, block binary")
+
+
+def write_tokens(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
+    """Write the ids of all texts, each with ``end_id`` after it, in ascending order of ``doc_id`` (null first).
+
+    ``folder`` gets one file per range of ids: a table of part, nth (of the block in its part), n_ids, block. Null and
+    empty texts have the end id alone. Repeated rows are written each, as neighbours. A text longer than a block lies
+    in several. Other columns of ``docs``, whatever their names, play no part. An empty table gives a table without rows.
+    """
+    _encoded(docs, path, doc_id, text, end_id).write.option("compression", "none").parquet(folder)
+
+
+def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (and ids) of every document from the files of ``write_tokens``.
+
+    start: ids of all documents before it. Sums by part, then by block, place each block; no task sees them all.
+    A document's pieces in several blocks are put together by their positions.
+    """
+    files = spark.read.parquet(folder)
+    earlier = lambda order, *keys: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("part_start", F.coalesce(F.sum("n").over(earlier("part")), F.lit(0))).select("part", "part_start")
+    starts = files.select("part", "nth", "n_ids").withColumn("in_part", F.coalesce(F.sum("n_ids").over(earlier("nth", "part")), F.lit(0)))
+    starts = starts.join(parts, "part").select("part", "nth", (F.col("part_start") + F.col("in_part")).alias("block_start"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), LANES):
+                few = batch.iloc[a : a + LANES]
+                rows = []
+                for part, nth, (docs, ids) in zip(few["part"], few["nth"], read_blocks(few["block"].tolist())):
+                    at = 0
+                    for key, before, n in docs.tolist():
+                        own = ids[at : at + n].tobytes()
+                        rows.append((part, nth, None if key == NO_ID else key, at - before, before, n, zlib.crc32(own), own if with_ids or before or n == BLOCK else None))
+                        at += n
+                out = pd.DataFrame(rows, columns=_PIECE)
+                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+
+    piece = files.select("part", "nth", "block").mapInPandas(each, "part int, nth long, doc_id long, shift long, before long, n long, crc long, ids binary")
+    # a row for each piece; only documents of several pieces bring their ids along
+    placed = piece.join(starts, ["part", "nth"]).withColumn("start", F.col("block_start") + F.col("shift"))
+    whole = placed.groupBy("start", "doc_id").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("pieces"), F.first("crc").alias("crc"), F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("before", "ids")))).alias("all"))
+    joined = F.aggregate("all", F.lit(b""), lambda acc, x: F.concat(acc, x["ids"]))
+    more = [joined.alias("ids")] if with_ids else []
+    return whole.select("doc_id", "start", "n_tokens", F.when(F.col("pieces") == 1, F.col("crc")).otherwise(F.crc32(joined)).alias("ids_crc32"), *more)
+
+
+_PIECE = ["part", "nth", "doc_id", "shift", "before", "n", "crc", "ids"]
+
+
+def op5_token_codec(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    return read_tokens(spark, folder)
