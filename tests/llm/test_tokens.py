@@ -1,5 +1,7 @@
 import hashlib
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from rollbook.llm import bpe, token_codec, token_counts
+from rollbook.llm.pretokens import BEYOND, Cut, Known
 
 WORD, BYTE = (public_tokenizers.path(f) for f in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 TEXTS = ["Hello WORLD's it'll x\x85y  ", "<|endoftext|> a<|startoftext|>b", "naïve ÀÉ² ½ 12 ---", "日本語 é ΣΑΣ", "a\x1cb\x1fc", "x" * 300 + " " + "ab!" * 100, "", " \n\n a \t", "İstanbul ſ K", "😀😀 ok’s “q” …", "'S 'LL don'T", "a  b   c \n "]
@@ -16,18 +19,35 @@ def sha(x):
     return hashlib.sha256(x.encode()).hexdigest()
 
 
+library = lru_cache(Tokenizer.from_file)  # reading a file takes a second
+
+
 def ids_of(path, text):
-    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+    return library(path).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_merges_equal_the_library(path):
     own = bpe.load(path)
     for text in TEXTS:
-        words = bpe._words_of(own, text)
-        plain = [w.encode("utf-8", "surrogateescape") for w in words if isinstance(w, str)]
-        made = iter(own.merge(plain))
-        assert [i for w in words for i in (next(made) if isinstance(w, str) else w)] == ids_of(path, text)
+        got = []
+        for part, special in own.segments(text):
+            got += [own.specials[part]] if special else [i for ids in own.merge([w.encode("utf-8", "surrogateescape") for w in own.cut(part)]) for i in ids]
+        assert got == ids_of(path, text)
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_cutting_side_by_side_equals_cutting_one_by_one(path):
+    own = bpe.load(path)
+    low = [t.lower() if own.lower else t for t in TEXTS]
+    plain = [t for t in low if "<|" not in t and not BEYOND.search(t)]
+    cut = Cut(plain, bool(own.suffix))
+    words = cut.words(np.arange(len(cut.start)))
+    assert words == [w for t in plain for w in own.cut(t)] and cut.counts.tolist() == [len(own.cut(t)) for t in plain]
+    met: list[str] = []
+    known = Known(met.extend, met.clear, 1000)
+    for _ in range(2):
+        assert [met[k] for k in known.of_cut(cut)] == words
 
 
 def test_heap_and_side_by_side_agree():
@@ -50,11 +70,10 @@ def test_lexicon():
 
 def check_encoding(rows, got):
     assert len(got) == len(rows)
-    library = Tokenizer.from_file(WORD)
     want = {}
     for i, text in rows:
         ids = ids_of(WORD, text)
-        want.setdefault(i, (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+        want.setdefault(i, (len(ids), sha(" ".join(map(str, ids))), sha(library(WORD).decode(ids, skip_special_tokens=False))))
     assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.doc_id] for r in got)
 
 
@@ -70,11 +89,8 @@ def test_encode_decode(spark, small, odd, odd_rows):
 
 def test_counts(spark, small, odd, odd_rows, empty):
     def check(rows, df):
-        want = {}
-        for i, text in rows:
-            size, n = want.get(i, (0, 0))
-            want[i] = (size + len((text or "").encode()), n + len(ids_of(BYTE, text)))
-        assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in df.collect()} == want
+        count = lambda t: (len((t or "").encode()), len(ids_of(BYTE, t)))
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in df.collect()) == Counter((i, *count(t), count(t)[1] > 512) for i, t in rows)
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     check([(r.doc_id, r.text) for r in docs.collect()], token_counts.op6_token_counts(spark, small))
@@ -111,3 +127,27 @@ def test_token_files(spark, odd, odd_rows, empty, tmp_path):
     check_files([(r[0], r[1]) for r in odd_rows], token_codec.read_tokens(spark, f"file://{tmp_path}/a").collect())
     token_codec.write_tokens(empty, WORD, f"file://{tmp_path}/b")
     assert token_codec.read_tokens(spark, f"file://{tmp_path}/b").collect() == []
+
+
+def test_token_files_of_the_whole_table_and_the_encoder_that_both_queries_share(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    check_files(rows, token_codec.op5_token_codec(spark, small).collect())
+    check_encoding(rows, bpe.op8_bpe(spark, small).collect())
+    check_files(rows, token_codec.op5_token_codec(spark, small).collect())
+
+
+def test_one_id_of_most_rows_is_dealt_over_several_files(spark, tmp_path):
+    rows = [(7, f"text number {k} " * (k % 5)) for k in range(200)] + [(None, f"row {k}") for k in range(100)] + [(9, "end"), (2, None)]
+    token_codec.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), WORD, f"file://{tmp_path}/a")
+    assert spark.read.parquet(f"file://{tmp_path}/a").select("part").distinct().count() >= 3
+    got = token_codec.read_tokens(spark, f"file://{tmp_path}/a", with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 100 + [2] + [7] * 200 + [9]
+    want = sorted((i is not None, i or 0, np.array([*ids_of(WORD, t), 2], "<u4").tobytes()) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+
+
+def test_a_long_text_lies_in_several_blocks(spark, tmp_path):
+    text = " ".join(f"word{k % 977}" for k in range(3 * token_codec.BLOCK))
+    token_codec.write_tokens(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), WORD, f"file://{tmp_path}/a")
+    check_files([(1, text), (2, "x")], token_codec.read_tokens(spark, f"file://{tmp_path}/a").collect())
