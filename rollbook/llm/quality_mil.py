@@ -16,9 +16,8 @@ from rollbook.llm.toxicity import sampled
 PASSAGE = 64
 #: Sizes of a passage's code and of the attention.
 CODE, ATTEND = 12, 8
-#: The fit takes at most so many labelled documents of each class (those with the least hash of the id) and at most so
-#: many evenly spaced passages of each; a score takes all passages.
-FIT_GOOD, FIT_BAD, FIT_PASSAGES = 3_000, 1_500, 96
+#: The fit takes at most so many labelled documents of each class (those with the least hash of the id), each whole.
+FIT_GOOD, FIT_BAD = 3_000, 1_500
 EPOCHS = 60
 CHUNK = 1 << 22
 
@@ -154,16 +153,17 @@ def training_bags(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     bags = []
     for a, b in chunks(texts, CHUNK):
         x, counts = passages(texts[a:b])
-        for part in np.split(x, np.cumsum(counts)[:-1]):
-            bags.append(part if len(part) <= FIT_PASSAGES else part[np.arange(FIT_PASSAGES) * len(part) // FIT_PASSAGES])
-    return (np.concatenate(bags) if bags else np.zeros((0, N_MEASURES), np.float32)), np.array([len(b) for b in bags], np.int64)
+        bags.append((x, counts))
+    return np.concatenate([np.zeros((0, N_MEASURES), np.float32), *(x for x, _ in bags)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in bags)])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, folds: int = 5, held: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; held_out: crc32 of the id as text mod folds = held.
 
-    Learns from labels of rows that aren't held out alone. Null and empty texts are one passage of zeros and get its
-    score. A null id is not held out. Repeated rows get the same score. Without labels all scores are one half.
+    Learns from labels of rows that aren't held out alone (see ``sampled``), all passages of each. Null and empty texts are one
+    passage of zeros and get its score. A null id is not held out. Repeated rows get the same score. Without labels all
+    scores are one half. A very long text is worked on by itself, all its passages in numpy arrays. Other columns of
+    ``docs``, whatever their names, play no part. An empty table gives an empty one.
     """
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
     few = sampled(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_GOOD, 0: FIT_BAD})
