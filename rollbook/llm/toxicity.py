@@ -16,9 +16,12 @@ WINDOW, STRIDE = 32, 16
 #: Sizes of the recurrent state, of the word and of the character inputs; places of the character n-grams.
 STATE, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 8, 1 << 14
 GRAM_SIZES = (3, 4, 5)
-#: The fit takes at most so many labelled documents of each class (those with the least hash of the id), all windows
-#: of each, and words of at least so many of these documents, but no more than MOST_WORDS.
-FIT_TOXIC, FIT_CLEAN, LEAST_DOCS, MOST_WORDS = 1_500, 2_500, 3, 30_000
+#: The fit takes at most so many labelled documents of each class (those with the least hash of the id), with all their
+#: windows and words.
+FIT_TOXIC, FIT_CLEAN = 1_500, 2_500
+#: A word has a vector of its own if so many further documents of the fit have it. What fewer say tells little about others;
+#: such words, as those the fit has never met, come by their characters.
+TRUST = 2
 EPOCHS = 8
 #: Bytes of text, windows, and words that are worked on together.
 CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
@@ -30,8 +33,8 @@ def _bytes(texts: Iterable) -> list[bytes]:
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start (over all words), length and text of every window; a text of n words has one at 0 and then each STRIDE words
-    until its last word is covered. Texts without words have none."""
-    n = np.where(counts > 0, 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE)), 0)
+    until its last word is covered. A text without words has one of length 0."""
+    n = 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE))
     text = np.repeat(np.arange(len(counts)), n)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
     first = (np.cumsum(counts) - counts)[text] + nth * STRIDE
@@ -78,7 +81,8 @@ class Inputs:
             first = ends[a] - n[0]
             own = params["grams"][self.grams[first : first + n.sum()]]
             out[a : a + BATCH, WORD_DIM:] = np.add.reduceat(own, np.cumsum(n) - n, axis=0) / n[:, None]
-            out[a : a + BATCH, :WORD_DIM] = np.where((self.known[a : a + BATCH] >= 0)[:, None], params["words"][self.known[a : a + BATCH]], 0)
+            known = self.known[a : a + BATCH]
+            out[a : a + BATCH, :WORD_DIM] = params["words"][known] * np.where(known >= 0, params["trust"][known], 0)[:, None]
         return out
 
 
@@ -106,12 +110,12 @@ class Lesson(Inputs):
         seen, flags = (np.concatenate(x) if x else np.zeros(0) for x in (seen, flags))
         words, place, n_docs = np.unique(seen, return_inverse=True, return_counts=True)
         toxic = np.bincount(place, flags, len(words)) if len(words) else np.zeros(0)
-        chosen = np.flatnonzero(n_docs >= LEAST_DOCS)
-        chosen = np.sort(chosen[np.argsort(-n_docs[chosen], kind="stable")[:MOST_WORDS]])
-        self.vocabulary, n1 = words[chosen].astype(np.uint64), labels.sum()
-        self.odds = np.log((toxic[chosen] + 0.5) / (n1 + 1)) - np.log((n_docs[chosen] - toxic[chosen] + 0.5) / (len(labels) - n1 + 1))
-        near = np.minimum(np.searchsorted(self.vocabulary, all_words), max(0, len(chosen) - 1))
-        self.known = np.where(self.vocabulary[near] == all_words, near, -1) if len(chosen) else np.full(len(all_words), -1)
+        self.vocabulary = words.astype(np.uint64)
+        others = np.maximum(n_docs - 1, 0)
+        self.trust = (others >= TRUST).astype(np.float32)
+        n1 = labels.sum()
+        self.odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((n_docs - toxic + 0.5) / (len(labels) - n1 + 1))
+        self.known = np.searchsorted(self.vocabulary, all_words)  # all words are in it
 
     def placed(self, which: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _placed(self.start[which], self.size[which], self.of_word)
@@ -139,7 +143,7 @@ def forward(params: dict, x: dict[str, np.ndarray], at: np.ndarray, on: np.ndarr
             states[:, t, d * STATE : (d + 1) * STATE] = h
     seen = np.tanh(states @ params["attend"] + params["attend_b"])
     weight = np.exp(np.where(on, np.clip(seen @ params["pick"], -30, 30), -np.inf))
-    weight /= weight.sum(axis=1, keepdims=True)
+    weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1e-30)  # without words nothing is pooled
     pooled = np.einsum("nt,nth->nh", weight, states)
     if kept is not None:
         kept |= {"states": states, "seen": seen, "weight": weight, "pooled": pooled}
@@ -180,18 +184,24 @@ def _gates(params: dict, embedded: np.ndarray) -> dict[str, np.ndarray]:
     return {side: embedded @ params[f"w_{side}"] + params[f"b_{side}"] for side in "fb"}
 
 
+def _or_blank(embedded: np.ndarray) -> np.ndarray:
+    """The inputs; where no text has a word, one of zeros that stands in for words that aren't there."""
+    return embedded if len(embedded) else np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)
+
+
 def _placed(first: np.ndarray, size: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = np.arange(WINDOW)
     on = step < size[:, None]
-    return of_word[np.where(on, first[:, None] + step, first[:, None])], on
+    return np.append(of_word, 0)[np.where(on, first[:, None] + step, len(of_word))], on
 
 
-def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
+def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 0) -> dict:
     """Train on documents and their labels (0 or 1) by Adam.
 
     A document's logit is its highest window's. Each epoch scores all windows, then learns from the highest two of
-    each document. Word vectors start with the log odds of the word in their first place. With labels of one class only, or none,
-    the network stays at the share of toxic documents.
+    each document. Word vectors start with the log odds of the word in their first place, the bias with those of
+    ``share``, the share of toxic documents among all labelled ones (default: among these). With labels of one class
+    only, or none, the network stays at that share.
     """
     rng = np.random.default_rng(seed)
     lesson, n1 = Lesson(texts, labels), labels.sum()
@@ -199,9 +209,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     some = lambda *shape: (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
     params = {"words": (rng.standard_normal((max(1, n_words), WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.05).astype(np.float32)}
     params["words"][:n_words, 0] = np.clip(lesson.odds, -4, 4) / 2
+    params["trust"] = np.append(lesson.trust, np.float32(0))[: max(1, n_words)]
     for side in "fb":
         params |= {f"w_{side}": some(WORD_DIM + CHAR_DIM, 3 * STATE), f"u_{side}": some(STATE, 3 * STATE), f"b_{side}": np.zeros(3 * STATE, np.float32)}
-    share = (n1 + 0.5) / (len(labels) + 1)
+    share = (n1 + 0.5) / (len(labels) + 1) if share is None else share
     params |= {"attend": some(2 * STATE, STATE), "attend_b": np.zeros(STATE, np.float32), "pick": some(STATE), "out": some(2 * STATE), "out_b": np.array([np.log(share / (1 - share))], np.float32)}
     model = params | {"vocabulary": lesson.vocabulary}
     if not 0 < n1 < len(labels):
@@ -210,7 +221,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     trained, adam = {k: params[k] for k in params}, Adam(params, 0.01)
     weigh = np.where(labels == 1, 0.5 * len(labels) / n1, 0.5 * len(labels) / (len(labels) - n1)) ** 0.5
     for epoch in range(EPOCHS):
-        gates, logit = _gates(trained, lesson.embedded(trained)), np.empty(len(text), np.float32)
+        gates, logit = _gates(trained, _or_blank(lesson.embedded(trained))), np.empty(len(text), np.float32)
         for a in range(0, len(text), BLOCK):
             logit[a : a + BLOCK] = forward(trained, gates, *lesson.placed(slice(a, a + BLOCK)))
         order = np.lexsort((-logit, text))
@@ -222,8 +233,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
             at, on = lesson.placed(which)
             used, at = np.unique(at, return_inverse=True)
             at = at.reshape(on.shape)
-            few = _Some(lesson, used)
-            embedded, kept = few.embedded(trained), {}
+            few = _Some(lesson, used if len(lesson.known) else used[:0])
+            embedded, kept = _or_blank(few.embedded(trained)), {}
             out = forward(trained, _gates(trained, embedded), at, on, kept)
             y = labels[text[which]]
             grads, d_gates = backward(trained, kept, on, ((sigmoid(out) - y) * weigh[text[which]] / len(which)).astype(np.float32))
@@ -233,7 +244,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
                 np.add.at(d_word, at[on], d_gates[side][on])
                 grads |= {f"w_{side}": embedded.T @ d_word, f"b_{side}": d_word.sum(axis=0)}
                 d_embedded += d_word @ trained[f"w_{side}"].T
-            grads |= few.gradients(trained, d_embedded)
+            grads |= few.gradients(trained, d_embedded[: len(few.known)])
             adam.step(grads)
     return model
 
@@ -248,46 +259,53 @@ class _Some(Inputs):
     def gradients(self, params: dict, d_embedded: np.ndarray) -> dict:
         word, grams = np.zeros_like(params["words"]), np.zeros_like(params["grams"])
         on = self.known >= 0
-        np.add.at(word, self.known[on], d_embedded[on, :WORD_DIM])
+        np.add.at(word, self.known[on], d_embedded[on, :WORD_DIM] * params["trust"][self.known[on], None])
         np.add.at(grams, self.grams, np.repeat(d_embedded[:, WORD_DIM:] / self.n_grams[:, None], self.n_grams, axis=0))
         return {"words": word, "grams": grams}
 
 
 def scores(model: dict, texts: list[bytes]) -> np.ndarray:
-    """Score of each text: its highest window's. Texts without words get the score of the network's bias."""
+    """Score of each text: its highest window's. A text without words has one window that pools nothing."""
     words = words_of(texts, NO_LETTER)
     best = np.full(len(texts), -np.inf, np.float32)
-    if len(words.start):
-        inputs = Inputs(words, model["vocabulary"])
-        gates = _gates(model, inputs.embedded(model))
-        start, size, text = windows(words.counts)
-        for a in range(0, len(text), BLOCK):
-            at, on = _placed(start[a : a + BLOCK], size[a : a + BLOCK], inputs.of_word)
-            np.maximum.at(best, text[a : a + BLOCK], forward(model, gates, at, on))
-    return sigmoid(np.where(np.isneginf(best), np.minimum(model["out_b"][0], -1.5), best)).astype(np.float64)
+    inputs = Inputs(words, model["vocabulary"])
+    gates = _gates(model, _or_blank(inputs.embedded(model)))
+    start, size, text = windows(words.counts)
+    for a in range(0, len(text), BLOCK):
+        at, on = _placed(start[a : a + BLOCK], size[a : a + BLOCK], inputs.of_word)
+        np.maximum.at(best, text[a : a + BLOCK], forward(model, gates, at, on))
+    return sigmoid(best.astype(np.float64))
 
 
 def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learns: Column, n_by_class: dict[int, int]) -> pd.DataFrame:
-    """text and label of a bounded sample of labelled documents: of each class the given number with the least hash."""
+    """text and label of a bounded sample of labelled documents: of each class the given number with the least hash.
+
+    One row for each sampled id and class; where several rows share an id it is the one with the least text.
+    """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__id").isNotNull()).where(learns)
     parts = [known.where(F.col("__label") == c).distinct().orderBy(F.xxhash64("__id"), "__id").limit(n) for c, n in n_by_class.items()]
     few = parts[0]
     for part in parts[1:]:
         few = few.union(part)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id")  # bounded by n_by_class
-    got = rows.select("__id", "__text", "__label").orderBy("__id", "__text").toPandas()
+    got = rows.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).orderBy("__id", "__label").toPandas()
     return got.rename(columns={"__text": "text", "__label": "label"})
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; held_out: crc32 of the id as text mod folds = held.
 
-    Learns from labels of rows that aren't held out alone. Null and empty texts get the score of the bias, below the
-    threshold. A null id is not held out. Repeated rows get the same score. Without labels every score is that of the bias.
+    Learns from labels of rows that aren't held out alone (see ``sampled``), all windows and words of each. Null and empty
+    texts get the network's score of a window without words. A null id is not held out. Repeated rows get the same
+    score. Without labels every text of words scores one half, the odds of no labels. A very long text is worked
+    on by itself, its windows a block at a time. Other columns of ``docs``, whatever their names, play no part. An empty table
+    gives an empty one.
     """
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
     few = sampled(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_TOXIC, 0: FIT_CLEAN})
-    model = docs.sparkSession.sparkContext.broadcast(fit(_bytes(few["text"]), few["label"].to_numpy(np.float64)))
+    known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(fold("__id") != held)
+    toxic, rows = known.agg(F.count_if(F.col("__label") == 1), F.count("__label")).first()
+    model = docs.sparkSession.sparkContext.broadcast(fit(_bytes(few["text"]), few["label"].to_numpy(np.float64), (toxic + 0.5) / (rows + 1)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
