@@ -62,15 +62,28 @@ def missing(asked: DataFrame, store: DataFrame, country: str = "BR", mode: str =
         F.col(name).alias("name"), F.floor(F.col("nth") / BATCH).alias("batch"), (F.col("nth") % BATCH).cast("int").alias("pos"))
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with nth, the 0-based place of its unique ``key``. Each range of keys numbers its own rows and adds the
-    rows of the ranges before; no task sees all rows."""
-    parts = df.repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("head", F.min(key).over(Window.partitionBy("part")))  # names the range, whoever computes it
+def numbered(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """``df`` with nth, the 0-based place of its unique, non-null ``key``.
+
+    The keys' quantiles part them into ranges; a row's range follows from its key alone, whoever computes it. Each range
+    numbers its own rows and adds the rows of the ranges before, a table of a row per range; no task sees all rows.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = _range_head(df, key, ranges)
+    parts = df.withColumn("head", head)
     within = parts.withColumn("within", F.row_number().over(Window.partitionBy("head").orderBy(key)) - 1)
-    sizes = within.groupBy("head").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("head").agg(F.count("*").alias("n"))
     before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return within.join(F.broadcast(before), "head").withColumn("nth", F.col("before") + F.col("within")).drop("head", "part", "within", "before")  # a row per partition
+    return within.join(F.broadcast(before), "head").withColumn("nth", F.col("before") + F.col("within")).drop("head", "within", "before")
+
+
+def _range_head(df: DataFrame, key: str, ranges: int) -> Column:
+    """The number of range bounds that do not lie above the key. Bounds are keys: those of evenly spaced ranks of the hashed sample with the
+    least hashes, so that they take one pass and no sort of all keys; they decide sizes alone, never the numbers."""
+    few = df.select(F.col(key).alias("k")).where("k IS NOT NULL").orderBy(F.xxhash64("k"), "k").limit(ranges * 50)
+    keys = sorted(r.k for r in few.collect())  # ranges * 50 at most
+    bounds = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
+    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
 
 
 def apply_prediction(df: DataFrame, high: float = 0.90, medium: float = 0.75) -> DataFrame:

@@ -303,7 +303,7 @@ def document_group_counts(spark, sf_dir):
     return _extracted(spark, sf_dir).records.groupBy("tipo_registro", "curso_normalizado", "periodo", "arquivo").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {ROSTER} SELECT arquivo AS doc_id FROM (SELECT DISTINCT arquivo FROM roster) UNION ALL SELECT 'copy ' || arquivo FROM (SELECT DISTINCT arquivo FROM roster) WHERE arquivo LIKE 'concluinte%'  AND true ORDER BY 1".replace("SELECT arquivo AS doc_id FROM (SELECT DISTINCT arquivo FROM roster) UNION", "SELECT DISTINCT arquivo AS doc_id FROM roster WHERE arquivo LIKE 'concluinte%' UNION"))
+@query(f"WITH {ROSTER}, d AS (SELECT DISTINCT arquivo FROM roster WHERE tipo_registro = 'concluinte') SELECT arquivo AS doc_id FROM d UNION ALL SELECT 'copy ' || arquivo FROM d")
 def cross_document_overlap(spark, sf_dir):
     pages = bridge.rosters(spark, sf_dir)
     copies = pages.where("doc_id LIKE 'concluinte%'").withColumn("doc_id", F.concat(F.lit("copy "), "doc_id"))
@@ -534,20 +534,22 @@ def protect_summaries(spark, sf_dir):
     return even(privacy.protect(summary.summarize(bridge.records(spark, sf_dir), ["tipo_registro", "curso_normalizado", "periodo"]), 65, ("tipo_registro",)))
 
 
-M5 = "(n_matches_exact_unique > 0 AND n_matches_exact_unique < 9)"
-RE, RM = "(resolved_entrants > 0 AND resolved_entrants < 60)", "(resolved_matched > 0 AND resolved_matched < 9)"
+# the rules in their order: a small cohort keeps its labels alone; else few matches hide what is said of matches; then few resolved
+# entrants, and few resolved matches that are still shown, hide their expectations, and the last mark stays
+SHOWN = "CASE WHEN few_matches THEN NULL ELSE {0} END AS {0}"
 
 
-@query(f"""WITH {COHORT_SQL}, a AS (SELECT * REPLACE (CASE WHEN NOT {M5} THEN n_matches_exact_unique END AS n_matches_exact_unique, CASE WHEN NOT {M5} THEN match_proportion END AS match_proportion, CASE WHEN NOT {M5} THEN resolved_matched END AS resolved_matched,
-CASE WHEN NOT {M5} THEN expected_female_matched END AS expected_female_matched, CASE WHEN NOT {M5} THEN expected_male_matched END AS expected_male_matched), CASE WHEN {M5} THEN '{privacy.FEW_MATCHES}' END AS mark FROM cohorts),
-b AS (SELECT * REPLACE (CASE WHEN coalesce({RM.replace('< 9', '< 9')}, false) THEN NULL ELSE resolved_matched END AS resolved_matched, CASE WHEN coalesce({RM}, false) THEN NULL ELSE expected_female_matched END AS expected_female_matched,
-CASE WHEN coalesce({RM}, false) THEN NULL ELSE expected_male_matched END AS expected_male_matched, CASE WHEN coalesce({RM}, false) THEN '{privacy.FEW_COHORT}' ELSE mark END AS mark) FROM a)
-SELECT curso_normalizado, periodo_ingresso, n_ingressantes::BIGINT AS n_ingressantes, n_matches_exact_unique::BIGINT AS n_matches_exact_unique, resolved_matched::BIGINT AS resolved_matched, round(expected_female_matched, 6) + 0.0 AS expected_female_matched, round(match_proportion, 6) + 0.0 AS match_proportion, mark AS privacidade FROM b WHERE n_ingressantes >= 9
-UNION ALL SELECT curso_normalizado, periodo_ingresso, NULL, NULL, NULL, NULL, NULL, '{privacy.SMALL}' FROM cohorts WHERE n_ingressantes < 9""")
+@query(f"""WITH {COHORT_SQL}, a AS (SELECT *, n_matches_exact_unique BETWEEN 1 AND 8 AS few_matches, resolved_entrants BETWEEN 1 AND 8 AS few_entrants FROM cohorts WHERE n_ingressantes >= 9),
+b AS (SELECT curso_normalizado, periodo_ingresso, n_ingressantes, few_matches, few_entrants, resolved_entrants, expected_female_entrants, {', '.join(SHOWN.format(c) for c in ('n_matches_exact_unique', 'match_proportion', 'resolved_matched', 'expected_female_matched'))} FROM a),
+c AS (SELECT *, coalesce(resolved_matched BETWEEN 1 AND 8, false) AS few_resolved FROM b)
+SELECT curso_normalizado, periodo_ingresso, n_ingressantes::BIGINT AS n_ingressantes, CASE WHEN NOT few_entrants THEN resolved_entrants END::BIGINT AS resolved_entrants, round(CASE WHEN NOT few_entrants THEN expected_female_entrants END, 6) + 0.0 AS expected_female_entrants,
+n_matches_exact_unique::BIGINT AS n_matches_exact_unique, CASE WHEN NOT few_resolved THEN resolved_matched END::BIGINT AS resolved_matched, round(CASE WHEN NOT few_resolved THEN expected_female_matched END, 6) + 0.0 AS expected_female_matched, round(match_proportion, 6) + 0.0 AS match_proportion,
+CASE WHEN few_entrants OR few_resolved THEN '{privacy.FEW_COHORT}' WHEN few_matches THEN '{privacy.FEW_MATCHES}' END AS privacidade FROM c
+UNION ALL SELECT curso_normalizado, periodo_ingresso, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{privacy.SMALL}' FROM cohorts WHERE n_ingressantes < 9""")
 def protect_cohorts(spark, sf_dir):
     rec = bridge.records(spark, sf_dir)
     rows = privacy.protect(cohorts.summarize_cohorts(rec, cohorts.match_cohorts(rec)), 9)
-    return even(rows.select("curso_normalizado", "periodo_ingresso", "n_ingressantes", "n_matches_exact_unique", "resolved_matched", "expected_female_matched", "match_proportion", "privacidade"))
+    return even(rows.select("curso_normalizado", "periodo_ingresso", "n_ingressantes", "resolved_entrants", "expected_female_entrants", "n_matches_exact_unique", "resolved_matched", "expected_female_matched", "match_proportion", "privacidade"))
 
 
 @query(f"""WITH {REC}, {sums_sql(['tipo_registro', 'periodo'])}, a AS (SELECT * FROM stats WHERE tipo_registro = 'ingressante' AND periodo <> '1997/1'), b AS (SELECT * FROM stats WHERE tipo_registro = 'concluinte' AND periodo <> '1996/2')
@@ -567,7 +569,8 @@ def series_table(spark, sf_dir):
     return even(charts.series_table(rec, 5, "1996/1", "1999/2").select(*CHART))
 
 
-@query(f"WITH {COHORT_SQL} SELECT curso_normalizado, periodo_ingresso, round(100 * CASE WHEN n_matches_exact_unique = 0 OR n_matches_exact_unique >= 5 THEN match_proportion END, 6) + 0.0 AS match_percent, followup_semesters::BIGINT AS followup_semesters FROM cohorts WHERE periodo_ingresso BETWEEN '1996/1' AND '1999/2'")
+@query(f"""WITH {COHORT_SQL} SELECT curso_normalizado, periodo_ingresso, round(100 * CASE WHEN n_ingressantes >= 5 AND (n_matches_exact_unique = 0 OR n_matches_exact_unique >= 5) THEN match_proportion END, 6) + 0.0 AS match_percent,
+CASE WHEN n_ingressantes >= 5 THEN followup_semesters::BIGINT END AS followup_semesters FROM cohorts WHERE periodo_ingresso BETWEEN '1996/1' AND '1999/2'""")
 def cohort_match_share(spark, sf_dir):
     return even(charts.cohort_match_share(bridge.records(spark, sf_dir), 5, "1996/1", "1999/2"))
 

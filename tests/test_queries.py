@@ -1,6 +1,7 @@
 """Every registered query of the registry library against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from rollbook.queries import ORACLE_SQL, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 def plain(df, cols):
     def cell(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "-"
         if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "fiu" or isinstance(v, int) and not isinstance(v, bool):
             return f"{float(v):.6f}"
