@@ -8,9 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.llm.hashed import mixed, words_of
 from rollbook.llm.shared import cut, shuffle_parts
 
 #: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 28 < 4e-7.
@@ -22,52 +23,19 @@ LEEWAY = 0.2
 PLACES = 1 << 20
 #: In buckets of so many documents at most all pairs of different components are tried.
 SMALL = 16
-#: In larger ones, shingles that so many documents of a cluster have at most are looked up one by one.
-SCARCE = 64
+#: Tasks that the rows of one band are dealt over where they meet the least document of its bucket.
+SALTS = 4
 #: Bytes of text that are hashed together.
 CHUNK = 1 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finalizer of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _UNBASE))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word of all texts, and the number of words of each text. Words: runs of non-blank bytes."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = _BLANK[data]
-    edge = np.flatnonzero(np.diff(blank, prepend=True))
-    start, end = edge[::2], edge[1::2]
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, unpower = _powers(size)
-    with np.errstate(over="ignore"):
-        total = np.concatenate(([np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)])))
-        h = _mixed((total[end] - total[start]) * unpower[start] + (end - start).astype(np.uint64))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return h, np.diff(np.searchsorted(start, ends), prepend=0)
-
-
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each lower-cased text's shingles of ``width`` words."""
-    h, counts = word_hashes(texts)
+    words = words_of(texts)
+    h, counts = words.hash, words.counts
     with np.errstate(over="ignore"):
         joint = h.copy()
         for k in range(1, width):
-            joint[: len(h) - k] = _mixed(joint[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
+            joint[: len(h) - k] = mixed(joint[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
         at = 0
         for n in counts:
             if n >= width:
@@ -75,7 +43,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
             elif n:
                 whole = np.uint64(n)
                 for x in h[at : at + n]:
-                    whole = _mixed(np.array([whole * np.uint64(0xA0761D6478BD642F) + x]))[0]
+                    whole = mixed(np.array([whole * np.uint64(0xA0761D6478BD642F) + x]))[0]
                 yield np.array([whole])
             else:
                 yield h[:0]
@@ -106,9 +74,9 @@ def signature(hashes: np.ndarray, coordinates: int = BANDS * ROWS, seed: int = 1
 def bands(sig: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
     parts = sig.reshape(n_bands, n_rows).astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = _mixed(np.arange(1, n_bands + 1, dtype=np.uint64))
+        h = mixed(np.arange(1, n_bands + 1, dtype=np.uint64))
         for k in range(n_rows):
-            h = _mixed(h * np.uint64(0xD6E8FEB86659FD93) + parts[:, k])
+            h = mixed(h * np.uint64(0xD6E8FEB86659FD93) + parts[:, k])
     return h.view(np.int64)
 
 
@@ -185,8 +153,9 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a, b): node, component (its least node), for every node with a link.
 
     Alternates the large-star and small-star steps on the edge table until every edge leads to the least node of its
-    component; each is a grouped minimum and a join, so that a node with very many links is no task of its own. The
-    table never grows. It is small beside the documents and kept in fewer partitions.
+    component; each is a grouped minimum, merged before it is shuffled, and a join. The join deals the links of one node
+    to one task, as two numbers each, unless adaptive execution splits them. The table never grows. It is small
+    beside the documents and kept in fewer partitions.
     """
     few = max(2, shuffle_parts(links.sparkSession) // 8)
 
@@ -233,21 +202,22 @@ def _in_large(entries: DataFrame, texts: DataFrame, width: int, percent: int, si
 
     own = groups.join(texts.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"]).mapInPandas(each, f"rep {kind}, cluster {kind}, shingles array<long>")
     rows = cut(own).select("rep", "cluster", F.explode("shingles").alias("shingle"))
-    few = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df")).where(F.col("df") <= SCARCE)
-    rare = cut(rows.join(few, ["cluster", "shingle"]))
+    df = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df"))
     sides = entries.select("rep", "n", "component").distinct()
-    apart = (F.col("component") != F.col("component_b")) & (F.col("a") < F.col("b"))
-
-    scarce = rare.where("df > 1").join(sides, "rep").select(F.struct("cluster", "shingle").alias("band"), "rep", "n", "component")
-    sharing = scarce.withColumnRenamed("rep", "a").join(_other(scarce), "band").where(apart & sizes_fit(F.col("n"), F.col("n_b"))).select("a", "b")
-
-    common = sides.join(rare.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left").select("rep", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("m"))
-    reach = entries.join(common, "rep").where(100 * F.col("m") >= percent * F.col("n"))
-    least = F.least("m", "m_b")
-    fits = 100 * least >= percent * (F.col("n") + F.col("n_b") - least)
-    one_side = (F.col("component_b") == F.col("main")) | (F.col("a") < F.col("b"))
-    bounded = reach.where("component <> main").withColumnRenamed("rep", "a").join(_other(reach, "m"), "band").where((F.col("component") != F.col("component_b")) & fits & one_side).select("a", "b")
-    return sharing.union(bounded)
+    # the shingles of a document from rare to common; ties in one order for all
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    placed = rows.join(df, ["cluster", "shingle"]).withColumn("place", place).join(sides, "rep")
+    shared = lambda share, whole: F.floor((share * F.col("n") + whole - 1) / whole)  # noqa: E731  the share of n, rounded up
+    head = placed.where(F.col("place") <= F.col("n") - shared(percent, 100) + 1).withColumn("first", F.col("place") <= F.col("n") - shared(2 * percent, 100 + percent) + 1)
+    key = ["cluster", "shingle"]
+    several = head.groupBy(*key).agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select(*key)
+    head = cut(head.join(several, key))
+    b = head.select(*key, F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("place").alias("place_b"))
+    pairs = head.where("first").withColumnRenamed("rep", "a").join(b, key).where(F.col("component") != F.col("component_b"))
+    least = F.struct("n", "a") < F.struct("n_b", "b")
+    reach = 1 + F.least(F.col("n") - F.col("place"), F.col("n_b") - F.col("place_b"))
+    fits = sizes_fit(F.col("n"), F.col("n_b")) & ((100 + percent) * reach >= percent * (F.col("n") + F.col("n_b")))
+    return pairs.where(least & fits).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
@@ -261,12 +231,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
        as many pairs as bucket entries, however large a bucket is.
     3. What lies in one bucket and not yet in one component is paired across components; members of one component
        need no more pairs. Buckets of SMALL at most make few. In the larger ones, buckets that share documents are
-       a cluster, and two documents of a cluster either share a shingle that at most SCARCE of the cluster have, and
-       are found by it; or their intersection lies within the m other shingles of each, and then min(m) must reach the
-       similarity, which leaves few. No pair that shares a band and may link two components is left out.
+       a cluster, whose documents have their shingles in one order, from rare to common. Two sets that reach the
+       similarity share a shingle among the first of each: of the smaller among its n - 2s / (1 + s) * n + 1 first, of the
+       larger among its n - s * n + 1 first; and from there on enough shingles must be left in both. Shingles that only
+       documents of one component have in front make no pairs. So two families that share bands but are not similar
+       enough meet in the shingles that set them apart, not in all their pairs. No pair that shares a band and may
+       link two components is left out.
 
     Every pair is confirmed on the full sets of words. Null, empty and blank texts: 0 shingles, linked with nothing.
-    Repeated rows are copies of each other. A row without id is never the least of its class; it counts as not kept.
+    Repeated rows are copies of each other. A row without id is never the least of its class; it counts as not kept. A very
+    long text is hashed by itself, whole. Other columns of ``docs``, whatever their names, play no part. An empty table gives
+    an empty one. ``LEEWAY`` is the share by which estimated similarity may fall below the one asked for; 1 looks at all candidates.
     """
     found = cut(signatures(docs, doc_id, text, width, n_bands, n_rows))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -274,7 +249,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = cut(classes)
     entries = classes.select("rep", "n", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("c"), F.max("rep").alias("last")).where("c.rep < last")
-    entries = cut(entries.join(buckets.select("band", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n")), "band"))
+    salted = buckets.select("band", F.col("c.rep").alias("centre"), F.col("c.n").alias("centre_n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    entries = cut(entries.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, ["band", "salt"]).drop("salt"))
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     stars = entries.where(F.col("rep") != F.col("centre")).where(sizes_fit(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     joined = components(confirmed(likely(stars, classes, percent), texts, width, percent))

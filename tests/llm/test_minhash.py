@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -6,8 +7,16 @@ import pytest
 from rollbook.llm import minhash
 
 
+def shingles(text, width):
+    """Written anew: words between the six blanks, A-Z in lower case."""
+    words = [w for w in re.split("[ \t\n\v\f\r]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if len(words) < width:
+        return {tuple(words)} if words else set()
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+
+
 def brute(rows, width=2, percent=80):
-    sets = {i: minhash.pair_set((t or "").encode().lower(), width) for i, t in rows}
+    sets = {i: shingles(t, width) for i, t in rows}
     up = {i: i for i in sets}
 
     def root(x):
@@ -77,3 +86,22 @@ def test_chain_of_links(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in minhash.components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_two_families_that_share_bands_make_few_pairs(spark, monkeypatch):
+    """Half-similar families: what is compared must not grow with the product of their sizes."""
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(110)]
+    rows = []
+    for family in range(2):
+        own = [f"f{family}x{k}" for k in range(16)]
+        for i in range(150):
+            words = own + common
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+            rows.append((family * 1000 + i, " ".join(words)))
+    seen = []
+    likely = minhash.likely
+    monkeypatch.setattr(minhash, "likely", lambda pairs, *more: (seen.append(pairs.count()), likely(pairs, *more))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(minhash.near_duplicates(df)) == brute(rows)
+    assert seen[-1] < 20 * len(rows)
