@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import cut, n_words
+from rollbook.llm.shared import cut, free, n_words
 
 #: Documents of one source and size are dealt over 16 ** SUB_DIGITS sub-groups, so that no window holds a hot group whole.
 SUB_DIGITS = 3
@@ -92,15 +92,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     All columns and their order stay. Needs ids that tell documents apart; of several rows with one id, each gets
     the copies of its own rank in the order of their text hash.
     """
-    names = docs.columns
-    at = Window.partitionBy(doc_id, source, "__size")
-    order = F.xxhash64(text)
+    size, n, own_id, own_source, own_size, nth, times, copy = free(docs, "size_", "n_", "own_id", "own_source", "own_size", "nth", "times", "copy_")
     taken = copies(docs, doc_id, text, source, **options).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__s"), F.col("copies").alias("__copies"), F.col("rank").alias("__r"))
-    taken = taken.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__source", "__s").orderBy("__r"))).drop("__r")
-    rows = docs.withColumn("__size", n_words(F.col(text))).withColumn("__n", F.row_number().over(at.orderBy(order)))
-    on = F.col(doc_id).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__s")) & (F.col("__n") == F.col("__nth"))
-    return rows.join(taken.where("__copies > 0"), on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+        F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("copies").alias(times), "rank")
+    taken = taken.withColumn(nth, F.row_number().over(Window.partitionBy(own_id, own_source, own_size).orderBy("rank"))).drop("rank")
+    rows = docs.withColumn(size, n_words(F.col(text)))
+    rows = rows.withColumn(n, F.row_number().over(Window.partitionBy(doc_id, source, size).orderBy(F.xxhash64(text))))
+    on = F.col(doc_id).eqNullSafe(F.col(own_id)) & F.col(source).eqNullSafe(F.col(own_source)) & (F.col(size) == F.col(own_size)) & (F.col(n) == F.col(nth))
+    return rows.join(taken.where(F.col(times) > 0), on).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

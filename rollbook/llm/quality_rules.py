@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import WORD, cut, row_key
+from rollbook.llm.shared import WORD, cut, free, row_key
 
 #: Rule -> its metric over the columns of ``measures``, and candidate cutoffs from strict to lenient. Fixed values.
 RULES = {
@@ -35,7 +35,8 @@ def measures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratu
     """Per row of ``docs``: doc_id, stratum and the counts that the rules use, all long.
 
     n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_shouts (exclamation marks).
-    Null and empty texts count 0 everywhere. Nothing is shuffled: a text's windows are compared inside its own row.
+    Null and empty texts count 0 everywhere. Nothing is shuffled: a text's windows are compared inside its own row, so a very
+    long text is a long array there. Other columns of ``docs``, whatever their names, play no part.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(stratum).cast("string").alias("stratum"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumns({
@@ -113,13 +114,14 @@ def verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **risk) -> DataFrame:
     """The rows of ``docs`` that ``verdicts`` keeps, whole. Rows that agree in id and text stay or go together: they stay
-    if one of them, in its own stratum, is kept."""
-    keyed = docs.withColumn("__key", row_key(doc_id, text))
-    good = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), "quality")
+    if one of them, in its own stratum, is kept. Other columns stay, whatever their names. An empty table stays empty."""
+    key = free(docs, "key")[0]
+    keyed = docs.withColumn(key, row_key(doc_id, text))
+    good = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled"), "quality")
     # the verdicts go by row key; labels follow the ids to it
-    held = keyed.select(F.col(doc_id).alias("__id"), "__key").join(good, "__id").select(F.col("__key").alias("doc_id"), "quality")
-    kept = verdicts(keyed, held, "__key", text, stratum, **risk).where("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
+    held = keyed.select(F.col(doc_id).alias("labelled"), F.col(key).alias("doc_key")).join(good, "labelled").select(F.col("doc_key").alias("doc_id"), "quality")
+    kept = verdicts(keyed, held, key, text, stratum, **risk).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:

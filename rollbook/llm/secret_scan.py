@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import cut, row_key
+from rollbook.llm.shared import cut, free, row_key
 
 #: The kinds in the order that breaks ties. ``live`` is what the method adds. Fixed values.
 KINDS = ("assign", "access", "hex", "live")
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
 
     Base spans always stay. For each candidate with the verdict ``live`` (see ``findings``) the span of its value is
     added as kind live; an example adds none. n_owners and n_repos are those of the row's most widely spread value. Null and empty texts have no spans and the digest of the empty
-    string. Repeated rows get the same spans. Columns of ``docs`` beyond those named play no part.
+    string. Repeated rows get the same spans. A very long text is searched whole. Columns of ``docs`` beyond those named play no part.
     """
     found = findings(docs, doc_id, text, repo, owner)
     base = F.col("kind") != "live"
@@ -125,16 +125,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source", mask: str = "[secret]") -> DataFrame:
     """``docs`` with each found value of ``text`` replaced by ``mask`` unless it is widely copied; all other rows stay.
 
-    Values of the base kinds need not look live (short passwords, passphrases). Overlapping values are masked as one. No row goes. All columns stay, in their order.
+    Values of the base kinds need not look live (short passwords, passphrases). Overlapping values are masked as one. No row
+    goes; null and empty texts stay as they are. All columns stay, in their order, whatever their names. An empty table stays empty.
     """
-    live = findings(docs, doc_id, text, repo, owner).where("NOT copied").groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("value_start", "value_end"))).alias("__live"))
+    key, found, live = free(docs, "key", "found", "live")
+    spans = F.array_sort(F.collect_set(F.struct("value_start", "value_end")))
+    masked = findings(docs, doc_id, text, repo, owner).where("NOT copied").groupBy(F.col("row_key").alias(found)).agg(spans.alias(live))
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["value_end"]).alias("at"),
         F.when(x["value_start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["value_start"] - acc["at"]), F.lit(mask))).alias("out"),
     )
-    cleaned = F.aggregate("__live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    rows = docs.withColumn("__key", row_key(doc_id, text)).join(live, F.col("__key") == F.col("row_key"), "left")
-    return rows.withColumn(text, F.when(F.col("__live").isNotNull(), cleaned).otherwise(F.col(text))).select(*docs.columns)
+    cleaned = F.aggregate(live, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    rows = docs.withColumn(key, row_key(doc_id, text)).join(masked, F.col(key) == F.col(found), "left")
+    return rows.withColumn(text, F.when(F.col(live).isNotNull(), cleaned).otherwise(F.col(text))).select(*docs.columns)
 
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def row_key(doc_id: str, text: str) -> Column:
     """Rows with one key have the same id and text, so every operator gives them the same result."""
     return F.sha2(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("\x01"))), 256)
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rollbook.llm import quality_mil, toxicity
 
@@ -64,7 +65,7 @@ def test_windows_cover_every_word():
     for k, n in enumerate(counts):
         mine = text == k
         seen = {w for a, m in zip(first[mine], size[mine]) for w in range(a, a + m)}
-        assert seen == set(range(begin[k], begin[k] + n)) and (size[mine] >= 1).all()
+        assert seen == set(range(begin[k], begin[k] + n)) and (size[mine] >= min(n, 1)).all()
 
 
 def held_out(spark, query, label, folds, held):
@@ -96,3 +97,39 @@ def test_odd_rows(spark, odd, odd_rows, empty, score):
     assert not [r for r in got if r.doc_id is None][0].held_out
     assert score(empty, labels).collect() == []
     assert len({r.score for r in score(odd, labels.where("doc_id < 0")).collect()}) >= 1
+
+
+def test_a_score_is_that_of_the_highest_window():
+    rng = np.random.default_rng(0)
+    words = [b"alpha", b"be", b"gamma", "délta".encode(), b"omega", b"x", b"longerword"]
+    texts = [b" ".join(rng.choice(words, n)) for n in (1, 20, 32, 33, 100, 400)] + [b"", b" 12 -- "]
+    model = toxicity.fit(texts, np.array([1.0, 0, 1, 0, 1, 0, 0, 0]))
+    got = toxicity.scores(model, texts)
+    for text, score in zip(texts, got):
+        own = text.replace(b"12 --", b"").split()
+        starts = [0, *range(toxicity.STRIDE, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
+        alone = [toxicity.scores(model, [b" ".join(own[a : a + toxicity.WINDOW])])[0] for a in starts]
+        assert np.isclose(score, max(alone), atol=1e-5)
+    assert got[-1] == got[-2]
+
+
+def test_passages_are_measured_each_by_itself():
+    rng = np.random.default_rng(1)
+    text = b" ".join(rng.choice([b"Word", b"a", b"$12", b"long" * 6, b"line\nbreak"], 200))
+    x, counts = quality_mil.passages([b"", text, b"one"])
+    words = text.split()
+    assert counts.tolist() == [1, -(-len(words) // quality_mil.PASSAGE), 1] and not x[0].any()
+    for k in range(counts[1]):
+        part = words[k * quality_mil.PASSAGE : (k + 1) * quality_mil.PASSAGE]
+        whole = b"".join(part)
+        assert np.isclose(x[1 + k, 0], sum(65 <= c <= 90 for c in whole) / len(whole)) and np.isclose(x[1 + k, 2], sum(48 <= c <= 57 for c in whole) / len(whole))
+        base = len(quality_mil.CLASSES)
+        assert np.isclose(x[1 + k, base + 1], np.mean([len(w) > 20 for w in part])) and np.isclose(x[1 + k, base + 2], np.mean([len(w) == 1 for w in part]))
+        assert np.isclose(x[1 + k, base + 4], 1 - len(set(part)) / len(part))
+
+
+def test_the_sample_has_one_row_for_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = toxicity.sampled(docs, labels, "doc_id", "text", "toxic", F.lit(True), {1: 10, 0: 10})
+    assert got[["text", "label"]].values.tolist() == [["text 0", 1], [None, 0]]

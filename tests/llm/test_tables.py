@@ -168,3 +168,10 @@ def test_search_over_many_trees(spark, monkeypatch):
         best = np.lexsort((np.arange(1000), -s))[:5]
         mine = got[got.query_id == q].sort_values("rank")
         assert mine.vec_id.tolist() == best.tolist() and mine.score.tolist() == s[best].tolist()
+
+
+def test_vectors_beyond_the_exact_range_are_refused(spark):
+    for x in (3e5, 1e30):
+        df = spark.createDataFrame([(0, [x, 1.0]), (1, [1.0, x])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="exact inner products"):
+            mtree.top_k(df, F.col("vec_id") == 0).collect()
