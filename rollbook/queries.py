@@ -248,10 +248,18 @@ def pseudonymize(spark, sf_dir):
     return even(rows.select("curso_normalizado", "periodo", "nome_original", "nome_chave", "pagina", "numero_sequencial"))
 
 
-@query("""SELECT min(doc_id) AS doc_id, rule FROM (SELECT doc_id, text, unnest(list_filter([CASE WHEN regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{20,}') THEN 'token' END, CASE WHEN regexp_matches(text, 'github_pat_[A-Za-z0-9_]{30,}') THEN 'fine_grained_token' END,
-CASE WHEN regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private_key' END], lambda x: x IS NOT NULL)) AS rule FROM documents) GROUP BY text, rule""")
+# made-up tokens are planted in one text of fifty, as none of the tables has any
+@query("""WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN coalesce(text, '') || ' ghp_' || left(sha256(doc_id::VARCHAR), 36) ELSE text END AS text FROM documents
+    UNION ALL SELECT -1 - page_id, CASE WHEN page_id % 50 = 0 THEN coalesce(html, '') || ' github_pat_' || left(sha256(page_id::VARCHAR), 40) ELSE html END FROM pages)
+SELECT min(doc_id) AS doc_id, rule FROM (SELECT doc_id, text, unnest(list_filter([CASE WHEN regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{20,}') THEN 'token' END, CASE WHEN regexp_matches(text, 'github_pat_[A-Za-z0-9_]{30,}') THEN 'fine_grained_token' END,
+CASE WHEN regexp_matches(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private_key' END], lambda x: x IS NOT NULL)) AS rule FROM texts) GROUP BY text, rule""")
 def secret_scan(spark, sf_dir):
-    return scan.secret_scan(table(spark, sf_dir, "documents"))
+    def planted(name, key, text, prefix, n):
+        mark = F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(prefix), F.substring(F.sha2(F.col(key).cast("string"), 256), 1, n))
+        return table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), F.when(F.col(key) % 50 == 0, mark).otherwise(F.col(text)).alias("text"))
+
+    pages = planted("pages", "page_id", "html", " github_pat_", 40).withColumn("doc_id", -1 - F.col("doc_id"))
+    return scan.secret_scan(planted("documents", "doc_id", "text", " ghp_", 36).union(pages))
 
 
 # --- extraction ----------------------------------------------------------------------------------------------------
@@ -381,12 +389,12 @@ def time_to_graduation(spark, sf_dir):
 # --- summaries -----------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {REC}, cell AS (SELECT * FROM records WHERE ano = 1995), {sums_sql([], 'cell')} SELECT {picked(ALL)} FROM stats")
+@query(f"WITH {REC}, {sums_sql([])} SELECT {picked(ALL)} FROM stats")
 def summarize(spark, sf_dir):
-    return even(summary.summarize(bridge.records(spark, sf_dir).where("ano = 1995")))
+    return even(summary.summarize(bridge.records(spark, sf_dir)))
 
 
-# all years; the SQL's transform grows with the square of the group, so tests hold this against the recurrence
+# the same without the SQL, whose transform grows with the square of the group; tests hold this against the recurrence
 @query()
 def summarize_whole(spark, sf_dir):
     return even(summary.summarize(bridge.records(spark, sf_dir)))
@@ -440,10 +448,11 @@ def find_violations(spark, sf_dir):
     return quality.violations(rows.withColumn("total", F.col("total") + F.when(F.col("agrupamento") == "ano", 1).otherwise(0)))
 
 
-@query("SELECT 0::BIGINT AS differences")
+@query(f"WITH {PUBLIC_SQL} SELECT side, agrupamento, count(*) AS differences FROM public, (VALUES ('first'), ('second')) AS s(side) WHERE agrupamento = 'ano' GROUP BY ALL")
 def publications_equal(spark, sf_dir):
-    rows = summary.public_rows(bridge.records(spark, sf_dir)).select("tipo_registro", "curso", "periodo", "total")
-    return quality.difference(rows, rows.repartition(3)).agg(F.count("*").alias("differences"))
+    rows = summary.public_rows(bridge.records(spark, sf_dir)).select("tipo_registro", "curso", "agrupamento", "periodo", "total")
+    changed = rows.repartition(3).withColumn("total", F.col("total") + F.when(F.col("agrupamento") == "ano", 1).otherwise(0))
+    return quality.difference(rows, changed).groupBy("side", "agrupamento").agg(F.count("*").alias("differences"))
 
 
 @query(f"WITH {PUBLIC_SQL} SELECT tipo_registro, sum(total)::BIGINT AS total, sum(resolvidos)::BIGINT AS resolvidos, sum(nao_identificados)::BIGINT AS nao_identificados, round(sum(expected_female), 6) + 0.0 AS expected_female, round(100 * sum(expected_female) / sum(resolvidos), 6) + 0.0 AS female_percent, round(100 * sum(resolvidos) / sum(total), 6) + 0.0 AS coverage_percent FROM public WHERE agrupamento = 'semestre' AND curso = 'Todos os cursos' AND periodo >= '1997/1' GROUP BY 1")
@@ -474,12 +483,9 @@ def coverage_and_totals(spark, sf_dir):
 
 # --- distributions -------------------------------------------------------------------------------------------------
 
-CELL = "cell AS (SELECT * FROM records WHERE ano = 1996)"
-
-
-@query(f"WITH {REC}, {CELL}, {dist_sql('cell', 'curso_normalizado || tipo_registro || periodo')} SELECT key, k, round(mass, 6) + 0.0 AS mass, round(cdf, 6) + 0.0 AS cdf FROM pmf")
+@query(f"WITH {REC}, {dist_sql('records', 'tipo_registro || periodo')} SELECT key, k, round(mass + 1e-10, 6) + 0.0 AS mass, round(cdf + 1e-10, 6) + 0.0 AS cdf FROM pmf")
 def poisson_binomial(spark, sf_dir):
-    rec = bridge.records(spark, sf_dir).where("ano = 1996").withColumn("key", F.concat("curso_normalizado", "tipo_registro", "periodo"))
+    rec = bridge.records(spark, sf_dir).withColumn("key", F.concat("tipo_registro", "periodo"))
     return even(distribution.cumulative(distribution.distributions(rec, ["key"]), ["key"]))
 
 
@@ -593,10 +599,13 @@ def composition_total(spark, sf_dir):
     return even(charts.composition(bridge.records(spark, sf_dir), "concluinte").select(*COMPOSED))
 
 
-@query("SELECT ''::VARCHAR AS \"column\", ''::VARCHAR AS value WHERE false")
+# names planted as courses must be found, and nothing else
+@query(f"""WITH {REG} SELECT DISTINCT 'curso' AS "column", nome_original AS value FROM registry WHERE record_id % 97 = 0""")
 def pii_absence_check(spark, sf_dir):
     rec = bridge.records(spark, sf_dir)
-    return privacy.leaked_names(summary.public_rows(rec), rec.select("nome_original"))
+    public = summary.public_rows(rec).select("tipo_registro", "curso", "periodo")
+    planted = rec.where("record_id % 97 = 0").select("tipo_registro", F.col("nome_original").alias("curso"), "periodo")
+    return privacy.leaked_names(public.union(planted), rec.select("nome_original"))
 
 
 @query(f"WITH {REG}, {MATCHES} SELECT 'matching ambíguo' AS motivo, count(*) AS quantidade FROM matches WHERE status = 'ambiguous'")
