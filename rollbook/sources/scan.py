@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Credentials that must not be published. Fixed values.
+#: Credentials that must not be published. The first three are fixed values; the last is our own, wider one for keys in settings.
 SECRETS = {
     "token": r"gh[pousr]_[A-Za-z0-9]{20,}",
     "fine_grained_token": r"github_pat_[A-Za-z0-9_]{30,}",
@@ -15,10 +15,10 @@ SECRETS = {
 
 
 def discover_documents(spark: SparkSession, root: str, suffix: str = "pdf") -> DataFrame:
-    """path, length of all files below ``root`` with the suffix in either case; contents are not read."""
+    """path, length of all files below ``root`` with the suffix in either case, by path; contents are not read."""
     pattern = "*." + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return files.select("path", "length")
+    return files.select("path", "length").orderBy("path")
 
 
 def content_dedup(documents: DataFrame, content: str = "content", archived: str = "archived", order: tuple[str, ...] = ("doc_id",)) -> DataFrame:
