@@ -175,3 +175,10 @@ def document_status(documents: DataFrame, warnings: DataFrame) -> DataFrame:
 def run_gate(documents: DataFrame) -> DataFrame:
     """One row: any_blocking, any_warning. No documents: neither."""
     return documents.agg(F.coalesce(F.bool_or("blocking"), F.lit(False)).alias("any_blocking"), F.coalesce(F.bool_or(F.col("status") != "OK"), F.lit(False)).alias("any_warning"))
+
+
+def run_totals(documents: DataFrame) -> DataFrame:
+    """One row on a run: documents, records, warnings, removed repetitions. No documents: zeros."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return documents.agg(
+        F.count("*").alias("documentos"), total("registros_unicos").alias("registros"), total("n_warnings").alias("avisos"), total("duplicacoes_removidas").alias("duplicacoes_internas_removidas"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -123,7 +124,10 @@ def discover_documents(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
+    """A new folder below the one that all machines share; a temporary one in local mode alone."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{shared}/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="rollbook-")
 
 
@@ -296,9 +300,63 @@ def document_warnings(spark, sf_dir):
     return _extracted(spark, sf_dir).warnings.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
-@query("SELECT false AS any_blocking, true AS any_warning")
+# rosters with faults, see bridge.faulty_rosters: found(rows that become records), told(one row for each warning), audit(one row for each document)
+FAULTS = f"""{ROSTER}, numbered AS (SELECT *, count(*) OVER (PARTITION BY arquivo) AS n, (nth - 1) // 50 + 1 AS page FROM roster),
+titled AS (SELECT *, tipo_registro = 'concluinte' AND nth % 11 = 5 AS wrapped FROM numbered WHERE period_idx % 6 <> 5),
+kept AS (SELECT *, wrapped AND ((nth - 1) % 50 IN (0, 49) OR nth = n) AS lost FROM titled),
+found AS (SELECT arquivo, page, nth, person, wrapped FROM kept WHERE NOT lost UNION ALL SELECT arquivo, page, nth, person || ' X', false FROM kept WHERE nth % 11 = 2 AND period_idx % 4 = 1),
+docs AS (SELECT DISTINCT arquivo, period_idx, n FROM numbered), known AS (SELECT * FROM docs WHERE period_idx % 6 <> 5),
+sizes AS (SELECT arquivo, count(*) AS uniques FROM found GROUP BY 1), again AS (SELECT arquivo, count(*) AS repeats FROM kept WHERE nth % 11 = 8 GROUP BY 1),
+declared AS (SELECT *, CASE period_idx % 6 WHEN 0 THEN n WHEN 1 THEN n + 1 WHEN 3 THEN n END AS total FROM known),
+told AS (SELECT arquivo, 'bad_name' AS code FROM kept WHERE lost UNION ALL SELECT arquivo, 'diverging_repeat' FROM kept WHERE nth % 22 = 8 AND period_idx % 4 = 2
+    UNION ALL SELECT DISTINCT arquivo, 'sequence_conflict' FROM kept WHERE nth % 11 = 2 AND period_idx % 4 = 1 UNION ALL SELECT arquivo, 'homonym' FROM found GROUP BY arquivo, person HAVING count(*) > 1
+    UNION ALL SELECT arquivo, unnest(['bad_period', 'no_context']) FROM known WHERE period_idx % 7 = 3 UNION ALL SELECT arquivo, 'lone_sequence' FROM known WHERE period_idx % 7 = 4
+    UNION ALL SELECT arquivo, 'no_text' FROM known WHERE period_idx % 6 = 4 UNION ALL SELECT arquivo, 'several_totals' FROM known WHERE period_idx % 6 = 2
+    UNION ALL SELECT arquivo, 'unknown_kind' FROM docs WHERE period_idx % 6 = 5 UNION ALL SELECT arquivo, 'total_mismatch' FROM declared JOIN sizes USING (arquivo) WHERE total <> uniques),
+warned AS (SELECT arquivo, count(*) AS n_warnings, count(*) FILTER (code <> 'homonym') AS hard, string_agg(code, ' | ' ORDER BY code) AS avisos FROM told GROUP BY 1),
+audit AS (SELECT arquivo AS doc_id, coalesce(uniques, 0) + coalesce(repeats, 0) AS registros_brutos, coalesce(uniques, 0) AS registros_unicos, coalesce(repeats, 0) AS duplicacoes_removidas, total AS total_pdf,
+    docs.period_idx % 6 = 4 AS needs_ocr, coalesce(n_warnings, 0) AS n_warnings, coalesce(avisos, '') AS avisos, CASE WHEN n_warnings > 0 THEN 'WARNING' ELSE 'OK' END AS status, coalesce(hard, 0) > 0 AS blocking
+    FROM docs LEFT JOIN declared USING (arquivo) LEFT JOIN sizes USING (arquivo) LEFT JOIN again USING (arquivo) LEFT JOIN warned USING (arquivo))"""
+
+
+def _faulty(spark, sf_dir) -> extract.Extraction:
+    return extract.extract(bridge.faulty_rosters(spark, sf_dir))
+
+
+@query(f"WITH {FAULTS} SELECT * FROM audit")
+def faulty_audit(spark, sf_dir):
+    return even(_faulty(spark, sf_dir).documents.drop("kind"))
+
+
+@query(f"WITH {FAULTS} SELECT arquivo, page AS pagina, nth AS numero_sequencial, person AS nome_original FROM found")
+def faulty_records(spark, sf_dir):
+    return even(_faulty(spark, sf_dir).records.select("arquivo", "pagina", "numero_sequencial", "nome_original"))
+
+
+@query(f"WITH {FAULTS} SELECT arquivo, page AS pagina, nth AS numero_sequencial, person AS nome_original FROM found WHERE wrapped")
+def wrapped_names(spark, sf_dir):
+    rows = _faulty(spark, sf_dir).records.where("tipo_registro = 'concluinte' AND numero_sequencial % 11 = 5")
+    return even(rows.select("arquivo", "pagina", "numero_sequencial", "nome_original"))
+
+
+@query(f"WITH {FAULTS} SELECT arquivo AS doc_id, code, count(*) AS n FROM told GROUP BY ALL")
+def faulty_warnings(spark, sf_dir):
+    return _faulty(spark, sf_dir).warnings.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FAULTS} SELECT count(*) AS documentos, sum(registros_unicos)::BIGINT AS registros, sum(n_warnings)::BIGINT AS avisos, sum(duplicacoes_removidas)::BIGINT AS duplicacoes_internas_removidas FROM audit")
+def run_totals(spark, sf_dir):
+    return extract.run_totals(_faulty(spark, sf_dir).documents)
+
+
+# documents without any fault, those of homonyms alone, and those that block; each outcome from the data
+@query(f"""WITH {FAULTS}, part AS (SELECT *, CASE WHEN blocking THEN 'blocking' WHEN status <> 'OK' THEN 'advisory' ELSE 'clean' END AS part FROM audit)
+SELECT name AS part, coalesce(bool_or(blocking), false) AS any_blocking, coalesce(bool_or(status <> 'OK'), false) AS any_warning FROM (VALUES ('all'), ('blocking'), ('advisory'), ('clean')) AS v(name) LEFT JOIN part ON name = part OR name = 'all' GROUP BY name""")
 def run_gate(spark, sf_dir):
-    return extract.run_gate(_extracted(spark, sf_dir).documents)
+    docs = _faulty(spark, sf_dir).documents
+    parts = {"all": F.lit(True), "blocking": F.col("n_warnings") > F.size(F.filter(F.split("avisos", r" \| "), lambda x: x == extract.ADVISORY)), "clean": F.col("n_warnings") == 0}
+    parts["advisory"] = ~parts["blocking"] & ~parts["clean"]
+    return reduce(DataFrame.union, [extract.run_gate(docs.where(c)).select(F.lit(k).alias("part"), "any_blocking", "any_warning") for k, c in parts.items()])
 
 
 @query(f"WITH {ROSTER} SELECT 'homônimo' AS motivo, count(*) AS quantidade FROM (SELECT count(*) OVER (PARTITION BY arquivo, person) AS n FROM roster) WHERE n > 1 HAVING count(*) > 0")
