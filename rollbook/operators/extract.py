@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +30,27 @@ class Extraction:
     warnings: DataFrame  # doc_id, page_no, line, code
     review: DataFrame  # doc_id, pagina, numero_sequencial, motivo, nome_chave
     documents: DataFrame  # one row per document: counts, flags, status
+    held: list[DataFrame] = field(default_factory=list)  # what ``reuse`` keeps in the cache
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def detect_kind(pages: DataFrame) -> DataFrame:
-    """doc_id, kind (null if no title or both), empty: titles are looked for in the key of the whole text."""
-    texts = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), " ").alias("text"))
-    keyed = texts.select("doc_id", name_key(F.col("text")).alias("key"))
-    has = {k: F.contains("key", F.lit(t)) for k, t in TITLES.items()}
+    """doc_id, kind (null if no title or both), empty: titles are looked for in the key of the whole text.
+
+    Keys are made page by page. Of a page only its two ends go on, as a title may run over a page break: no row holds a whole document.
+    """
+    reach = max(len(t) for t in TITLES.values())
+    rows = pages.select("doc_id", "page_no", name_key(F.coalesce("text", F.lit(""))).alias("key"))
+    ends = F.when(F.length("key") > 2 * reach, F.concat(F.left("key", F.lit(reach)), F.lit("\0"), F.right("key", F.lit(reach)))).otherwise(F.col("key"))
+    found = {k: F.bool_or(F.contains("key", F.lit(t))).alias(k) for k, t in TITLES.items()}
+    near = F.collect_list(F.when(F.col("key") != "", F.struct("page_no", ends.alias("ends")))).alias("near")
+    docs = rows.groupBy("doc_id").agg(*found.values(), near).withColumn("breaks", F.array_join(F.transform(F.array_sort("near"), lambda x: x["ends"]), " "))
+    has = {k: F.col(k) | F.contains("breaks", F.lit(t)) for k, t in TITLES.items()}
     kind = F.when(has["ingressante"] != has["concluinte"], F.when(has["ingressante"], "ingressante").otherwise("concluinte"))
-    return keyed.select("doc_id", kind.alias("kind"), (F.col("key") == "").alias("empty"))
+    return docs.select("doc_id", kind.alias("kind"), (F.size("near") == 0).alias("empty"))
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
@@ -107,22 +119,32 @@ def parse_rows(lines: DataFrame) -> DataFrame:
 IDENTITY = ["tipo_registro", "arquivo", "curso_normalizado", "periodo", "numero_sequencial", "nome_chave"]
 
 
-def extract(pages: DataFrame, aliases: dict[str, str] | None = None) -> Extraction:
+PARSED = ("doc_id", "kind", "page_no", "i", "context", "seq", "code", "original", "turno", "tipo_ingresso", "header_found", "header_bad")
+
+
+def extract(pages: DataFrame, aliases: dict[str, str] | None = None, reuse: bool = False) -> Extraction:
     """All documents of ``pages`` (doc_id, page_no from 1, text) at once.
 
     Blank pages ask for OCR. Repetitions of one identity are dropped after the first. Documents of unknown kind are
-    not parsed. Null texts count as blank; no pages, no rows.
+    not parsed. Null texts count as blank; no pages, no rows. ``reuse`` keeps kinds, parsed lines and records in Spark's
+    cache until ``release``, for those who read the documents or the warnings, which are made of a dozen parts.
     """
-    kinds = detect_kind(pages)
+    held = []
+
+    def hold(df):
+        return held.append(df.persist()) or held[-1] if reuse else df
+
+    kinds = hold(detect_kind(pages))
     known = kinds.where("kind IS NOT NULL").select("doc_id", "kind")
-    lines = parse_rows(with_context(lines_of(pages).join(known, "doc_id")))
+    parsed = parse_rows(with_context(lines_of(pages).join(known, "doc_id")))
+    lines = hold(parsed.select(*PARSED, _number(F.col("line"), TOTAL).alias("total"), _number(F.col("line"), SUBTOTAL).alias("subtotal")))
     course, period = F.col("context.course"), format_period(F.col("context.year"), F.col("context.half"))
     raw = lines.where("seq IS NOT NULL AND code IS NULL").select(
         F.col("kind").alias("tipo_registro"), F.col("doc_id").alias("arquivo"), F.col("page_no").alias("pagina"), "i", F.col("seq").alias("numero_sequencial"), course.alias("curso_original"),
         course_alias(name_key(course), aliases or {}).alias("curso_normalizado"), F.col("context.year").alias("ano"), F.col("context.half").alias("semestre"), period.alias("periodo"),
         period_index(period).alias("period_idx"), F.col("original").alias("nome_original"), normalize_name(F.col("original")).alias("nome_normalizado"), name_key(F.col("original")).alias("nome_chave"), "turno", "tipo_ingresso")
     same = Window.partitionBy(*IDENTITY).orderBy("pagina", "i")
-    nth = raw.withColumns({"nth": F.row_number().over(same), "first": F.first(F.struct("turno", "tipo_ingresso")).over(same)})
+    nth = hold(raw.withColumns({"nth": F.row_number().over(same), "first": F.first(F.struct("turno", "tipo_ingresso")).over(same)}))
     unique = nth.where("nth = 1").drop("nth", "first", "i")
 
     doc = lambda df, code: df.select(F.col("arquivo").alias("doc_id"), F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("int").alias("line"), F.lit(code).alias("code"))
@@ -134,7 +156,7 @@ def extract(pages: DataFrame, aliases: dict[str, str] | None = None) -> Extracti
     blank = pages.join(known, "doc_id").where(~F.coalesce(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False)))
 
     counted = lines.groupBy("doc_id").agg(
-        F.collect_set(_number(F.col("line"), TOTAL)).alias("totals"), F.collect_set(_number(F.col("line"), SUBTOTAL)).alias("subtotals"), F.count_if(F.col("seq").isNotNull() & F.col("code").isNull()).alias("registros_brutos"))
+        F.collect_set("total").alias("totals"), F.collect_set("subtotal").alias("subtotals"), F.count_if(F.col("seq").isNotNull() & F.col("code").isNull()).alias("registros_brutos"))
     sizes = unique.groupBy(F.col("arquivo").alias("doc_id")).agg(F.count("*").alias("registros_unicos"))
     chosen = F.when(F.size("totals") > 0, F.col("totals")).otherwise(F.col("subtotals"))
     docs = kinds.join(counted, "doc_id", "left").join(sizes, "doc_id", "left").join(blank.groupBy("doc_id").agg(F.count("*").alias("blank_pages")), "doc_id", "left")
@@ -160,7 +182,7 @@ def extract(pages: DataFrame, aliases: dict[str, str] | None = None) -> Extracti
         .union(whole(docs.where("kind IS NOT NULL AND total_pdf <> registros_unicos"), "total_mismatch"))
     )
     review = homonyms.select(F.col("arquivo").alias("doc_id"), "pagina", "numero_sequencial", F.lit("homônimo").alias("motivo"), "nome_chave")
-    return Extraction(unique, raw, warnings, review, document_status(docs.drop("several"), warnings))
+    return Extraction(unique, raw, warnings, review, document_status(docs.drop("several"), warnings), held)
 
 
 def document_status(documents: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,19 @@ def violations(rows: DataFrame) -> DataFrame:
     return single.union(twice)
 
 
+# The version of the public format and the fields beside its rows.
+PUBLIC_VERSION = 1
+ENVELOPE = ("schema_version", "generated_at", "analysis_at")
+
+
+def check_envelope(envelope: dict) -> None:
+    """Exactly the fields of ENVELOPE, the known version, and two times in ISO 8601."""
+    if set(envelope) != set(ENVELOPE) or envelope["schema_version"] != PUBLIC_VERSION:
+        raise ValueError("unknown public format")
+    for name in ENVELOPE[1:]:
+        datetime.fromisoformat(envelope[name])
+
+
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one table that the other lacks, with repetitions counted: side, then the columns."""
     b = b.select(*a.columns)

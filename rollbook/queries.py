@@ -271,8 +271,8 @@ def secret_scan(spark, sf_dir):
 ROSTER = f"{REG}, roster AS (SELECT *, translate(upper(nome_original), '0123456789#', 'ABCDEFGHIJ ') AS person, concat_ws('_', tipo_registro, curso_normalizado, periodo) AS arquivo, row_number() OVER (PARTITION BY tipo_registro, curso_normalizado, periodo ORDER BY record_id) AS nth FROM registry)"
 
 
-def _extracted(spark, sf_dir) -> extract.Extraction:
-    return extract.extract(bridge.rosters(spark, sf_dir))
+def _extracted(spark, sf_dir, reuse: bool = False) -> extract.Extraction:
+    return extract.extract(bridge.rosters(spark, sf_dir), reuse=reuse)
 
 
 @query(f"WITH {ROSTER} SELECT DISTINCT arquivo AS doc_id, tipo_registro AS kind, false AS empty FROM roster")
@@ -287,7 +287,7 @@ def parse_rosters(spark, sf_dir):
 
 @query(f"WITH {ROSTER} SELECT arquivo AS doc_id, count(*) AS registros_brutos, count(*) AS registros_unicos, 0::BIGINT AS duplicacoes_removidas, false AS needs_ocr, CASE WHEN count(*) > count(DISTINCT person) THEN 'WARNING' ELSE 'OK' END AS status, false AS blocking FROM roster GROUP BY arquivo")
 def document_audit(spark, sf_dir):
-    return even(_extracted(spark, sf_dir).documents.select("doc_id", "registros_brutos", "registros_unicos", "duplicacoes_removidas", "needs_ocr", "status", "blocking"))
+    return even(_extracted(spark, sf_dir, reuse=True).documents.select("doc_id", "registros_brutos", "registros_unicos", "duplicacoes_removidas", "needs_ocr", "status", "blocking"))
 
 
 @query(f"WITH {ROSTER}, n AS (SELECT *, count(*) OVER (PARTITION BY arquivo, person) AS n FROM roster) SELECT arquivo AS doc_id, ((nth - 1) // 50)::BIGINT + 1 AS pagina, record_id AS numero_sequencial, 'homônimo' AS motivo FROM n WHERE n > 1")
@@ -297,7 +297,7 @@ def homonym_review(spark, sf_dir):
 
 @query(f"WITH {ROSTER} SELECT arquivo AS doc_id, 'homonym' AS code, (count(*) FILTER (n > 1))::BIGINT AS n FROM (SELECT arquivo, person, count(*) AS n FROM roster GROUP BY ALL) GROUP BY arquivo HAVING n > 0")
 def document_warnings(spark, sf_dir):
-    return _extracted(spark, sf_dir).warnings.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    return _extracted(spark, sf_dir, reuse=True).warnings.groupBy("doc_id", "code").agg(F.count("*").alias("n"))
 
 
 # rosters with faults, see bridge.faulty_rosters: found(rows that become records), told(one row for each warning), audit(one row for each document)
@@ -319,8 +319,8 @@ audit AS (SELECT arquivo AS doc_id, coalesce(uniques, 0) + coalesce(repeats, 0)
     FROM docs LEFT JOIN declared USING (arquivo) LEFT JOIN sizes USING (arquivo) LEFT JOIN again USING (arquivo) LEFT JOIN warned USING (arquivo))"""
 
 
-def _faulty(spark, sf_dir) -> extract.Extraction:
-    return extract.extract(bridge.faulty_rosters(spark, sf_dir))
+def _faulty(spark, sf_dir, reuse: bool = True) -> extract.Extraction:
+    return extract.extract(bridge.faulty_rosters(spark, sf_dir), reuse=reuse)
 
 
 @query(f"WITH {FAULTS} SELECT * FROM audit")
@@ -330,12 +330,12 @@ def faulty_audit(spark, sf_dir):
 
 @query(f"WITH {FAULTS} SELECT arquivo, page AS pagina, nth AS numero_sequencial, person AS nome_original FROM found")
 def faulty_records(spark, sf_dir):
-    return even(_faulty(spark, sf_dir).records.select("arquivo", "pagina", "numero_sequencial", "nome_original"))
+    return even(_faulty(spark, sf_dir, reuse=False).records.select("arquivo", "pagina", "numero_sequencial", "nome_original"))
 
 
 @query(f"WITH {FAULTS} SELECT arquivo, page AS pagina, nth AS numero_sequencial, person AS nome_original FROM found WHERE wrapped")
 def wrapped_names(spark, sf_dir):
-    rows = _faulty(spark, sf_dir).records.where("tipo_registro = 'concluinte' AND numero_sequencial % 11 = 5")
+    rows = _faulty(spark, sf_dir, reuse=False).records.where("tipo_registro = 'concluinte' AND numero_sequencial % 11 = 5")
     return even(rows.select("arquivo", "pagina", "numero_sequencial", "nome_original"))
 
 
@@ -373,7 +373,7 @@ def document_group_counts(spark, sf_dir):
 def cross_document_overlap(spark, sf_dir):
     pages = bridge.rosters(spark, sf_dir)
     copies = pages.where("doc_id LIKE 'concluinte%'").withColumn("doc_id", F.concat(F.lit("copy "), "doc_id"))
-    return extract.extract(pages.union(copies)).warnings.where("code = 'overlap'").select("doc_id")
+    return extract.extract(pages.union(copies), reuse=True).warnings.where("code = 'overlap'").select("doc_id")
 
 
 @query(f"WITH {ROSTER}, d AS (SELECT arquivo, min(record_id) AS first FROM roster GROUP BY arquivo) SELECT arquivo, 'documento_' || lpad((row_number() OVER (ORDER BY first))::VARCHAR, 3, '0') AS label FROM d")
@@ -495,6 +495,19 @@ def publish_json_csv(spark, sf_dir):
     return even(store.read_publication(spark, folder))
 
 
+# a publication of stored records: its envelope beside what its rows add up to
+@query(f"WITH {PUBLIC_SQL} SELECT 1::BIGINT AS schema_version, true AS of_snapshot, true AS in_order, count(*) AS n_rows, sum(total)::BIGINT AS total FROM public")
+def publication_envelope(spark, sf_dir):
+    folder = _folder(spark)
+    store.write_snapshot(bridge.records(spark, sf_dir), f"{folder}/snapshot", {"MIN_GROUP_SIZE": 5})
+    rows, _ = store.read_snapshot(spark, f"{folder}/snapshot")
+    written = store.snapshot_time(spark, f"{folder}/snapshot")
+    store.publish(summary.public_rows(rows), f"{folder}/public", written)
+    envelope = store.read_envelope(spark, f"{folder}/public")
+    beside = {"schema_version": envelope["schema_version"], "of_snapshot": envelope["analysis_at"] == written, "in_order": envelope["analysis_at"] <= envelope["generated_at"]}
+    return even(store.read_publication(spark, f"{folder}/public").agg(*[F.lit(v).alias(k) for k, v in beside.items()], F.count("*").alias("n_rows"), F.sum("total").alias("total")))
+
+
 @query("SELECT ''::VARCHAR AS tipo_registro, ''::VARCHAR AS curso, ''::VARCHAR AS agrupamento, ''::VARCHAR AS periodo, ''::VARCHAR AS rule WHERE false")
 def validate_public(spark, sf_dir):
     return quality.violations(summary.public_rows(bridge.records(spark, sf_dir)))

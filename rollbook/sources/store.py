@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators.privacy import kept_settings, pseudonymize
-from rollbook.operators.quality import PUBLIC_SCHEMA, check_pair, violations
+from rollbook.operators.quality import ENVELOPE, PUBLIC_SCHEMA, PUBLIC_VERSION, check_envelope, check_pair, violations
 from rollbook.operators.summary import PUBLIC
 
 SCHEMA_VERSION = 2
@@ -25,12 +26,16 @@ def _current(spark: SparkSession, root: str) -> str:
     return spark.read.parquet(f"{root}/current").orderBy(F.desc("at"), F.desc("version")).first()["version"]
 
 
+def _now() -> str:
+    return datetime.now(timezone.utc).isoformat()
+
+
 def write_snapshot(records: DataFrame, root: str, settings: dict, key: bytes | None = None) -> str:
     """Pseudonymised records and settings as a new version below ``root``; earlier ones stay readable until it is whole."""
     spark, version = records.sparkSession, uuid.uuid4().hex
     pseudonymize(records, key).write.parquet(f"{root}/{version}/records")
-    meta = [(SCHEMA_VERSION, json.dumps(kept_settings(settings)))]
-    spark.createDataFrame(meta, "schema_version int, settings string").coalesce(1).write.parquet(f"{root}/{version}/meta")
+    meta = [(SCHEMA_VERSION, json.dumps(kept_settings(settings)), _now())]
+    spark.createDataFrame(meta, "schema_version int, settings string, created_at string").coalesce(1).write.parquet(f"{root}/{version}/meta")
     _point(spark, root, version)
     return version
 
@@ -44,6 +49,11 @@ def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     return (pseudonymize(rows) if meta["schema_version"] == 1 else rows), json.loads(meta["settings"])
 
 
+def snapshot_time(spark: SparkSession, root: str) -> str:
+    """When the current version was written."""
+    return spark.read.parquet(f"{root}/{_current(spark, root)}/meta").first()["created_at"]
+
+
 def privacy_floor(stored: dict, minimum: int) -> int:
     """The group size that holds for a rebuilt report: never looser than what was stored."""
     return max(int(stored.get("MIN_GROUP_SIZE", minimum)), minimum)
@@ -61,14 +71,21 @@ def read_public_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PUBLIC_SCHEMA).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
 
 
-def publish(rows: DataFrame, root: str) -> str:
-    """Validate, write CSV and JSON of one new version, compare the two, then point at it. A failure leaves the old one."""
+def publish(rows: DataFrame, root: str, analysis_at: str | None = None) -> str:
+    """Validate, write CSV and JSON of one new version, compare the two, then point at it. A failure leaves the old one.
+
+    The envelope beside them holds the format's version, the time of the publication, and ``analysis_at``, the time of
+    the snapshot that the rows are of; the same as the former where they come straight from records.
+    """
     spark, version = rows.sparkSession, uuid.uuid4().hex
-    rows = rows.select(*PUBLIC)
+    rows, now = rows.select(*PUBLIC), _now()
+    envelope = dict(zip(ENVELOPE, (PUBLIC_VERSION, now, analysis_at or now)))
+    check_envelope(envelope)
     if not violations(rows).isEmpty():
         raise ValueError("rows break the public schema")
     rows.write.option("header", True).csv(f"{root}/{version}/csv")
     rows.write.option("ignoreNullFields", False).json(f"{root}/{version}/json")
+    spark.createDataFrame([tuple(envelope.values())], "schema_version int, generated_at string, analysis_at string").coalesce(1).write.json(f"{root}/{version}/envelope")
     check_pair(read_public_csv(spark, f"{root}/{version}/csv"), spark.read.schema(PUBLIC_SCHEMA).json(f"{root}/{version}/json"))
     _point(spark, root, version)
     return version
@@ -76,3 +93,10 @@ def publish(rows: DataFrame, root: str) -> str:
 
 def read_publication(spark: SparkSession, root: str) -> DataFrame:
     return read_public_csv(spark, f"{root}/{_current(spark, root)}/csv")
+
+
+def read_envelope(spark: SparkSession, root: str) -> dict:
+    """The current publication's envelope, checked."""
+    envelope = spark.read.json(f"{root}/{_current(spark, root)}/envelope").first().asDict()
+    check_envelope(envelope)
+    return envelope

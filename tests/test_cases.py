@@ -254,6 +254,37 @@ def test_wrapped_name_and_alias(spark):
 # --- sources
 
 
+def test_title_over_page_breaks(spark):
+    title, far = extract.TITLES["ingressante"], "X" * 200
+    words = title.split()
+    pages = {
+        "whole": ["a", f"{far} {title} {far}"], "broken": [f"{far} {' '.join(words[:2])}", f"{' '.join(words[2:])} {far}"], "three": [f"{far} {words[0]}", words[1], "", f"{' '.join(words[2:])} {far}"],
+        "apart": [f"{words[0]} {far}", " ".join(words[1:])], "both": [title, extract.TITLES["concluinte"]], "blank": ["", None],
+    }
+    rows = [(d, i, t) for d, texts in pages.items() for i, t in enumerate(texts, 1)]
+    got = {r.doc_id: (r.kind, r.empty) for r in extract.detect_kind(spark.createDataFrame(rows, "doc_id string, page_no int, text string").repartition(3)).collect()}
+    found = ("ingressante", False)
+    assert got == {"whole": found, "broken": found, "three": found, "apart": (None, False), "both": (None, False), "blank": (None, True)}
+
+
+def test_reuse_changes_nothing(spark):
+    pages = spark.createDataFrame([("d", 1, page(["1 ANA NOTURNO", "2 ANA NOTURNO"]))], "doc_id string, page_no int, text string")
+    tables = lambda x: [sorted(df.collect(), key=str) for df in (x.documents, x.warnings, x.review, x.records)]
+    want = tables(extract.extract(pages))
+    b = extract.extract(pages, reuse=True)
+    assert tables(b) == want and len(want[1]) > 0 and len(b.held) == 3
+    b.release()
+    assert not any(df.is_cached for df in b.held)
+
+
+@pytest.mark.parametrize("change", [{"schema_version": 2}, {"analysis_at": "yesterday"}, {"rows": 1}])
+def test_envelope(change):
+    good = {"schema_version": 1, "generated_at": "2026-01-01T00:00:00+00:00", "analysis_at": "2026-01-01T00:00:00"}
+    quality.check_envelope(good)
+    with pytest.raises(ValueError):
+        quality.check_envelope(good | change)
+
+
 def test_content_dedup(spark):
     rows = [(1, "A", False), (2, "A", True), (3, "B", True), (4, "B", True), (5, "A", False)]
     got = {r.doc_id: r.kept for r in scan.content_dedup(spark.createDataFrame(rows, "doc_id long, content string, archived boolean")).collect()}
