@@ -12,6 +12,8 @@ from rollbook.operators.inference import numbered
 
 #: Bits of an id below each level of the histograms: a bucket of the lowest level has 256 ids, a node of the others at most 16,384 children.
 LEVELS = (8, 22, 36, 50)
+#: Rows of one bucket from which on it is parted by the ties as well; it changes how the work is dealt, not the ranks.
+BUCKET = 100_000
 #: Leaves, then nodes, that one row holds while its levels are built: the largest power of the fanout up to this.
 PACK = 256
 #: Equal rows are told apart by rank alone; their copies are made in runs of so many.
@@ -43,31 +45,36 @@ def ranked(rows: DataFrame, group: str, key: str, tie: str) -> DataFrame:
 
     ``rows`` has n, how many equal rows it stands for; rank is that of the first of them. The digits of the key are a trie: counts go up from
     buckets of 256 keys, starts come down, each the sum over the siblings before. No window holds more than one node's children, so nothing
-    is sorted as a whole, and a hot group is as many buckets as it has ranges of keys. A key that very many different rows
-    share is parted further by the first digits of the tie, which is a digest.
+    is sorted as a whole, and a hot group is as many buckets as it has ranges of keys. Digits above the highest one that differs at all
+    have nothing to tell and are left out. Where a bucket has over BUCKET rows, as its keys repeat, the first digits of the tie, which is a digest,
+    are one more digit below the key.
     """
-    digits = [F.shiftright(F.col(key).cast("long"), b) for b in LEVELS]
-    names = [f"p{b}" for b in LEVELS]
-    base = rows.withColumns(dict(zip(names, digits)))
-    mixed = F.substring(tie, 1, 3)
-    fine = base.groupBy(group, *names, key, mixed.alias("mix")).agg(F.sum("n").alias("n"))
-    counts = [fine.groupBy(group, *names).agg(F.sum("n").alias("n"))]
-    for i in range(1, len(names)):
-        counts.append(counts[-1].groupBy(group, *names[i:]).agg(F.sum("n").alias("n")))
-    size = counts[-1].groupBy(group).agg(F.sum("n").cast("long").alias("size"))
-    above = size.withColumn("base", F.lit(0).cast("long"))
-    parents = [group]
-    for i in reversed(range(len(names))):
-        here = _before(counts[i], parents, F.col(names[i]).asc_nulls_first())
-        keys = [*parents, names[i]]
-        above = here.alias("h").join(above.alias("a"), _same("h", "a", parents)).select(*[f"h.{k}" for k in keys], "size", (F.col("base") + F.col("start")).alias("base"))
-        parents = keys
-    order = F.struct(F.col(key).isNotNull(), F.col(key), F.col("mix"))
-    fine = _before(fine, parents, order)
-    cells = [*parents, key, "mix"]
-    above = fine.alias("h").join(above.alias("a"), _same("h", "a", parents)).select(*[f"h.{k}" for k in cells], "size", (F.col("base") + F.col("start")).alias("base"))
-    last = _before(base.withColumn("mix", mixed), cells, F.col(tie))
-    return last.alias("h").join(above.alias("a"), _same("h", "a", cells)).select(*[f"h.{c}" for c in rows.columns], "size", (F.col("base") + F.col("start")).cast("long").alias("rank"))
+    names = {b: f"p{b}" for b in LEVELS}
+    low = names[LEVELS[0]]
+    base = rows.withColumn(low, F.shiftright(F.col(key).cast("long"), LEVELS[0]))
+    counts = cut(base.groupBy(group, low).agg(F.sum("n").cast("long").alias("n"), F.count("*").alias("rows")))
+    seen = counts.agg(F.min(low).alias("least"), F.max(low).alias("most"), F.max("rows").alias("rows")).first()
+    used = [b for b in LEVELS[1:] if seen["least"] is not None and seen["least"] >> (b - LEVELS[0]) != seen["most"] >> (b - LEVELS[0])]
+    path = [names[b] for b in reversed(used)] + [low]  # from the root down
+    levels = [counts.select(group, low, *[F.shiftright(low, b - LEVELS[0]).alias(names[b]) for b in used], "n")]
+    for i in range(len(path) - 1, -1, -1):
+        levels.append(levels[-1].groupBy(group, *path[:i]).agg(F.sum("n").alias("n")))
+    above = levels[-1].select(group, F.col("n").alias("size"), F.lit(0).cast("long").alias("base"))
+    for i, here in enumerate(reversed(levels[:-1])):
+        above = _down(_before(here, [group, *path[:i]], F.col(path[i]).asc_nulls_first()), above, [group, *path[:i]], [group, *path[:i + 1]])
+    starts, cells = above.select(group, low, "size", "base"), [group, low]
+    if (seen["rows"] or 0) > BUCKET:
+        base = base.withColumn("mix", F.substring(tie, 1, 3))
+        cells = [group, low, key, "mix"]
+        fine = _before(base.groupBy(*cells).agg(F.sum("n").alias("n")), [group, low], F.struct(F.col(key).isNotNull(), F.col(key), F.col("mix")))
+        starts = _down(fine, starts, [group, low], cells)
+    last = _before(base, cells, F.struct(F.col(key).isNotNull(), F.col(key), F.col(tie)))
+    return last.alias("h").join(starts.alias("a"), _same("h", "a", cells)).select(*[f"h.{c}" for c in rows.columns], "size", (F.col("base") + F.col("start")).cast("long").alias("rank"))
+
+
+def _down(here: DataFrame, above: DataFrame, parents: list[str], keys: list[str]) -> DataFrame:
+    """keys, size, base: a level's starts on top of those of its parents."""
+    return here.alias("h").join(above.alias("a"), _same("h", "a", parents)).select(*[f"h.{k}" for k in keys], "size", (F.col("base") + F.col("start")).alias("base"))
 
 
 def _depth(size: Column, fanout: int) -> Column:
@@ -128,18 +135,19 @@ def _steps(levels: Column, at: Column, fanout: int) -> Column:
 
 
 def proofs(heights: list[DataFrame], groups: list[str], carry: list[str], fanout: int = 2, above: DataFrame | None = None) -> DataFrame:
-    """groups, place, digest, ``carry``, proof (array of struct(left, right), from the leaf up) and root, for every leaf. ``above`` (groups, proof, root) goes
-    on top of the groups' own roots."""
+    """groups, place, digest, ``carry``, proof (array of struct(left, right), from the leaf up), subroot (of the leaf's group) and root, for every
+    leaf. ``above`` (groups, proof, root) goes on top of the groups' own roots."""
     step = "array<struct<left:string,right:string>>"
-    upper = heights[-1].select(*groups, "pack", F.array().cast(step).alias("upper"), F.element_at(F.element_at("levels", -1), 1).alias("root"))
+    top = F.element_at(F.element_at("levels", -1), 1)
+    upper = heights[-1].select(*groups, "pack", F.array().cast(step).alias("upper"), top.alias("subroot"), top.alias("root"))
     if above is not None:
-        upper = heights[-1].alias("h").join(above.alias("a"), _same("h", "a", groups)).select(*[f"h.{g}" for g in groups], "h.pack", F.col("a.proof").alias("upper"), "a.root")
+        upper = upper.drop("upper", "root").alias("h").join(above.alias("a"), _same("h", "a", groups)).select("h.*", F.col("a.proof").alias("upper"), "a.root")
     for i in reversed(range(len(heights))):
-        packs = heights[i].alias("h").join(upper.alias("u"), _same("h", "u", [*groups, "pack"])).select(*[f"h.{g}" for g in groups], "h.members", "h.levels", "upper", "root")
-        each = packs.select(*groups, "levels", "upper", "root", F.posexplode("members").alias("at", "m"))
+        packs = heights[i].alias("h").join(upper.alias("u"), _same("h", "u", [*groups, "pack"])).select(*[f"h.{g}" for g in groups], "h.members", "h.levels", "upper", "subroot", "root")
+        each = packs.select(*groups, "levels", "upper", "subroot", "root", F.posexplode("members").alias("at", "m"))
         proof = F.concat(_steps(F.col("levels"), F.col("at"), fanout), F.col("upper"))
-        rows = each.select(*groups, F.col("m.place").alias("place"), F.col("m.digest").alias("digest"), *[F.col(f"m.{c}").alias(c) for c in (carry if i == 0 else [])], proof.alias("proof"), "root")
-        upper = rows.select(*groups, F.col("place").alias("pack"), F.col("proof").alias("upper"), "root")
+        rows = each.select(*groups, F.col("m.place").alias("place"), F.col("m.digest").alias("digest"), *[F.col(f"m.{c}").alias(c) for c in (carry if i == 0 else [])], proof.alias("proof"), "subroot", "root")
+        upper = rows.select(*groups, F.col("place").alias("pack"), F.col("proof").alias("upper"), "subroot", "root")
     return rows
 
 
@@ -175,9 +183,8 @@ def manifest(docs: DataFrame, fanout: int = 2, each: int = 7) -> DataFrame:
     order = numbered(subroots, "grp").withColumn("size", F.lit(subroots.count())).select(F.lit(0).alias("all"), F.col("nth").cast("long").alias("place"), "size", "digest", "grp")
     top = proofs(tree(order, ["all"], ["grp"], fanout), ["all"], ["grp"], fanout)
     every = proofs(heights, ["grp"], ["doc_id", "other"], fanout, top.select("grp", "proof", "root"))
-    known = every.alias("e").join(subroots.alias("s"), F.col("e.grp") == F.col("s.grp"))
     siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
-    out = known.select("e.doc_id", F.col("e.digest").alias("leaf"), F.col("s.digest").alias("subroot"), "e.root", F.sha2(siblings, 256).alias("proof_sha256"), folded(F.col("e.other"), F.col("e.proof")).alias("folded_root"))
+    out = every.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), folded(F.col("other"), F.col("proof")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
