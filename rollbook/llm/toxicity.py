@@ -6,23 +6,23 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashed import NO_LETTER, Adam, Words, chunks, mixed, sigmoid, words_of
 
-#: Windows of so many words, a new one each so many.
-WINDOW, STRIDE = 32, 16
+#: Words of a window. A window starts at every word that has so many from it on.
+WINDOW = 12
 #: Sizes of the recurrent state, of the word and of the character inputs; places of the character n-grams.
 STATE, WORD_DIM, CHAR_DIM, GRAMS = 8, 8, 8, 1 << 14
 GRAM_SIZES = (3, 4, 5)
 #: The fit takes at most so many labelled documents of each class (those with the least hash of the id), with all their
-#: windows and words.
-FIT_TOXIC, FIT_CLEAN = 1_500, 2_500
+#: windows and words; and of those, in the order of the hash, as many as have so many bytes of text together.
+FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1_500, 2_500, 64 << 20
 #: A word has a vector of its own if so many further documents of the fit have it. What fewer say tells little about others;
 #: such words, as those the fit has never met, come by their characters.
 TRUST = 2
-EPOCHS = 8
+EPOCHS = 12
 #: Bytes of text, windows, and words that are worked on together.
 CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
 
@@ -31,14 +31,33 @@ def _bytes(texts: Iterable) -> list[bytes]:
     return [t.lower().encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
 
 
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start (over all words), length and text of every window; a text of n words has one at 0 and then each STRIDE words
-    until its last word is covered. A text without words has one of length 0."""
-    n = 1 + np.maximum(0, -(-(counts - WINDOW) // STRIDE))
-    text = np.repeat(np.arange(len(counts)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = (np.cumsum(counts) - counts)[text] + nth * STRIDE
-    return first, np.minimum(WINDOW, counts[text] - nth * STRIDE), text
+def windows(counts: np.ndarray) -> np.ndarray:
+    """How many windows each text has: one at every word with WINDOW words from it on; a text of fewer words, or none, has one of all its words."""
+    return 1 + np.maximum(0, counts - WINDOW)
+
+
+class Windows:
+    """All windows of some texts, by number, without a row for each."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.n = counts, windows(counts)
+        self.ends, self.words = np.cumsum(self.n), np.cumsum(counts) - counts
+
+    def __len__(self) -> int:
+        return int(self.ends[-1]) if len(self.ends) else 0
+
+    def at(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start (over all words), length and text of the windows of these numbers."""
+        text = np.searchsorted(self.ends, which, "right")
+        return self.words[text] + which - (self.ends[text] - self.n[text]), np.minimum(WINDOW, self.counts[text]), text
+
+
+def cores(words: Words) -> np.ndarray:
+    """The hash of each word without what stands before its first and after its last letter; 0 for a word without letters."""
+    letters = np.flatnonzero(~NO_LETTER[words.data])
+    low, high = np.searchsorted(letters, words.start), np.searchsorted(letters, words.end)
+    letters, has = np.append(letters, 0), high > low
+    return np.where(has, words.span_hash(np.where(has, letters[low], words.start), np.where(has, letters[np.maximum(high, 1) - 1] + 1, words.start)), np.uint64(0))
 
 
 def gram_places(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,12 +84,11 @@ def gram_places(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Inputs:
-    """The distinct words of some texts: their place in the vocabulary (-1: none) and their n-grams."""
+    """The distinct words of some texts: the place of their letters in the vocabulary (-1: none) and the n-grams of all their characters."""
 
     def __init__(self, words: Words, vocabulary: np.ndarray):
-        self.hash, first, self.of_word = np.unique(words.hash, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(vocabulary, self.hash), max(0, len(vocabulary) - 1))
-        self.known = np.where(vocabulary[at] == self.hash, at, -1) if len(vocabulary) else np.full(len(self.hash), -1)
+        _, first, self.of_word = np.unique(words.hash, return_index=True, return_inverse=True)
+        self.known = _found(vocabulary, cores(words)[first])
         self.grams, self.n_grams = gram_places(words, first)
 
     def embedded(self, params: dict) -> np.ndarray:
@@ -86,39 +104,47 @@ class Inputs:
         return out
 
 
+def _found(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The place of each hash in the sorted vocabulary; -1 where it has none."""
+    if not len(vocabulary):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where((vocabulary[at] == hashes) & (hashes != 0), at, -1)
+
+
 class Lesson(Inputs):
-    """What the fit keeps of its documents: the place of each word among the distinct ones, the bounds of all windows, and
+    """What the fit keeps of its documents: the place of each word among the distinct ones, how many each text has, and
     the vocabulary. Windows are laid out a block at a time (``placed``)."""
 
     def __init__(self, texts: list[bytes], labels: np.ndarray):
-        parts, seen, flags, n_before = [], [], [], 0
+        parts, counts, seen, flags = [], [], [], []
         for a, b in chunks(texts, CHUNK):
-            words = words_of(texts[a:b], NO_LETTER)
-            pairs = np.unique(np.stack((words.hash, np.repeat(np.arange(a, b), words.counts).astype(np.uint64))), axis=1)
+            words = words_of(texts[a:b])
+            core = cores(words)
+            pairs = np.unique(np.stack((core, np.repeat(np.arange(a, b), words.counts).astype(np.uint64))), axis=1)
+            pairs = pairs[:, pairs[0] != 0]
             seen.append(pairs[0])
             flags.append(labels[pairs[1].astype(np.int64)])
-            start, size, text = windows(words.counts)
+            counts.append(words.counts)
             distinct, first, of_word = np.unique(words.hash, return_index=True, return_inverse=True)
-            parts.append((of_word.astype(np.int32), start + n_before, size, text + a, distinct, *gram_places(words, first)))
-            n_before += len(words.hash)
-        joined = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.start, self.size, self.text = joined(1), joined(2), joined(3)
-        all_words, first = np.unique(joined(4), return_index=True)
-        n_grams = joined(6)
-        self.grams, self.n_grams = _picked(joined(5), n_grams, first), n_grams[first]
-        self.of_word = np.concatenate([np.searchsorted(all_words, p[4]).astype(np.int32)[p[0]] for p in parts]) if parts else np.zeros(0, np.int32)
+            parts.append((of_word.astype(np.int32), distinct, core[first], *gram_places(words, first)))
+        joined = lambda k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64)
+        self.windows = Windows(np.concatenate(counts) if counts else np.zeros(0, np.int64))
+        all_words, first = np.unique(joined(1), return_index=True)
+        n_grams = joined(4).astype(np.int64)
+        self.grams, self.n_grams = _picked(joined(3), n_grams, first), n_grams[first]
+        self.of_word = np.concatenate([np.searchsorted(all_words, p[1]).astype(np.int32)[p[0]] for p in parts]) if parts else np.zeros(0, np.int32)
         seen, flags = (np.concatenate(x) if x else np.zeros(0) for x in (seen, flags))
         words, place, n_docs = np.unique(seen, return_inverse=True, return_counts=True)
         toxic = np.bincount(place, flags, len(words)) if len(words) else np.zeros(0)
         self.vocabulary = words.astype(np.uint64)
-        others = np.maximum(n_docs - 1, 0)
-        self.trust = (others >= TRUST).astype(np.float32)
+        self.trust = (np.maximum(n_docs - 1, 0) >= TRUST).astype(np.float32)
         n1 = labels.sum()
         self.odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((n_docs - toxic + 0.5) / (len(labels) - n1 + 1))
-        self.known = np.searchsorted(self.vocabulary, all_words)  # all words are in it
+        self.known = _found(self.vocabulary, joined(2)[first])
 
-    def placed(self, which: slice | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _placed(self.start[which], self.size[which], self.of_word)
+    def placed(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _placed(*self.windows.at(which)[:2], self.of_word)
 
 
 def _picked(grams: np.ndarray, n_grams: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -129,25 +155,60 @@ def _picked(grams: np.ndarray, n_grams: np.ndarray, which: np.ndarray) -> np.nda
 
 def forward(params: dict, x: dict[str, np.ndarray], at: np.ndarray, on: np.ndarray, kept: dict | None = None) -> np.ndarray:
     """Logit of each window. x: input gates of each distinct word by direction; at: words of each window; on: which are there."""
-    n, states, h3 = len(at), np.empty((len(at), WINDOW, 2 * STATE), np.float32), 3 * STATE
+    return _run(params, lambda side, t: x[side][at[:, t]], on, kept)
+
+
+def _run(params: dict, gate_of, on: np.ndarray, kept: dict | None = None) -> np.ndarray:
+    """``forward`` by gate_of(side, t), the input gates of all windows at a step."""
+    n, length = on.shape
+    states, pick = np.empty((length, n, 2 * STATE), np.float32), params["pick"]
+    full = on.all(axis=0)
     for d, side in enumerate("fb"):
         h, u = np.zeros((n, STATE), np.float32), params[f"u_{side}"]
-        for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-            gate, pre = x[side][at[:, t]], h @ u
+        for t in range(length) if side == "f" else range(length - 1, -1, -1):
+            gate, pre = gate_of(side, t), h @ u
             rz = sigmoid(gate[:, : 2 * STATE] + pre[:, : 2 * STATE])
             r, z = rz[:, :STATE], rz[:, STATE:]
-            new = np.tanh(gate[:, 2 * STATE : h3] + r * pre[:, 2 * STATE :])
+            new = np.tanh(gate[:, 2 * STATE :] + r * pre[:, 2 * STATE :])
             if kept is not None:
                 kept[side, t] = (h, r, z, new, pre[:, 2 * STATE :])
-            h = np.where(on[:, t, None], new + z * (h - new), h)
-            states[:, t, d * STATE : (d + 1) * STATE] = h
-    seen = np.tanh(states @ params["attend"] + params["attend_b"])
-    weight = np.exp(np.where(on, np.clip(seen @ params["pick"], -30, 30), -np.inf))
-    weight /= np.maximum(weight.sum(axis=1, keepdims=True), 1e-30)  # without words nothing is pooled
-    pooled = np.einsum("nt,nth->nh", weight, states)
+            after = new + z * (h - new)
+            h = after if full[t] else np.where(on[:, t, None], after, h)
+            states[t, :, d * STATE : (d + 1) * STATE] = h
+    seen = np.tanh(states.reshape(-1, 2 * STATE) @ params["attend"] + params["attend_b"]).reshape(length, n, -1)
+    weight = np.exp(np.where(on.T, np.clip(seen @ pick, -30, 30), -np.inf))
+    weight /= np.maximum(weight.sum(axis=0), 1e-30)  # without words nothing is pooled
     if kept is not None:
+        states, seen, weight = states.transpose(1, 0, 2), seen.transpose(1, 0, 2), weight.T
+        pooled = np.einsum("nt,nth->nh", weight, states)
         kept |= {"states": states, "seen": seen, "weight": weight, "pooled": pooled}
-    return pooled @ params["out"] + params["out_b"]
+        return pooled @ params["out"] + params["out_b"]
+    return ((states.reshape(-1, 2 * STATE) @ params["out"]).reshape(length, n) * weight).sum(axis=0) + params["out_b"]
+
+
+def every_logit(params: dict, gates: dict[str, np.ndarray], of_word: np.ndarray, every: Windows) -> np.ndarray:
+    """The logit of each of a text's windows, all texts one after the other.
+
+    Windows that start one word after the other share their words' input gates: a block takes them once, in the order of the words, and each step is a
+    slice of them. Of the windows that such a block has, those that run over the end of a text are left out; texts of less than a window's words come
+    by themselves.
+    """
+    out = np.empty(len(every), np.float32)
+    short = every.counts < WINDOW
+    windows_of = lambda mask: np.repeat(mask, every.n)
+    starts = np.repeat(every.words, every.n) + np.arange(len(every)) - np.repeat(every.ends - every.n, every.n)
+    full = np.flatnonzero(windows_of(~short))
+    for a in range(0, len(of_word) - WINDOW + 1, BLOCK):
+        b = min(a + BLOCK, len(of_word) - WINDOW + 1)
+        low, high = np.searchsorted(starts[full], (a, b))
+        if low < high:
+            own = {side: gates[side][of_word[a : b + WINDOW - 1]] for side in "fb"}
+            out[full[low:high]] = _run(params, lambda side, t: own[side][t : t + b - a], np.ones((b - a, WINDOW), bool))[starts[full[low:high]] - a]  # noqa: B023
+    rest = np.flatnonzero(windows_of(short))
+    for a in range(0, len(rest), BLOCK):
+        start, size, _ = every.at(rest[a : a + BLOCK])
+        out[rest[a : a + BLOCK]] = forward(params, gates, *_placed(start, size, of_word))
+    return out
 
 
 def backward(params: dict, kept: dict, on: np.ndarray, d_logit: np.ndarray) -> tuple[dict, dict[str, np.ndarray]]:
@@ -198,14 +259,15 @@ def _placed(first: np.ndarray, size: np.ndarray, of_word: np.ndarray) -> tuple[n
 def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed: int = 0) -> dict:
     """Train on documents and their labels (0 or 1) by Adam.
 
-    A document's logit is its highest window's. Each epoch scores all windows, then learns from the highest two of
-    each document. Word vectors start with the log odds of the word in their first place, the bias with those of
+    A document's logit is its highest window's. Each epoch scores all windows, then learns from the highest ones of
+    each document. What is returned is the mean of the parameters over all steps of the second half, as single steps' differ much. Word vectors start with the log odds of the word in their first place, the bias with those of
     ``share``, the share of toxic documents among all labelled ones (default: among these). With labels of one class
     only, or none, the network stays at that share.
     """
     rng = np.random.default_rng(seed)
     lesson, n1 = Lesson(texts, labels), labels.sum()
-    n_words, text = len(lesson.vocabulary), lesson.text
+    n_words = len(lesson.vocabulary)
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), lesson.windows.n)
     some = lambda *shape: (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
     params = {"words": (rng.standard_normal((max(1, n_words), WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.05).astype(np.float32)}
     params["words"][:n_words, 0] = np.clip(lesson.odds, -4, 4) / 2
@@ -218,15 +280,14 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     if not 0 < n1 < len(labels):
         params["out"][:] = 0
         return model
-    trained, adam = {k: params[k] for k in params}, Adam(params, 0.01)
-    weigh = np.where(labels == 1, 0.5 * len(labels) / n1, 0.5 * len(labels) / (len(labels) - n1)) ** 0.5
+    trained, adam = {k: params[k] for k in params}, Adam({k: v for k, v in params.items() if k != "trust"}, 0.01)
+    mean, n_steps = {k: np.zeros_like(v) for k, v in adam.params.items()}, 0
+    weigh = np.where(labels == 1, 0.5 * len(labels) / n1, 0.5 * len(labels) / (len(labels) - n1))  # both classes weigh the same
     for epoch in range(EPOCHS):
-        gates, logit = _gates(trained, _or_blank(lesson.embedded(trained))), np.empty(len(text), np.float32)
-        for a in range(0, len(text), BLOCK):
-            logit[a : a + BLOCK] = forward(trained, gates, *lesson.placed(slice(a, a + BLOCK)))
+        logit = every_logit(trained, _gates(trained, _or_blank(lesson.embedded(trained))), lesson.of_word, lesson.windows)
         order = np.lexsort((-logit, text))
         highest = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < (2 if epoch < EPOCHS // 2 else 1)]
-        adam.rate = 0.01 if epoch < EPOCHS * 2 // 3 else 0.003
+        adam.rate = 0.01 if epoch < EPOCHS // 2 else 0.004
         rng.shuffle(highest)
         for a in range(0, len(highest), 384):
             which = highest[a : a + 384]
@@ -246,6 +307,12 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
                 d_embedded += d_word @ trained[f"w_{side}"].T
             grads |= few.gradients(trained, d_embedded[: len(few.known)])
             adam.step(grads)
+            if epoch >= EPOCHS // 2:
+                n_steps += 1
+                for k, held in mean.items():
+                    held += (trained[k] - held) / n_steps
+    for k, held in mean.items():
+        trained[k][...] = held
     return model
 
 
@@ -266,21 +333,19 @@ class _Some(Inputs):
 
 def scores(model: dict, texts: list[bytes]) -> np.ndarray:
     """Score of each text: its highest window's. A text without words has one window that pools nothing."""
-    words = words_of(texts, NO_LETTER)
+    words = words_of(texts)
     best = np.full(len(texts), -np.inf, np.float32)
-    inputs = Inputs(words, model["vocabulary"])
+    inputs, every = Inputs(words, model["vocabulary"]), Windows(words.counts)
     gates = _gates(model, _or_blank(inputs.embedded(model)))
-    start, size, text = windows(words.counts)
-    for a in range(0, len(text), BLOCK):
-        at, on = _placed(start[a : a + BLOCK], size[a : a + BLOCK], inputs.of_word)
-        np.maximum.at(best, text[a : a + BLOCK], forward(model, gates, at, on))
+    np.maximum.at(best, np.repeat(np.arange(len(texts)), every.n), every_logit(model, gates, inputs.of_word, every))
     return sigmoid(best.astype(np.float64))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learns: Column, n_by_class: dict[int, int]) -> pd.DataFrame:
+def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learns: Column, n_by_class: dict[int, int], most_bytes: int | None = None) -> pd.DataFrame:
     """text and label of a bounded sample of labelled documents: of each class the given number with the least hash.
 
-    One row for each sampled id and class; where several rows share an id it is the one with the least text.
+    One row for each sampled id and class; where several rows share an id it is the one with the least text. With ``most_bytes`` those that come first by
+    hash, as long as their texts have no more bytes together.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__id").isNotNull()).where(learns)
     parts = [known.where(F.col("__label") == c).distinct().orderBy(F.xxhash64("__id"), "__id").limit(n) for c, n in n_by_class.items()]
@@ -288,21 +353,25 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     for part in parts[1:]:
         few = few.union(part)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(few), "__id")  # bounded by n_by_class
-    got = rows.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).orderBy("__id", "__label").toPandas()
+    rows = rows.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    if most_bytes is not None:  # a window over the sample alone
+        before = Window.orderBy(F.xxhash64("__id"), "__id", "__label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("__sum", F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(before)).where(F.col("__sum") <= most_bytes).drop("__sum")
+    got = rows.orderBy("__id", "__label").toPandas()
     return got.rename(columns={"__text": "text", "__label": "label"})
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs``; held_out: crc32 of the id as text mod folds = held.
 
-    Learns from labels of rows that aren't held out alone (see ``sampled``), all windows and words of each. Null and empty
+    Learns from labels of rows that aren't held out alone (see ``sampled``), all windows and words of each, within FIT_BYTES. Null and empty
     texts get the network's score of a window without words. A null id is not held out. Repeated rows get the same
-    score. Without labels every text of words scores one half, the odds of no labels. A very long text is worked
+    score. Windows overlap at every word. Without labels every text of words scores one half, the odds of no labels. A very long text is worked
     on by itself, its windows a block at a time. Other columns of ``docs``, whatever their names, play no part. An empty table
     gives an empty one.
     """
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
-    few = sampled(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_TOXIC, 0: FIT_CLEAN})
+    few = sampled(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_TOXIC, 0: FIT_CLEAN}, FIT_BYTES)
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(fold("__id") != held)
     toxic, rows = known.agg(F.count_if(F.col("__label") == 1), F.count("__label")).first()
     model = docs.sparkSession.sparkContext.broadcast(fit(_bytes(few["text"]), few["label"].to_numpy(np.float64), (toxic + 0.5) / (rows + 1)))

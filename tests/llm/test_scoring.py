@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.llm import quality_mil, toxicity
+from rollbook.llm.hashed import words_of
 
 FULL = "/root/testdata/sf0.1"
 
@@ -45,7 +46,7 @@ def test_gradients_of_the_recurrent_network():
     s, n = toxicity.STATE, 3
     params = {f"u_{d}": rng.standard_normal((s, 3 * s)) * 0.3 for d in "fb"} | {"attend": rng.standard_normal((2 * s, s)) * 0.3, "attend_b": rng.standard_normal(s), "pick": rng.standard_normal(s), "out": rng.standard_normal(2 * s), "out_b": np.zeros(1)}
     gates = {d: rng.standard_normal((40, 3 * s)) for d in "fb"}
-    at, on, y = rng.integers(0, 40, (n, toxicity.WINDOW)), np.arange(toxicity.WINDOW) < np.array([[32], [5], [1]]), np.array([1.0, 0.0, 1.0])
+    at, on, y = rng.integers(0, 40, (n, toxicity.WINDOW)), np.arange(toxicity.WINDOW) < np.array([[toxicity.WINDOW], [5], [1]]), np.array([1.0, 0.0, 1.0])
 
     def loss():
         z = toxicity.forward(params, gates, at, on)
@@ -58,14 +59,64 @@ def test_gradients_of_the_recurrent_network():
         assert np.allclose(grads[k], want, atol=2e-2, rtol=5e-2), k
 
 
-def test_windows_cover_every_word():
-    counts = np.array([0, 1, 31, 32, 33, 48, 49, 1000])
-    first, size, text = toxicity.windows(counts)
+def test_a_window_starts_at_every_word():
+    counts = np.array([0, 1, toxicity.WINDOW - 1, toxicity.WINDOW, toxicity.WINDOW + 1, 48, 1000])
+    every = toxicity.Windows(counts)
+    first, size, text = every.at(np.arange(len(every)))
     begin = np.cumsum(counts) - counts
     for k, n in enumerate(counts):
-        mine = text == k
-        seen = {w for a, m in zip(first[mine], size[mine]) for w in range(a, a + m)}
-        assert seen == set(range(begin[k], begin[k] + n)) and (size[mine] >= min(n, 1)).all()
+        starts = (first[text == k] - begin[k]).tolist()
+        assert starts == list(range(max(1, n - toxicity.WINDOW + 1))) and set(size[text == k]) == {min(n, toxicity.WINDOW)}
+
+
+def plain_logit(model, words):
+    """The network of one window, word by word, from its formulas."""
+    inputs = []
+    for w in words:
+        core = w
+        while core and toxicity.NO_LETTER[core[0]]:
+            core = core[1:]
+        while core and toxicity.NO_LETTER[core[-1]]:
+            core = core[:-1]
+        key = words_of([core]).hash[0] if core else None
+        at = np.flatnonzero(model["vocabulary"] == key) if core else []
+        word = model["words"][at[0]] * model["trust"][at[0]] if len(at) else np.zeros(toxicity.WORD_DIM)
+        one = words_of([w])
+        grams = model["grams"][toxicity.gram_places(one, np.array([0]))[0]].mean(axis=0)
+        inputs.append(np.concatenate((word, grams)).astype(np.float64))
+    sig, s = lambda x: 1 / (1 + np.exp(-x)), toxicity.STATE
+    both = []
+    for side in "fb":
+        h, out = np.zeros(s), []
+        for x in inputs if side == "f" else inputs[::-1]:
+            gate, pre = x @ model[f"w_{side}"] + model[f"b_{side}"], h @ model[f"u_{side}"]
+            r, z = sig(gate[:s] + pre[:s]), sig(gate[s:2 * s] + pre[s:2 * s])
+            h = (1 - z) * np.tanh(gate[2 * s:] + r * pre[2 * s:]) + z * h
+            out.append(h)
+        both.append(out if side == "f" else out[::-1])
+    if not words:
+        return float(model["out_b"][0])
+    states = [np.concatenate(x) for x in zip(*both)]
+    pull = np.array([np.tanh(x @ model["attend"] + model["attend_b"]) @ model["pick"] for x in states])
+    weight = np.exp(pull - pull.max()) / np.exp(pull - pull.max()).sum()
+    return sum(w * x for w, x in zip(weight, states)) @ model["out"] + model["out_b"][0]
+
+
+def test_scores_against_a_plain_network():
+    rng = np.random.default_rng(2)
+    words = [b"alpha", b"be,", b"(gamma)", "d\u00e9lta!".encode(), b"om3ga", b"x", b"123", b"--", b"longerword", b"alpha."]
+    texts = [b" ".join(rng.choice(words, n)) for n in (0, 1, 5, 11, 12, 13, 40, 200)]
+    model = toxicity.fit(texts, np.array([0.0, 1, 0, 1, 0, 1, 0, 1]))
+    for text, score in zip(texts, toxicity.scores(model, texts)):
+        own = text.split()
+        logits = [plain_logit(model, own[a:a + toxicity.WINDOW]) for a in range(max(1, len(own) - toxicity.WINDOW + 1))]
+        assert np.isclose(score, 1 / (1 + np.exp(-max(logits))), atol=1e-4)
+
+
+def test_digits_and_symbols_reach_the_network():
+    model = toxicity.fit([b"an 1d10t !!", b"a good day"] * 10, np.array([1.0, 0.0] * 10))
+    a, b, c = toxicity.scores(model, [b"1d10t", b"day", b"!!"])
+    assert len({round(float(x), 6) for x in (a, b, c)}) == 3 and a > b
 
 
 def held_out(spark, query, label, folds, held):
@@ -99,20 +150,6 @@ def test_odd_rows(spark, odd, odd_rows, empty, score):
     assert len({r.score for r in score(odd, labels.where("doc_id < 0")).collect()}) >= 1
 
 
-def test_a_score_is_that_of_the_highest_window():
-    rng = np.random.default_rng(0)
-    words = [b"alpha", b"be", b"gamma", "délta".encode(), b"omega", b"x", b"longerword"]
-    texts = [b" ".join(rng.choice(words, n)) for n in (1, 20, 32, 33, 100, 400)] + [b"", b" 12 -- "]
-    model = toxicity.fit(texts, np.array([1.0, 0, 1, 0, 1, 0, 0, 0]))
-    got = toxicity.scores(model, texts)
-    for text, score in zip(texts, got):
-        own = text.replace(b"12 --", b"").split()
-        starts = [0, *range(toxicity.STRIDE, max(1, len(own) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)]
-        alone = [toxicity.scores(model, [b" ".join(own[a : a + toxicity.WINDOW])])[0] for a in starts]
-        assert np.isclose(score, max(alone), atol=1e-5)
-    assert got[-1] == got[-2]
-
-
 def test_passages_are_measured_each_by_itself():
     rng = np.random.default_rng(1)
     text = b" ".join(rng.choice([b"Word", b"a", b"$12", b"long" * 6, b"line\nbreak"], 200))
@@ -133,3 +170,5 @@ def test_the_sample_has_one_row_for_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
     got = toxicity.sampled(docs, labels, "doc_id", "text", "toxic", F.lit(True), {1: 10, 0: 10})
     assert got[["text", "label"]].values.tolist() == [["text 0", 1], [None, 0]]
+    few = toxicity.sampled(docs, labels, "doc_id", "text", "toxic", F.lit(True), {1: 10, 0: 10}, 6)
+    assert few.equals(got) and not len(toxicity.sampled(docs, labels, "doc_id", "text", "toxic", F.lit(True), {1: 10, 0: 10}, 5))
