@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.periods import period_index
+from rollbook.operators.inference import numbered
+from rollbook.sources.shared import cut, spread_join
 
 MATCH = ("entrant_id", "graduate_id", "status", "curso_normalizado", "periodo_ingresso", "periodo_conclusao", "semesters_to_graduation")
 
@@ -38,16 +42,61 @@ def match_cohorts(records: DataFrame) -> DataFrame:
         F.when(exact, F.col("last.period_idx") - F.col("r.period_idx")).alias("semesters_to_graduation"))
 
 
+#: Graduates that one row of the candidates' table holds.
+LIST = 1024
+
+
+@dataclass
+class Candidates:
+    """All candidate lists without their pairs. Graduates stand once, in the order of course, name, period and id; the candidates of an entrant, those of its
+    course and name of later periods, are the ``n`` from place ``first`` on. However many share a name, there is a row a person."""
+
+    graduates: DataFrame  # block, ids (LIST graduates in order)
+    entrants: DataFrame  # entrant_id, first (null without candidates), n
+
+
+def candidate_index(records: DataFrame) -> Candidates:
+    keys = ["curso_normalizado", "nome_chave"]
+    people = records.where("curso_normalizado IS NOT NULL AND nome_chave IS NOT NULL").select("record_id", "tipo_registro", "period_idx", *keys)
+    spot = F.concat_ws("\x00", *keys, F.format_string("%012d", F.col("period_idx")), F.format_string("%020d", F.col("record_id")))
+    placed = cut(numbered(people.where("tipo_registro = 'concluinte'").withColumn("spot", spot), "spot").select("record_id", "period_idx", *keys, "nth"))
+    cells = placed.groupBy(*keys, "period_idx").agg(F.min("nth").alias("start"), F.count("*").alias("g"))
+    entered = people.where("tipo_registro = 'ingressante'")
+    cells = cells.unionByName(entered.select(*keys, "period_idx").distinct(), allowMissingColumns=True).groupBy(*keys, "period_idx").agg(F.min("start").alias("start"), F.sum("g").alias("g"))
+    ahead = Window.partitionBy(*keys).orderBy("period_idx").rowsBetween(1, Window.unboundedFollowing)  # a row for each period of a name
+    later = cells.withColumns({"first": F.min("start").over(ahead), "n": F.coalesce(F.sum("g").over(ahead), F.lit(0))}).select(*keys, "period_idx", "first", "n")
+    known = spread_join(entered, later, [*keys, "period_idx"], ["record_id"]).select(F.col("record_id").alias("entrant_id"), "first", "n")
+    lost = records.where("tipo_registro = 'ingressante' AND (curso_normalizado IS NULL OR nome_chave IS NULL)").select(F.col("record_id").alias("entrant_id"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    blocks = placed.groupBy(F.floor(F.col("nth") / LIST).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "record_id"))), lambda x: x["record_id"]).alias("ids"))
+    return Candidates(blocks, known.union(lost))
+
+
+def candidate_pages(index: Candidates, size: int = LIST, page: int | None = None) -> DataFrame:
+    """entrant_id, page, candidate_ids: the lists expanded in pages of ``size``, in the order of the index; with ``page`` that page alone, for those
+    who look at one list at a time."""
+    if size < 1:
+        raise ValueError("size must be positive")
+    pages = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size)) if page is None else F.array(F.lit(page).cast("long"))
+    asked = index.entrants.where(F.col("n") > (page or 0) * size).select("entrant_id", "first", "n", F.explode(pages).alias("page"))
+    low = F.col("first") + F.col("page") * size
+    asked = asked.select("entrant_id", "page", low.alias("low"), F.least(low + size, F.col("first") + F.col("n")).alias("high"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / LIST), F.floor((F.col("high") - 1) / LIST))))
+    met = spread_join(asked, index.graduates, ["block"], ["entrant_id", "page"], "inner")
+    begin = F.greatest(F.col("low") - F.col("block") * LIST, F.lit(0))
+    own = F.slice("ids", (begin + 1).cast("int"), (F.least(F.col("high") - F.col("block") * LIST, F.lit(LIST)) - begin).cast("int"))
+    parts = met.groupBy("entrant_id", "page").agg(F.array_sort(F.collect_list(F.struct("block", own.alias("ids")))).alias("parts"))
+    return parts.select("entrant_id", "page", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("candidate_ids"))
+
+
 def match_candidates(records: DataFrame) -> DataFrame:
-    """entrant_id, graduate_id of every candidate pair, for review tables."""
-    pick = lambda kind, name: records.where(F.col("tipo_registro") == kind).select(F.col("record_id").alias(name), "curso_normalizado", "nome_chave", F.col("period_idx").alias(f"{name}_idx"))
-    return pick("ingressante", "entrant_id").join(pick("concluinte", "graduate_id"), ["curso_normalizado", "nome_chave"]).where("graduate_id_idx > entrant_id_idx").select("entrant_id", "graduate_id")
+    """entrant_id, graduate_id of every candidate pair: as many rows as there are pairs. ``candidate_index`` has the same in a row a person."""
+    return candidate_pages(candidate_index(records)).select("entrant_id", F.explode("candidate_ids").alias("graduate_id"))
 
 
-def candidate_lists(pairs: DataFrame) -> DataFrame:
-    """entrant_id, candidate_ids: the ids in order, joined by semicolons."""
-    ids = F.array_sort(F.collect_list("graduate_id"))
-    return pairs.groupBy("entrant_id").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ";").alias("candidate_ids"))
+def candidate_lists(pages: DataFrame) -> DataFrame:
+    """entrant_id, candidate_ids: the whole lists of ``candidate_pages``, ids in order, joined by semicolons."""
+    ids = F.array_sort(F.flatten(F.collect_list("candidate_ids")))
+    return pages.groupBy("entrant_id").agg(F.array_join(F.transform(ids, lambda x: x.cast("string")), ";").alias("candidate_ids"))
 
 
 def latest_graduation(records: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.sources.shared import free
+
 KEY = ("name", "country_id", "name_mode")
 STORED = (*KEY, "gender", "probability", "count", "queried_at")
 #: Names in one request to a predictor.
@@ -57,24 +59,28 @@ def lookup(asked: DataFrame, store: DataFrame, country: str = "BR", mode: str =
 
 def missing(asked: DataFrame, store: DataFrame, country: str = "BR", mode: str = "full", name: str = "query_name") -> DataFrame:
     """Distinct names without a stored answer, sorted into batches: name, batch, pos. An answer without gender is an answer."""
-    own = store.where((F.col("country_id") == country) & (F.col("name_mode") == mode)).select(F.col("name").alias(name))
-    return numbered(asked.select(name).distinct().join(own, name, "left_anti"), name).select(
-        F.col(name).alias("name"), F.floor(F.col("nth") / BATCH).alias("batch"), (F.col("nth") % BATCH).cast("int").alias("pos"))
+    own = store.where((F.col("country_id") == country) & (F.col("name_mode") == mode)).select("name")
+    return numbered_batches(asked.select(F.col(name).alias("name")).distinct().join(own, "name", "left_anti"))
+
+
+def numbered_batches(names: DataFrame) -> DataFrame:
+    """name, batch, pos of distinct names: sorted, BATCH names in each batch."""
+    return numbered(names, "name").select("name", F.floor(F.col("nth") / BATCH).alias("batch"), (F.col("nth") % BATCH).cast("int").alias("pos"))
 
 
 def numbered(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with nth, the 0-based place of its unique, non-null ``key``.
+    """``df`` with nth, the 0-based place of its unique, non-null ``key``. A column nth of ``df`` is replaced, others stay whatever their names.
 
     The keys' quantiles part them into ranges; a row's range follows from its key alone, whoever computes it. Each range
     numbers its own rows and adds the rows of the ranges before, a table of a row per range; no task sees all rows.
     """
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    head = _range_head(df, key, ranges)
-    parts = df.withColumn("head", head)
-    within = parts.withColumn("within", F.row_number().over(Window.partitionBy("head").orderBy(key)) - 1)
-    sizes = parts.groupBy("head").agg(F.count("*").alias("n"))
-    before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return within.join(F.broadcast(before), "head").withColumn("nth", F.col("before") + F.col("within")).drop("head", "within", "before")
+    head, within, before = free(df, "head", "within", "before")
+    parts = df.withColumn(head, _range_head(df, key, ranges))
+    numbers = parts.withColumn(within, F.row_number().over(Window.partitionBy(head).orderBy(key)) - 1)
+    sizes = parts.groupBy(head).agg(F.count("*").alias("n"))
+    starts = sizes.select(head, F.coalesce(F.sum("n").over(Window.orderBy(head).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return numbers.join(F.broadcast(starts), head).withColumn("nth", F.col(before) + F.col(within)).drop(head, within, before)
 
 
 def _range_head(df: DataFrame, key: str, ranges: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.periods import period_index
-from rollbook.operators.distribution import distributions, with_quantiles
+from rollbook.operators.distribution import distributions, merged, with_quantiles
 from rollbook.operators.inference import HIGH, LOW, MEDIUM
 
 METRICS = (
@@ -59,8 +59,9 @@ def _finished(sums: DataFrame, keys: list[str]) -> DataFrame:
     }).select(*keys, *METRICS)
 
 
-def _bounded(sums: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
-    bounds = with_quantiles(distributions(counted, keys, "p_female", "n"), {"low": 0.025, "high": 0.975}).select(*[F.col(k).alias(f"__{k}") for k in keys], "low", "high")
+def _joined(sums: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """``sums`` with low and high of each group's distribution; 0 where it has none."""
+    bounds = with_quantiles(bounds, {"low": 0.025, "high": 0.975}).select(*[F.col(k).alias(f"__{k}") for k in keys], "low", "high")
     if not keys:
         return sums.join(F.broadcast(bounds), F.lit(True), "left").fillna(0, ["low", "high"])  # one row
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
@@ -75,18 +76,38 @@ def summarize(records: DataFrame, keys: list[str] | tuple = (), counted: bool =
     """
     keys = list(keys)
     table = records if counted else cells(records, keys)
-    return _finished(_bounded(table.groupBy(*keys).agg(*_aggregates()), table, keys), keys)
+    return _finished(_joined(table.groupBy(*keys).agg(*_aggregates()), distributions(table, keys, "p_female", "n"), keys), keys)
+
+
+def lattice(counted: DataFrame, keys: list[str], sets: list[tuple[str, ...]], always: tuple[str, ...] = ()) -> dict[tuple[str, ...], DataFrame]:
+    """The distribution of each group of each set: set -> always, its keys, STATE.
+
+    Cells meet the helper once, at the finest grouping. Every coarser set merges the distributions of the smallest set above it: their lengths
+    grow with the square root of the records, so what goes up is small. The keys that a set leaves out deal a group over tasks.
+    """
+    spread = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    finest = tuple(k for k in keys if any(k in s for s in sets))
+    made = {finest: distributions(counted, [*always, *finest], "p_female", "n")}
+    for s in sorted(set(sets) - {finest}, key=lambda s: (-len(s), s)):
+        above = min((k for k in made if set(s) < set(k)), key=lambda k: (len(k), k))
+        gone = [k for k in above if k not in s]
+        made[s] = merged(made[above], [*always, *s], F.pmod(F.xxhash64(*gone), F.lit(spread)), spread)
+    return {s: made[s] for s in sets}
 
 
 def grouping_sets(records: DataFrame, keys: list[str], sets: list[tuple[str, ...]], always: tuple[str, ...] = ()) -> DataFrame:
     """Metrics over several groupings at once: ``always`` plus each of ``sets``; level names the set ('' is the total).
 
-    Records are counted to cells once; the cells are what is repeated for the sets.
+    Records are counted to cells once; the cells are repeated for the sets' sums, their distributions merge upward (see ``lattice``).
     """
     table = cells(records, [*always, *keys])
-    level = lambda s: F.lit(",".join(s)).alias("level")
-    rows = [table.select(level(s), *always, *[F.col(k) if k in s else F.lit(None).cast(dict(table.dtypes)[k]).alias(k) for k in keys], "p_female", "probability", "count", "confidence_class", "n") for s in sets]
-    return summarize(reduce(DataFrame.unionByName, rows), ["level", *always, *keys], counted=True)
+    kinds = dict(table.dtypes)
+    named = lambda s: [F.lit(",".join(s)).alias("level"), *always, *[F.col(k) if k in s else F.lit(None).cast(kinds[k]).alias(k) for k in keys]]
+    rows = [table.select(*named(s), "p_female", "probability", "count", "confidence_class", "n") for s in sets]
+    bounds = [states.select(*named(s), "draws", "offset", "mass") for s, states in lattice(table, keys, sets, always).items()]
+    groups = ["level", *always, *keys]
+    sums = reduce(DataFrame.unionByName, rows).groupBy(*groups).agg(*_aggregates())
+    return _finished(_joined(sums, reduce(DataFrame.unionByName, bounds), groups), groups)
 
 
 def report_sets(records: DataFrame) -> DataFrame:
@@ -97,19 +118,29 @@ def report_sets(records: DataFrame) -> DataFrame:
 
 PUBLIC = ("tipo_registro", "curso", "agrupamento", "periodo", "total", "resolvidos", "nao_identificados", "cobertura", "expected_female", "expected_male", "female_percent_resolved",
           "male_percent_resolved", "variance_female", "interval95_lower_resolved", "interval95_upper_resolved")
+PUBLIC_SETS = [("ano",), ("periodo",), ("curso_normalizado", "ano"), ("curso_normalizado", "periodo")]
 
 
 def public_rows(records: DataFrame) -> DataFrame:
     """The public table: kind x (year, half year) x (all courses, each course). Not suppressed; scopes overlap."""
-    sets = [("ano",), ("periodo",), ("curso_normalizado", "ano"), ("curso_normalizado", "periodo")]
-    rows = grouping_sets(records, ["curso_normalizado", "ano", "periodo"], sets, ("tipo_registro",))
+    return public_of(grouping_sets(records, ["curso_normalizado", "ano", "periodo"], PUBLIC_SETS, ("tipo_registro",)))
+
+
+def public_of(rows: DataFrame) -> DataFrame:
+    """The public table out of the rows of ``report_sets``."""
     by_year = F.col("level").endswith("ano")
-    return rows.withColumns({
+    return rows.where(F.col("level").isin([",".join(s) for s in PUBLIC_SETS])).withColumns({
         "curso": F.when(F.col("level").startswith("curso"), F.col("curso_normalizado")).otherwise(ALL_COURSES),
         "agrupamento": F.when(by_year, "ano").otherwise("semestre"), "periodo": F.when(by_year, F.col("ano").cast("string")).otherwise(F.col("periodo")),
     }).select(*PUBLIC)
 
 
+def series_of(rows: DataFrame, by_course: bool = False) -> DataFrame:
+    """Kind by period, or kind and course by period, out of the rows of ``report_sets``; as ``temporal`` makes it from records."""
+    keys = ["tipo_registro", *(["curso_normalizado"] if by_course else [])]
+    return with_change(rows.where(F.col("level") == ",".join([*keys[1:], "periodo"])).select(*keys, "periodo", *METRICS), keys)
+
+
 def with_change(rows: DataFrame, keys: list[str], value: str = "female_percent_resolved") -> DataFrame:
     """variacao_pp: the value minus that of the row before in the same series; null if either is null. Missing
     periods are not filled in."""

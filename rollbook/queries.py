@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,8 +11,9 @@ from pyspark.sql import functions as F
 from rollbook.functions import periods, text
 from rollbook.jobs import report
 from rollbook.operators import charts, cohorts, distribution, extract, inference, privacy, quality, summary
-from rollbook.sources import bridge, scan, store
+from rollbook.sources import bridge, commits, predictions, scan, store
 from rollbook.sources.bridge import table
+from rollbook.sources.shared import cut, shared_folder
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -124,11 +123,8 @@ def discover_documents(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the one that all machines share; a temporary one in local mode alone."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{shared}/{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="rollbook-")
+    """A new folder below the one that all machines share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query(f"WITH {REC} SELECT record_id, tipo_registro, curso_normalizado, periodo, nome_original, numero_sequencial::BIGINT AS numero_sequencial, round(p_female, 6) + 0.0 AS p_female FROM (SELECT * REPLACE ('' AS nome_original), 0 AS numero_sequencial FROM records)")
@@ -139,14 +135,6 @@ def snapshot_round_trip(spark, sf_dir):
     return even(rows.select("record_id", "tipo_registro", "curso_normalizado", "periodo", "nome_original", "numero_sequencial", "p_female"))
 
 
-@query(f"WITH {REC}, {sums_sql(['tipo_registro', 'ano'])} SELECT {picked(['tipo_registro', 'ano', *S4])} FROM stats")
-def rebuild_from_snapshot(spark, sf_dir):
-    folder = _folder(spark)
-    store.write_snapshot(bridge.records(spark, sf_dir), folder, {"MIN_GROUP_SIZE": 5})
-    rows, _ = store.read_snapshot(spark, folder)
-    return even(summary.summarize(rows, ["tipo_registro", "ano"]).select("tipo_registro", "ano", *S4))
-
-
 @query(f"""WITH {PRED}, fresh AS (SELECT name, country_id, name_mode, 'female' AS gender, 0.99 AS probability, 7 AS count, '2026-02-01T00:00:00' AS queried_at FROM predictions WHERE hash(name) IS NOT NULL AND right(name, 1) = '7')
 SELECT name, country_id, name_mode, gender, round(probability::DOUBLE, 6) + 0.0 AS probability, count::BIGINT AS count, queried_at FROM predictions WHERE right(name, 1) <> '7' UNION ALL SELECT * REPLACE (round(probability::DOUBLE, 6) + 0.0 AS probability, count::BIGINT AS count) FROM fresh""")
 def prediction_store_upsert(spark, sf_dir):
@@ -155,6 +143,36 @@ def prediction_store_upsert(spark, sf_dir):
     return even(inference.upsert(old, new))
 
 
+# the same as a stored table: all predictions, then those of names that end in 7 anew
+@query(ORACLE_SQL["prediction_store_upsert"])
+def prediction_table(spark, sf_dir):
+    folder, old = _folder(spark), bridge.predictions(spark, sf_dir)
+    predictions.save(spark, folder, old)
+    new = {"gender": F.lit("female"), "probability": F.lit(0.99), "count": F.lit(7).cast("long"), "queried_at": F.lit("2026-02-01T00:00:00")}
+    predictions.save(spark, folder, old.where("right(name, 1) = '7'").withColumns(new))
+    return even(predictions.load(spark, folder))
+
+
+# what the stored table has no answer to; stored answers without a gender are answers
+@query(f"WITH {REC}, m AS (SELECT DISTINCT query_name FROM records WHERE NOT known) SELECT query_name AS name, (row_number() OVER (ORDER BY query_name) - 1) // 100 AS batch, (row_number() OVER (ORDER BY query_name) - 1) % 100 AS pos FROM m")
+def prediction_table_missing(spark, sf_dir):
+    folder = _folder(spark)
+    predictions.save(spark, folder, bridge.predictions(spark, sf_dir))
+    return even(predictions.missing(spark, folder, bridge.registry(spark, sf_dir).select(F.upper("nome_original").alias("query_name"))))
+
+
+# four snapshots one after another: two are kept, the last one holds
+@query(f"WITH {REG} SELECT 3::BIGINT AS last_number, 2::BIGINT AS kept, 2::BIGINT AS folders, 9::BIGINT AS minimum, count(*) AS n_rows FROM registry WHERE tipo_registro = 'concluinte'")
+def snapshot_versions(spark, sf_dir):
+    folder, rec = _folder(spark), bridge.records(spark, sf_dir)
+    for minimum, rows in ((5, rec), (7, rec.where("tipo_registro = 'ingressante'")), (8, rec), (9, rec.where("tipo_registro = 'concluinte'"))):
+        store.write_snapshot(rows, folder, {"MIN_GROUP_SIZE": minimum})
+    rows, settings = store.read_snapshot(spark, folder)
+    log = commits.history(spark, folder)
+    beside = {"last_number": log[-1][0], "kept": len(log), "folders": len(commits.versions(spark, folder)), "minimum": settings["MIN_GROUP_SIZE"]}
+    return even(rows.agg(*[F.lit(v).cast("long").alias(k) for k, v in beside.items()], F.count("*").alias("n_rows")))
+
+
 @query(f"WITH {REC} SELECT DISTINCT query_name, gender, round(probability, 6) + 0.0 AS probability, count::BIGINT AS count, known FROM records")
 def prediction_store_get(spark, sf_dir):
     asked = bridge.registry(spark, sf_dir).select(F.upper("nome_original").alias("query_name")).distinct()
@@ -271,8 +289,13 @@ def secret_scan(spark, sf_dir):
 ROSTER = f"{REG}, roster AS (SELECT *, translate(upper(nome_original), '0123456789#', 'ABCDEFGHIJ ') AS person, concat_ws('_', tipo_registro, curso_normalizado, periodo) AS arquivo, row_number() OVER (PARTITION BY tipo_registro, curso_normalizado, periodo ORDER BY record_id) AS nth FROM registry)"
 
 
+def _stored(pages: DataFrame) -> DataFrame:
+    """Pages as a stored table of several files, which they are where they don't come from the bridge."""
+    return cut(pages.repartition(pages.sparkSession.sparkContext.defaultParallelism))
+
+
 def _extracted(spark, sf_dir, reuse: bool = False) -> extract.Extraction:
-    return extract.extract(bridge.rosters(spark, sf_dir), reuse=reuse)
+    return extract.extract(_stored(bridge.rosters(spark, sf_dir)), reuse=reuse)
 
 
 @query(f"WITH {ROSTER} SELECT DISTINCT arquivo AS doc_id, tipo_registro AS kind, false AS empty FROM roster")
@@ -320,7 +343,7 @@ audit AS (SELECT arquivo AS doc_id, coalesce(uniques, 0) + coalesce(repeats, 0)
 
 
 def _faulty(spark, sf_dir, reuse: bool = True) -> extract.Extraction:
-    return extract.extract(bridge.faulty_rosters(spark, sf_dir), reuse=reuse)
+    return extract.extract(_stored(bridge.faulty_rosters(spark, sf_dir)), reuse=reuse)
 
 
 @query(f"WITH {FAULTS} SELECT * FROM audit")
@@ -371,7 +394,7 @@ def document_group_counts(spark, sf_dir):
 
 @query(f"WITH {ROSTER}, d AS (SELECT DISTINCT arquivo FROM roster WHERE tipo_registro = 'concluinte') SELECT arquivo AS doc_id FROM d UNION ALL SELECT 'copy ' || arquivo FROM d")
 def cross_document_overlap(spark, sf_dir):
-    pages = bridge.rosters(spark, sf_dir)
+    pages = _stored(bridge.rosters(spark, sf_dir))
     copies = pages.where("doc_id LIKE 'concluinte%'").withColumn("doc_id", F.concat(F.lit("copy "), "doc_id"))
     return extract.extract(pages.union(copies), reuse=True).warnings.where("code = 'overlap'").select("doc_id")
 
@@ -404,7 +427,14 @@ def match_cohorts(spark, sf_dir):
 
 @query(f"WITH {REG}, {PAIRS} SELECT entrant_id, string_agg(graduate_id::VARCHAR, ';' ORDER BY graduate_id) AS candidate_ids FROM pairs GROUP BY entrant_id")
 def match_candidates(spark, sf_dir):
-    return cohorts.candidate_lists(cohorts.match_candidates(bridge.registry(spark, sf_dir)))
+    return cohorts.candidate_lists(cohorts.candidate_pages(cohorts.candidate_index(bridge.registry(spark, sf_dir))))
+
+
+# the same lists without their pairs: how many candidates an entrant has and where they begin among all graduates
+@query(f"""WITH {REG}, {PAIRS}, g AS (SELECT record_id, row_number() OVER (ORDER BY curso_normalizado, nome_chave, period_idx, record_id) - 1 AS nth FROM registry WHERE tipo_registro = 'concluinte')
+SELECT e.record_id AS entrant_id, min(nth)::BIGINT AS first, count(nth) AS n FROM registry e LEFT JOIN pairs ON e.record_id = entrant_id LEFT JOIN g ON g.record_id = graduate_id WHERE e.tipo_registro = 'ingressante' GROUP BY 1""")
+def candidate_index(spark, sf_dir):
+    return cohorts.candidate_index(bridge.registry(spark, sf_dir)).entrants
 
 
 @query(f"WITH {REG} SELECT curso_normalizado, max_by(periodo, period_idx) AS latest, 0::BIGINT AS is_all FROM registry WHERE tipo_registro = 'concluinte' GROUP BY 1 UNION ALL SELECT NULL, max_by(periodo, period_idx), 1 FROM registry WHERE tipo_registro = 'concluinte'")
@@ -414,12 +444,13 @@ def latest_graduation(spark, sf_dir):
 
 COHORT = ["curso_normalizado", "periodo_ingresso", "n_ingressantes", "resolved_entrants", "expected_female_entrants", "expected_male_entrants", "n_matches_exact_unique", "resolved_matched", "expected_female_matched", "expected_male_matched",
           "latest_graduation_period", "latest_graduation_period_course", "followup_semesters", "match_proportion"]
-COHORT_SQL = f"""{REC}, {MATCHES}, lc AS (SELECT curso_normalizado, max_by(periodo, period_idx) AS lp, max(period_idx) AS li FROM registry WHERE tipo_registro = 'concluinte' GROUP BY 1),
+COHORT_TAIL = """lc AS (SELECT curso_normalizado, max_by(periodo, period_idx) AS lp, max(period_idx) AS li FROM registry WHERE tipo_registro = 'concluinte' GROUP BY 1),
 cohorts AS (SELECT m.curso_normalizado, periodo_ingresso, count(*) AS n_ingressantes, count(p_female) AS resolved_entrants, coalesce(sum(p_female), 0) AS expected_female_entrants, coalesce(sum(p_male), 0) AS expected_male_entrants,
     count(*) FILTER (status = 'exact_unique') AS n_matches_exact_unique, count(p_female) FILTER (status = 'exact_unique') AS resolved_matched, coalesce(sum(p_female) FILTER (status = 'exact_unique'), 0) AS expected_female_matched,
     coalesce(sum(p_male) FILTER (status = 'exact_unique'), 0) AS expected_male_matched, (SELECT max_by(lp, li) FROM lc) AS latest_graduation_period, any_value(lp) AS latest_graduation_period_course,
     greatest(0, any_value(li) - any_value(period_idx)) AS followup_semesters, (count(*) FILTER (status = 'exact_unique')) / count(*) AS match_proportion
     FROM matches m JOIN records r ON r.record_id = m.entrant_id LEFT JOIN lc ON lc.curso_normalizado = m.curso_normalizado GROUP BY 1, 2)"""
+COHORT_SQL = f"{REC}, {MATCHES}, {COHORT_TAIL}"
 
 
 @query(f"WITH {COHORT_SQL} SELECT {picked(COHORT)} FROM cohorts")
@@ -452,10 +483,12 @@ def summarize(spark, sf_dir):
     return even(summary.summarize(bridge.records(spark, sf_dir)))
 
 
-# the same without the SQL, whose transform grows with the square of the group; tests hold this against the recurrence
-@query()
+# the same from the root of the lattice: distributions made by kind, course and period, merged upward
+@query(f"WITH {REC}, {sums_sql([])} SELECT {picked(ALL)} FROM stats")
 def summarize_whole(spark, sf_dir):
-    return even(summary.summarize(bridge.records(spark, sf_dir)))
+    keys = ["tipo_registro", "curso_normalizado", "periodo"]
+    sets = [(), ("tipo_registro",), ("tipo_registro", "periodo"), tuple(keys)]
+    return even(summary.grouping_sets(bridge.records(spark, sf_dir), keys, sets).where("level = ''").select(*ALL))
 
 
 @query(f"WITH {REC}, {sums_sql(['tipo_registro', 'curso_normalizado', 'periodo'])} SELECT {picked(['tipo_registro', 'curso_normalizado', 'periodo', *ALL])} FROM stats")
@@ -577,6 +610,31 @@ def monte_carlo_difference(spark, sf_dir):
     return distribution.monte_carlo_difference(bridge.records(spark, sf_dir), "tipo_registro", "ingressante", "concluinte")
 
 
+# the exact distribution of the difference: all pairs of the two windows, by the whole number n_a * B - n_b * A
+DIFFERENCE = f"""{REC}, {dist_sql('records', 'tipo_registro')}, a AS (SELECT *, max(k) OVER () AS n FROM pmf WHERE key = 'ingressante'), b AS (SELECT *, max(k) OVER () AS n FROM pmf WHERE key = 'concluinte'),
+pairs AS (SELECT a.n * b.k - b.n * a.k AS m, any_value(a.n * b.n) AS nn, sum(a.mass * b.mass) AS mass FROM a, b WHERE a.mass > 1e-14 AND b.mass > 1e-14 GROUP BY 1), d AS (SELECT 100.0 * m / nn AS d, sum(mass) OVER (ORDER BY m) AS cdf FROM pairs)"""
+
+
+@query(f"WITH {DIFFERENCE} SELECT {', '.join(f'round(min(d) FILTER (cdf >= {a}) + 1e-10, 6) + 0.0 AS {c}' for c, a in (('p2_5', 0.025), ('p50', 0.5), ('p97_5', 0.975)))} FROM d")
+def exact_difference(spark, sf_dir):
+    got = distribution.exact_difference(bridge.records(spark, sf_dir), "tipo_registro", "ingressante", "concluinte", {"p2_5": 0.025, "p50": 0.5, "p97_5": 0.975})
+    return got.select(*[(F.round(F.col(c) + 1e-10, 6) + 0.0).alias(c) for c in got.columns])
+
+
+# a simulated quantile lies between the exact ones five standard errors of its probability below and above
+NEAR = {name: [round(a + k * 5 * (a * (1 - a) / 100_000) ** 0.5, 6) for k in (-1, 1)] for name, a in (("p2_5", 0.025), ("p50", 0.5), ("p97_5", 0.975))}
+
+
+@query(f"WITH {DIFFERENCE} " + " UNION ALL ".join(f"SELECT '{c}' AS quantile, round(min(d) FILTER (cdf >= {low}) + 1e-10, 6) + 0.0 AS low, round(min(d) FILTER (cdf >= {high}) + 1e-10, 6) + 0.0 AS high, true AS inside FROM d" for c, (low, high) in NEAR.items()))
+def monte_carlo_bounds(spark, sf_dir):
+    rec = bridge.records(spark, sf_dir)
+    drawn = distribution.monte_carlo_difference(rec, "tipo_registro", "ingressante", "concluinte")
+    exact = distribution.exact_difference(rec, "tipo_registro", "ingressante", "concluinte", {f"{c}_{k}": a for c, bounds in NEAR.items() for k, a in enumerate(bounds)})
+    even_ = lambda c: F.round(F.col(c) + 1e-10, 6) + 0.0
+    rows = [F.struct(F.lit(c).alias("quantile"), even_(f"{c}_0").alias("low"), even_(f"{c}_1").alias("high"), F.col(c).between(F.col(f"{c}_0") - 1e-9, F.col(f"{c}_1") + 1e-9).alias("inside")) for c in NEAR]
+    return drawn.join(F.broadcast(exact), F.lit(True)).select(F.explode(F.array(*rows)).alias("x")).select("x.*")  # one row each
+
+
 # --- windows, privacy, charts --------------------------------------------------------------------------------------
 
 SERIES = ["tipo_registro", "periodo", *S4, "variacao_pp"]
@@ -684,8 +742,60 @@ def report_review(spark, sf_dir):
     return report.report_tables(bridge.records(spark, sf_dir))["review"]
 
 
-# the seven tables differ in columns: a row of each as JSON beside the table's name
-@query()
+COHORT_FIELDS = [c for c in COHORT if c not in ("curso_normalizado", "periodo_ingresso")]
+
+
+def report_sql(minimum: int, followup: int | None = None) -> str:
+    """Every cell of the seven tables: report, row, metric, value, text."""
+    small = lambda c: f"coalesce({c} > 0 AND {c} < {minimum}, false)"
+    trio = lambda of: [f"resolved_{of}", f"expected_female_{of}", f"expected_male_{of}"]
+    unless = lambda flag, columns: ", ".join(f"CASE WHEN NOT {flag} THEN {c} END AS {c}" for c in columns)
+
+    def cells(name: str, labels: list[str], fields: list[str], words: tuple[str, ...] = ("privacidade",)) -> str:
+        row = "concat_ws('|', " + ", ".join(f"coalesce({c}::VARCHAR, '-')" for c in labels) + ")"
+        each = ", ".join(f"{{'metric': '{c}', 'value': NULL::DOUBLE, 'text': {c}::VARCHAR}}" if c in words else f"{{'metric': '{c}', 'value': round({c}::DOUBLE + 1e-10, 6) + 0.0, 'text': NULL::VARCHAR}}" for c in fields)
+        return f"SELECT '{name}' AS report, row, x.metric, x.value, x.text FROM (SELECT {row} AS row, unnest([{each}]) AS x FROM {name})"
+
+    periods_ = ("privacidade", "latest_graduation_period", "latest_graduation_period_course")
+    kind, course = "tipo_registro", "curso_normalizado"
+    shown = [*ALL, "variacao_pp", "privacidade"]
+    return f"""WITH {REC}, {_sets_sql(SETS)}, {sums_sql(LEVELS, 'sets')}, {protect_sql('stats', LEVELS, ALL, minimum)}, {MATCHES}, {COHORT_TAIL}, {TIME_SQL},
+temporal AS (SELECT *, {CHANGE.format(keys=kind)} FROM safe WHERE level = 'periodo'), temporal_by_course AS (SELECT *, {CHANGE.format(keys=f'{kind}, {course}')} FROM safe WHERE level = 'curso_normalizado,periodo'),
+comparison AS (SELECT periodo, e.female_percent_resolved AS female_percent_entrants, g.female_percent_resolved AS female_percent_graduates, g.female_percent_resolved - e.female_percent_resolved AS difference_pp_graduates_minus_entrants
+    FROM (SELECT * FROM temporal WHERE {kind} = 'ingressante') e FULL JOIN (SELECT * FROM temporal WHERE {kind} = 'concluinte') g USING (periodo)),
+c1 AS (SELECT {course}, periodo_ingresso, {small('n_ingressantes')} AS few, {small('n_matches_exact_unique')} AS few_matches, {', '.join(COHORT_FIELDS)} FROM cohorts {f'WHERE followup_semesters >= {followup}' if followup is not None else ''}),
+c2 AS (SELECT * REPLACE ({unless('(few OR few_matches)', privacy.MATCH_FIELDS)}, {unless('few', [c for c in COHORT_FIELDS if c not in privacy.MATCH_FIELDS])}) FROM c1),
+c3 AS (SELECT *, {small('resolved_entrants')} AS few_entrants, {small('resolved_matched')} AS few_matched FROM c2),
+c4 AS (SELECT * REPLACE ({unless('few_entrants', trio('entrants'))}, {unless('few_matched', trio('matched'))}), CASE WHEN few_entrants OR few_matched THEN '{privacy.FEW_COHORT}' WHEN few THEN '{privacy.SMALL}' WHEN few_matches THEN '{privacy.FEW_MATCHES}' END AS privacidade FROM c3),
+d1 AS (SELECT grupo, {unless(small('n'), TIMES[1:])}, CASE WHEN {small('n')} THEN '{privacy.SMALL}' END AS privacidade FROM times),
+r1 AS (SELECT 'matching ambíguo' AS motivo, count(*) AS quantidade FROM matches WHERE status = 'ambiguous' HAVING count(*) > 0)
+{cells('temporal', [kind, 'periodo'], shown)} UNION ALL {cells('temporal_by_course', [kind, course, 'periodo'], shown)} UNION ALL {cells('safe', LEVELS, shown[:-2] + ['privacidade']).replace("'safe' AS report", "'summaries' AS report")}
+UNION ALL {cells('comparison', ['periodo'], ['female_percent_entrants', 'female_percent_graduates', 'difference_pp_graduates_minus_entrants'])}
+UNION ALL {cells('c4', [course, 'periodo_ingresso'], [*COHORT_FIELDS, 'privacidade'], periods_).replace("'c4' AS report", "'cohorts' AS report")}
+UNION ALL {cells('d1', ['grupo'], [*TIMES[1:], 'privacidade']).replace("'d1' AS report", "'durations' AS report")} UNION ALL {cells('r1', ['motivo'], ['quantidade']).replace("'r1' AS report", "'review' AS report")}"""
+
+
+def _cells(tables: dict) -> DataFrame:
+    return report.melted(tables).withColumn("value", F.round(F.col("value") + 1e-10, 6) + 0.0)
+
+
+@query(report_sql(5))
 def full_report(spark, sf_dir):
-    tables = report.report_tables(bridge.records(spark, sf_dir).cache())
-    return reduce(DataFrame.union, [rows.select(F.lit(name).alias("report"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("row")) for name, rows in tables.items()])
+    return _cells(report.report_tables(bridge.records(spark, sf_dir)))
+
+
+# the report as a run: written, then read again; cohorts of three years of follow-up or more
+@query(report_sql(9, 6))
+def write_report_tables(spark, sf_dir):
+    folder = _folder(spark)
+    report.run(bridge.records(spark, sf_dir), folder, minimum=9, min_followup=6)
+    return _cells(report.read(spark, folder))
+
+
+# the report out of stored records: the stored floor of 7 holds against the 5 that is asked for
+@query(report_sql(7))
+def rebuild_from_snapshot(spark, sf_dir):
+    folder = _folder(spark)
+    store.write_snapshot(bridge.records(spark, sf_dir), f"{folder}/snapshot", {"MIN_GROUP_SIZE": 7})
+    report.rebuild(spark, f"{folder}/snapshot", f"{folder}/report", minimum=5)
+    return _cells(report.read(spark, f"{folder}/report"))

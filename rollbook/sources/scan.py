@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.sources.shared import spread_join
+
 #: Credentials that must not be published. The first three are fixed values; the last is our own, wider one for keys in settings.
 SECRETS = {
     "token": r"gh[pousr]_[A-Za-z0-9]{20,}",
@@ -26,8 +28,8 @@ def content_dedup(documents: DataFrame, content: str = "content", archived: str
     if a loose one or an earlier archived one has its content. Only digests are shuffled."""
     rows = documents.select(*order, F.col(archived).alias("archived"), F.sha2(F.col(content).cast("binary"), 256).alias("digest"))
     first = rows.groupBy("digest").agg(F.bool_or(~F.col("archived")).alias("loose"), F.min(F.when(F.col("archived"), F.struct(*order))).alias("first"))
-    kept = ~F.col("archived") | (~F.col("loose") & (F.struct(*[F.col(f"r.{c}") for c in order]) == F.col("first")))
-    return rows.alias("r").join(first, "digest").select(*[F.col(f"r.{c}") for c in order], "digest", "archived", kept.alias("kept"))
+    kept = ~F.col("archived") | (~F.col("loose") & (F.struct(*order) == F.col("first")))
+    return spread_join(rows, first, ["digest"], list(order)).select(*order, "digest", "archived", kept.alias("kept"))
 
 
 def secret_scan(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Snapshots, report tables and publications. A new version is written aside, then the pointer to it is moved."""
+"""Snapshots, report tables and publications. A new version is written aside, then committed to the folder's log."""
 
 from __future__ import annotations
 
@@ -12,20 +12,12 @@ from pyspark.sql import functions as F
 from rollbook.operators.privacy import kept_settings, pseudonymize
 from rollbook.operators.quality import ENVELOPE, PUBLIC_SCHEMA, PUBLIC_VERSION, check_envelope, check_pair, violations
 from rollbook.operators.summary import PUBLIC
+from rollbook.sources import commits
 
 SCHEMA_VERSION = 2
 EMPTY_HEADER = "sem_dados"
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    """Make ``version`` the current one: a one-row table that readers look at first; the newest row holds."""
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/current")
-
-
-def _current(spark: SparkSession, root: str) -> str:
-    return spark.read.parquet(f"{root}/current").orderBy(F.desc("at"), F.desc("version")).first()["version"]
-
-
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -36,13 +28,13 @@ def write_snapshot(records: DataFrame, root: str, settings: dict, key: bytes | N
     pseudonymize(records, key).write.parquet(f"{root}/{version}/records")
     meta = [(SCHEMA_VERSION, json.dumps(kept_settings(settings)), _now())]
     spark.createDataFrame(meta, "schema_version int, settings string, created_at string").coalesce(1).write.parquet(f"{root}/{version}/meta")
-    _point(spark, root, version)
+    commits.commit(spark, root, {"version": version})
     return version
 
 
 def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
     """Records and settings of the current version. Version 1 held names; it is pseudonymised on the way in."""
-    version = _current(spark, root)
+    version = commits.latest(spark, root)["version"]
     meta, rows = spark.read.parquet(f"{root}/{version}/meta").first(), spark.read.parquet(f"{root}/{version}/records")
     if meta["schema_version"] not in (1, SCHEMA_VERSION):
         raise ValueError(f"unknown snapshot version: {meta['schema_version']}")
@@ -51,7 +43,7 @@ def read_snapshot(spark: SparkSession, root: str) -> tuple[DataFrame, dict]:
 
 def snapshot_time(spark: SparkSession, root: str) -> str:
     """When the current version was written."""
-    return spark.read.parquet(f"{root}/{_current(spark, root)}/meta").first()["created_at"]
+    return spark.read.parquet(f"{root}/{commits.latest(spark, root)["version"]}/meta").first()["created_at"]
 
 
 def privacy_floor(stored: dict, minimum: int) -> int:
@@ -66,6 +58,11 @@ def write_report_table(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 
 
+def read_report_table(spark: SparkSession, path: str) -> DataFrame:
+    """A written report table, all cells as text; empty cells are null."""
+    return spark.read.option("header", True).csv(path)
+
+
 def read_public_csv(spark: SparkSession, path: str) -> DataFrame:
     """Typed rows of a published CSV; empty cells are null, a malformed cell is an error."""
     return spark.read.schema(PUBLIC_SCHEMA).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
@@ -87,16 +84,16 @@ def publish(rows: DataFrame, root: str, analysis_at: str | None = None) -> str:
     rows.write.option("ignoreNullFields", False).json(f"{root}/{version}/json")
     spark.createDataFrame([tuple(envelope.values())], "schema_version int, generated_at string, analysis_at string").coalesce(1).write.json(f"{root}/{version}/envelope")
     check_pair(read_public_csv(spark, f"{root}/{version}/csv"), spark.read.schema(PUBLIC_SCHEMA).json(f"{root}/{version}/json"))
-    _point(spark, root, version)
+    commits.commit(spark, root, {"version": version})
     return version
 
 
 def read_publication(spark: SparkSession, root: str) -> DataFrame:
-    return read_public_csv(spark, f"{root}/{_current(spark, root)}/csv")
+    return read_public_csv(spark, f"{root}/{commits.latest(spark, root)["version"]}/csv")
 
 
 def read_envelope(spark: SparkSession, root: str) -> dict:
     """The current publication's envelope, checked."""
-    envelope = spark.read.json(f"{root}/{_current(spark, root)}/envelope").first().asDict()
+    envelope = spark.read.json(f"{root}/{commits.latest(spark, root)["version"]}/envelope").first().asDict()
     check_envelope(envelope)
     return envelope
