@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.shared import cut, free, row_key
+from rollbook.sources.shared import spread_join
 
 #: The kinds in the order that breaks ties. ``live`` is what the method adds. Fixed values.
 KINDS = ("assign", "access", "hex", "live")
@@ -24,9 +25,11 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 OTHER = re.compile(r"[A-Za-z0-9+_-]{20,}")
 #: A value is live-looking with so many characters, at least so many bits of entropy a character, letters and digits.
 LEAST_LENGTH, LEAST_BITS = 16, 2.8
-#: A value that texts of more owners, or of more repositories, than this hold is a widely copied example. All copies
-#: of one text count as one text of one owner and repository.
-MOST_OWNERS, MOST_REPOS = 1, 8
+#: A value that texts of more owners, or of more repositories, than this hold is a widely copied example: a leaked value is copied to a few
+#: places, a sample to many. All copies of one text count as one text of one owner and repository.
+MOST_OWNERS, MOST_REPOS = 3, 8
+#: ``redact`` leaves a value only if more owners than this hold it; what is merely an example by the counts above may still be a leak.
+WIDE_OWNERS = 8
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -75,7 +78,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
 
     A text that occurs many times counts once, with the least owner and repository it has: copies of a document don't
     make its values examples. The counts are of distinct (value, repository) and (value, owner) pairs, merged before
-    they are shuffled by value. A null repository or owner is one of its own.
+    they are shuffled by value; findings of a value that very many texts hold are dealt over all tasks. A null repository or owner is one of its own.
     """
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     known = lambda c: F.coalesce(as_col(c).cast("string"), F.lit("\x00"))
@@ -87,7 +90,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     spread = pairs.groupBy("digest").agg(F.count_distinct("repo").alias("n_repos"), F.count_distinct("owner").alias("n_owners"))
     copied = (F.col("n_owners") > MOST_OWNERS) | (F.col("n_repos") > MOST_REPOS)
     verdict = F.when(~F.col("live_looking"), "plain").when(~F.col("copied"), "live").otherwise("example")
-    return found.join(spread, "digest").withColumn("copied", copied).withColumn("verdict", verdict).drop("copy", "repo", "owner").distinct()
+    return spread_join(found, spread, ["digest"], ["row_key", "start"], "inner").withColumn("copied", copied).withColumn("verdict", verdict).drop("copy", "repo", "owner").distinct()
 
 
 def _span(kind: Column, start: str, end: str) -> Column:
@@ -123,14 +126,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Colu
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: Column | str = "source", owner: Column | str = "source", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with each found value of ``text`` replaced by ``mask`` unless it is widely copied; all other rows stay.
+    """``docs`` with each found value of ``text`` replaced by ``mask`` unless more than WIDE_OWNERS owners hold it; all other rows stay.
 
     Values of the base kinds need not look live (short passwords, passphrases). Overlapping values are masked as one. No row
     goes; null and empty texts stay as they are. All columns stay, in their order, whatever their names. An empty table stays empty.
     """
     key, found, live = free(docs, "key", "found", "live")
     spans = F.array_sort(F.collect_set(F.struct("value_start", "value_end")))
-    masked = findings(docs, doc_id, text, repo, owner).where("NOT copied").groupBy(F.col("row_key").alias(found)).agg(spans.alias(live))
+    masked = findings(docs, doc_id, text, repo, owner).where(F.col("n_owners") <= WIDE_OWNERS).groupBy(F.col("row_key").alias(found)).agg(spans.alias(live))
     step = lambda acc, x: F.struct(
         F.greatest(acc["at"], x["value_end"]).alias("at"),
         F.when(x["value_start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["value_start"] - acc["at"]), F.lit(mask))).alias("out"),

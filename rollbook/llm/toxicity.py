@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,7 +23,8 @@ FIT_TOXIC, FIT_CLEAN, FIT_BYTES = 1_500, 2_500, 64 << 20
 #: A word has a vector of its own if so many further documents of the fit have it. What fewer say tells little about others;
 #: such words, as those the fit has never met, come by their characters.
 TRUST = 2
-EPOCHS = 12
+#: Passes, windows of a step, rates of the first and the second half, and starts of the fit, of which the one with the least loss is taken.
+EPOCHS, STEP, RATES, STARTS = 6, 64, (0.003, 0.0012), 3
 #: Bytes of text, windows, and words that are worked on together.
 CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
 
@@ -285,12 +287,11 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     weigh = np.where(labels == 1, 0.5 * len(labels) / n1, 0.5 * len(labels) / (len(labels) - n1))  # both classes weigh the same
     for epoch in range(EPOCHS):
         logit = every_logit(trained, _gates(trained, _or_blank(lesson.embedded(trained))), lesson.of_word, lesson.windows)
-        order = np.lexsort((-logit, text))
-        highest = order[np.arange(len(order)) - np.searchsorted(text[order], text[order]) < (2 if epoch < EPOCHS // 2 else 1)]
-        adam.rate = 0.01 if epoch < EPOCHS // 2 else 0.004
+        highest = _highest(logit, text, 2)
+        adam.rate = RATES[0] if epoch < EPOCHS // 2 else RATES[1]
         rng.shuffle(highest)
-        for a in range(0, len(highest), 384):
-            which = highest[a : a + 384]
+        for a in range(0, len(highest), STEP):
+            which = highest[a : a + STEP]
             at, on = lesson.placed(which)
             used, at = np.unique(at, return_inverse=True)
             at = at.reshape(on.shape)
@@ -316,6 +317,13 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     return model
 
 
+def _highest(logit: np.ndarray, text: np.ndarray, k: int) -> np.ndarray:
+    """The windows with the k highest logits of each text."""
+    order = np.lexsort((-logit, text))
+    first = np.searchsorted(text, np.arange(text[-1] + 1))
+    return order[np.arange(len(order)) - first[text] < k]
+
+
 class _Some(Inputs):
     """Some of the distinct words of other inputs."""
 
@@ -341,8 +349,8 @@ def scores(model: dict, texts: list[bytes]) -> np.ndarray:
     return sigmoid(best.astype(np.float64))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learns: Column, n_by_class: dict[int, int], most_bytes: int | None = None) -> pd.DataFrame:
-    """text and label of a bounded sample of labelled documents: of each class the given number with the least hash.
+def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, learns: Column, n_by_class: dict[int, int], most_bytes: int | None = None) -> DataFrame:
+    """text and label (by id) of a bounded sample of labelled documents: of each class the given number with the least hash.
 
     One row for each sampled id and class; where several rows share an id it is the one with the least text. With ``most_bytes`` those that come first by
     hash, as long as their texts have no more bytes together.
@@ -357,8 +365,33 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: s
     if most_bytes is not None:  # a window over the sample alone
         before = Window.orderBy(F.xxhash64("__id"), "__id", "__label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         rows = rows.withColumn("__sum", F.sum(F.coalesce(F.octet_length("__text"), F.lit(0))).over(before)).where(F.col("__sum") <= most_bytes).drop("__sum")
-    got = rows.orderBy("__id", "__label").toPandas()
-    return got.rename(columns={"__text": "text", "__label": "label"})
+    return rows.orderBy("__id", "__label").select("__id", F.col("__label").alias("label"), F.col("__text").alias("text"))
+
+
+def sampled(*args, **more) -> pd.DataFrame:
+    """``sample_rows`` on the driver."""
+    return sample_rows(*args, **more).toPandas()
+
+
+def loss(model: dict, texts: list[bytes], labels: np.ndarray) -> float:
+    """Mean log loss of the texts' scores, both classes weighing the same."""
+    p = np.clip(scores(model, texts), 1e-7, 1 - 1e-7)
+    parts = [-np.log(p[labels == 1]), -np.log(1 - p[labels == 0])]
+    return float(sum(x.mean() for x in parts if len(x)))
+
+
+def fitted(few: DataFrame, share: float) -> dict:
+    """The model of a bounded sample (``sample_rows``): the one of STARTS starts that has the least loss on it. Each start is a task, which is run again
+    if its executor is lost; its matrices are multiplied by one thread, as Spark asks of its workers."""
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__id", "label"])
+        texts, y, seed = _bytes(rows["text"]), rows["label"].to_numpy(np.float64), int(rows["seed"].iloc[0])
+        model = fit(texts, y, share, seed)
+        return pd.DataFrame({"seed": [seed], "loss": [loss(model, texts, y)], "model": [pickle.dumps(model)]})
+
+    starts = few.withColumn("seed", F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
+    best = starts.repartitionByRange(STARTS, "seed").groupBy("seed").applyInPandas(one, "seed int, loss double, model binary").agg(F.min_by("model", F.struct("loss", "seed")).alias("model")).first()["model"]
+    return pickle.loads(best) if best is not None else fit([], np.zeros(0), share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
@@ -371,10 +404,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     gives an empty one.
     """
     fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % folds
-    few = sampled(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_TOXIC, 0: FIT_CLEAN}, FIT_BYTES)
+    few = sample_rows(docs, labels, doc_id, text, label, fold("__id") != held, {1: FIT_TOXIC, 0: FIT_CLEAN}, FIT_BYTES)
     known = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(fold("__id") != held)
     toxic, rows = known.agg(F.count_if(F.col("__label") == 1), F.count("__label")).first()
-    model = docs.sparkSession.sparkContext.broadcast(fit(_bytes(few["text"]), few["label"].to_numpy(np.float64), (toxic + 0.5) / (rows + 1)))
+    model = docs.sparkSession.sparkContext.broadcast(fitted(few, (toxic + 0.5) / (rows + 1)))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
