@@ -16,10 +16,18 @@ PUBLIC_SCHEMA = (
 KEY = ("tipo_registro", "curso", "agrupamento", "periodo")
 
 
+#: Types that may stand where the schema names the first.
+KINDS = {"string": {"string"}, "bigint": {"bigint", "int", "smallint", "tinyint"}, "double": {"double", "float"}}
+
+
 def check_schema(rows: DataFrame) -> None:
-    """Exactly the public columns."""
+    """Exactly the public columns, each of its own kind: words, counts, or real numbers."""
     if sorted(rows.columns) != sorted(PUBLIC):
         raise ValueError(f"columns differ from the public ones: {sorted(set(rows.columns) ^ set(PUBLIC))}")
+    kinds, asked = dict(rows.dtypes), dict(field.split() for field in PUBLIC_SCHEMA.split(", "))
+    wrong = {c: kinds[c] for c in PUBLIC if kinds[c] not in KINDS[asked[c]]}
+    if wrong:
+        raise ValueError(f"columns of another kind than the public ones: {wrong}")
 
 
 def _rules() -> dict:

@@ -328,3 +328,11 @@ def test_snapshot_and_publication(spark, tmp_path):
     assert store.read_publication(spark, out).count() == public.count()
     store.write_report_table(public.where("false"), f"file://{tmp_path}/none")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("column, kind", [("total", "string"), ("interval95_lower_resolved", "double"), ("cobertura", "bigint"), ("curso", "bigint"), ("variance_female", "string")])
+def test_a_public_column_of_another_kind_is_refused(spark, column, kind):
+    rows = spark.createDataFrame([], quality.PUBLIC_SCHEMA)
+    quality.check_schema(rows.withColumn("total", F.col("total").cast("int")))
+    with pytest.raises(ValueError, match=column):
+        quality.check_schema(rows.withColumn(column, F.col(column).cast(kind)))
