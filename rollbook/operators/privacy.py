@@ -15,8 +15,8 @@ LABELS = ("curso_normalizado", "periodo", "ano", "periodo_ingresso", "grupo")
 SMALL, FEW_RESOLVED, FEW_MATCHES, FEW_COHORT = "grupo pequeno suprimido", "inferência suprimida: poucos resolvidos", "correspondências pequenas suprimidas", "inferência de coorte suprimida"
 MATCH_FIELDS = ("n_matches_exact_unique", "match_proportion", "resolved_matched", "expected_female_matched", "expected_male_matched")
 DEFAULT_REASON = "revisão"
-#: Settings that a stored snapshot may keep. Fixed values.
-SETTINGS = ("PROJECT_NAME", "COUNTRY_ID", "HIGH_CONFIDENCE", "MEDIUM_CONFIDENCE", "MONTE_CARLO_ITERATIONS", "RANDOM_SEED", "MIN_FOLLOWUP_SEMESTERS", "COURSES_OF_INTEREST", "COURSE_ALIASES", "MIN_GROUP_SIZE")
+#: Settings that a stored snapshot may keep. Fixed values, but for the predictor's name mode and batch size, which have names of our own.
+SETTINGS = ("PROJECT_NAME", "COUNTRY_ID", "HIGH_CONFIDENCE", "MEDIUM_CONFIDENCE", "MONTE_CARLO_ITERATIONS", "RANDOM_SEED", "MIN_FOLLOWUP_SEMESTERS", "COURSES_OF_INTEREST", "COURSE_ALIASES", "MIN_GROUP_SIZE", "NAME_MODE", "BATCH_SIZE")
 
 
 def protect(rows: DataFrame, minimum: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -336,3 +336,8 @@ def test_a_public_column_of_another_kind_is_refused(spark, column, kind):
     quality.check_schema(rows.withColumn("total", F.col("total").cast("int")))
     with pytest.raises(ValueError, match=column):
         quality.check_schema(rows.withColumn(column, F.col(column).cast(kind)))
+
+
+def test_stored_settings():
+    given = {"NAME_MODE": "first", "BATCH_SIZE": 50, "MIN_GROUP_SIZE": 5, "API_KEY": "x", "other": 1}
+    assert privacy.kept_settings(given) == {"NAME_MODE": "first", "BATCH_SIZE": 50, "MIN_GROUP_SIZE": 5}
