@@ -33,7 +33,7 @@ def check_schema(rows: DataFrame) -> None:
 def _rules() -> dict:
     c = F.col
     no = lambda x: ~F.coalesce(x, F.lit(False))
-    near = lambda a, b, t=1e-9: F.abs(a - b) <= t
+    near = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))  # noqa: E731  large sums have no ninth place
     n, r, u = c("total"), c("resolvidos"), c("nao_identificados")
     low, high = c("interval95_lower_resolved"), c("interval95_upper_resolved")
     by_year = c("agrupamento") == "ano"

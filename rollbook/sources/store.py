@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.operators.privacy import kept_settings, pseudonymize
-from rollbook.operators.quality import ENVELOPE, PUBLIC_SCHEMA, PUBLIC_VERSION, check_envelope, check_pair, violations
+from rollbook.operators.quality import ENVELOPE, PUBLIC_SCHEMA, PUBLIC_VERSION, check_envelope, check_pair, check_schema, violations
 from rollbook.operators.summary import PUBLIC
 from rollbook.sources import commits
+from rollbook.sources.shared import cut
 
 SCHEMA_VERSION = 2
 EMPTY_HEADER = "sem_dados"
@@ -71,11 +72,14 @@ def read_public_csv(spark: SparkSession, path: str) -> DataFrame:
 def publish(rows: DataFrame, root: str, analysis_at: str | None = None) -> str:
     """Validate, write CSV and JSON of one new version, compare the two, then point at it. A failure leaves the old one.
 
+    The rows are computed once: sums of reals that are made again, in another order of the shuffle, may differ in the last digit.
     The envelope beside them holds the format's version, the time of the publication, and ``analysis_at``, the time of
     the snapshot that the rows are of; the same as the former where they come straight from records.
     """
     spark, version = rows.sparkSession, uuid.uuid4().hex
     rows, now = rows.select(*PUBLIC), _now()
+    check_schema(rows)
+    rows = cut(rows)
     envelope = dict(zip(ENVELOPE, (PUBLIC_VERSION, now, analysis_at or now)))
     check_envelope(envelope)
     if not violations(rows).isEmpty():

@@ -341,3 +341,22 @@ def test_a_public_column_of_another_kind_is_refused(spark, column, kind):
 def test_stored_settings():
     given = {"NAME_MODE": "first", "BATCH_SIZE": 50, "MIN_GROUP_SIZE": 5, "API_KEY": "x", "other": 1}
     assert privacy.kept_settings(given) == {"NAME_MODE": "first", "BATCH_SIZE": 50, "MIN_GROUP_SIZE": 5}
+
+
+def test_a_publication_computes_its_rows_once(spark, tmp_path):
+    """Rows that come out otherwise each time, as sums do in another order of the shuffle; and a large group, whose parts add up but for the last digit."""
+    import random
+
+    again = F.udf(lambda: 1.0 + random.random(), "double").asNondeterministic()
+    public = summary.public_rows(records(spark, [("ingressante", "X", "2020/1", "A", 0.25), ("concluinte", "Y", "2021/2", "B", 0.75)])).withColumn("variance_female", again())
+    store.publish(public, f"file://{tmp_path}/p")
+    assert store.read_publication(spark, f"file://{tmp_path}/p").count() == public.count()
+
+
+def test_parts_of_a_large_count_add_up_to_its_precision(spark):
+    big = {"total": 50_000_000, "resolvidos": 50_000_000, "nao_identificados": 0}
+    public = summary.public_rows(records(spark, [("ingressante", "X", "2020/1", "A", 0.25)])).withColumns({k: F.lit(v).cast("long") for k, v in big.items()})
+    real = {"expected_female": 20_000_000.3, "expected_male": 29_999_999.70000001, "female_percent_resolved": 40.0000006, "male_percent_resolved": 59.9999994, "cobertura": 1.0}
+    public = public.withColumns({k: F.lit(v) for k, v in real.items()})
+    assert quality.violations(public).isEmpty()
+    assert {r.rule for r in quality.violations(public.withColumn("expected_male", F.lit(29_999_998.7))).collect()} == {"estimates", "shares"}
