@@ -31,18 +31,53 @@ def _each(names: pd.Series, change) -> pd.Series:
     return names.map(known).astype(object).where(names.notna(), None)
 
 
+def _plain() -> tuple[str, str]:
+    """The characters below U+0250 and the combining marks after them whose key is one character or none: those, and their keys, the ones without last."""
+    keys = {chr(c): re.sub(r"[\W_]", " ", "".join(x for x in unicodedata.normalize("NFKD", chr(c)).upper() if not unicodedata.combining(x))) for c in [*range(1, 0x250), *range(0x300, 0x370)]}
+    one = sorted((c for c, k in keys.items() if len(k) <= 1), key=lambda c: (-len(keys[c]), c))
+    return "".join(one), "".join(keys[c] for c in one)
+
+
+#: Characters whose keys don't need Python, as each stands for itself, and the keys of the first of them; the rest have none.
+PLAIN, PLAIN_KEYS = _plain()
+
+
 @F.pandas_udf(StringType())
-def normalize_name(names: pd.Series) -> pd.Series:
-    """Unicode NFC, blanks tidied. Null stays null."""
+def _normalize_any(names: pd.Series) -> pd.Series:
     return _each(names, lambda x: " ".join(unicodedata.normalize("NFC", x).split()))
 
 
 @F.pandas_udf(StringType())
-def name_key(names: pd.Series) -> pd.Series:
-    """Letters without accents in upper case; all but letters, digits and their like becomes a space."""
+def _key_any(names: pd.Series) -> pd.Series:
     return _each(names, _key)
 
 
+def _column(name: Column | str) -> Column:
+    return F.col(name) if isinstance(name, str) else name
+
+
+def _ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def normalize_name(name: Column | str) -> Column:
+    """Unicode NFC, blanks tidied. Null stays null. Characters below U+0300 are in normal form as they are; only texts with others go through Python."""
+    name = _column(name)
+    other = F.when(_ascii(name), False).otherwise(name.rlike(r"[^\x{0}-\x{2ff}]"))
+    return F.when(other, _normalize_any(F.when(other, name))).otherwise(tidy(name))
+
+
+def name_key(name: Column | str) -> Column:
+    """Letters without accents in upper case; all but letters, digits and their like becomes a space. Null stays null.
+
+    Each character stands for itself: those of ``PLAIN`` are translated, only texts with others go through Python.
+    """
+    name = _column(name)
+    other = F.when(_ascii(name), False).otherwise(F.translate(name, PLAIN, "") != "")
+    plain = F.trim(F.regexp_replace(F.translate(name, PLAIN, PLAIN_KEYS), " +", " "))
+    return F.when(_ascii(name), plain_name_key(name)).when(other, _key_any(F.when(other, name))).otherwise(plain)
+
+
 def plain_name_key(name: Column) -> Column:
     """``name_key`` for text known to be ASCII, without Python."""
     return F.trim(F.regexp_replace(F.upper(name), "[^A-Z0-9]+", " "))

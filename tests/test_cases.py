@@ -360,3 +360,29 @@ def test_parts_of_a_large_count_add_up_to_its_precision(spark):
     public = public.withColumns({k: F.lit(v) for k, v in real.items()})
     assert quality.violations(public).isEmpty()
     assert {r.rule for r in quality.violations(public.withColumn("expected_male", F.lit(29_999_998.7))).collect()} == {"estimates", "shares"}
+
+
+def test_every_character_has_the_key_of_python(spark):
+    """Each character alone and within a name, the plain ones without Python; the surrogates are no characters."""
+    import unicodedata
+
+    letters = [chr(c) for c in [*range(1, 0x3100), *range(0xF900, 0x10000), *range(0x1D400, 0x1D500)] if not 0xD800 <= c < 0xE000]
+    rows = [x for c in letters for x in (c, f" a{c}B{c} ")]
+    got = spark.createDataFrame([(x,) for x in rows], "n string").select("n", text.name_key("n").alias("key"), text.normalize_name("n").alias("name")).collect()
+    wrong = [r for r in got if r.key != text._key(r.n) or r.name != " ".join(unicodedata.normalize("NFC", r.n).split())]
+    assert len(got) == len(rows) and not wrong
+
+
+def test_latin_texts_never_reach_python(spark, monkeypatch):
+    """Page texts in Latin letters with accents: what Python gets of them is null."""
+    @F.udf("string")
+    def strict(x):
+        if x is not None and x != "\u0391":
+            raise ValueError(x)
+        return x
+
+    monkeypatch.setattr(text, "_key_any", strict)
+    monkeypatch.setattr(text, "_normalize_any", strict)
+    pages = [("d", 1, "RELAÇÃO DE ALUNOS INGRESSANTES\nCURSO: Ciência\nANO/SEMESTRE: 2020 / 1\n1 JOSÉ DA CONCEIÇÃO Vestibular NOTURNO"), ("e", 1, "\u0391")]
+    rows = extract.detect_kind(spark.createDataFrame(pages, "doc_id string, page_no int, text string")).collect()
+    assert {r.doc_id: r.kind for r in rows} == {"d": "ingressante", "e": None}
