@@ -376,7 +376,7 @@ def run_totals(spark, sf_dir):
 @query(f"""WITH {FAULTS}, part AS (SELECT *, CASE WHEN blocking THEN 'blocking' WHEN status <> 'OK' THEN 'advisory' ELSE 'clean' END AS part FROM audit)
 SELECT name AS part, coalesce(bool_or(blocking), false) AS any_blocking, coalesce(bool_or(status <> 'OK'), false) AS any_warning FROM (VALUES ('all'), ('blocking'), ('advisory'), ('clean')) AS v(name) LEFT JOIN part ON name = part OR name = 'all' GROUP BY name""")
 def run_gate(spark, sf_dir):
-    docs = _faulty(spark, sf_dir).documents
+    docs = cut(_faulty(spark, sf_dir).documents)  # each part reads them
     parts = {"all": F.lit(True), "blocking": F.col("n_warnings") > F.size(F.filter(F.split("avisos", r" \| "), lambda x: x == extract.ADVISORY)), "clean": F.col("n_warnings") == 0}
     parts["advisory"] = ~parts["blocking"] & ~parts["clean"]
     return reduce(DataFrame.union, [extract.run_gate(docs.where(c)).select(F.lit(k).alias("part"), "any_blocking", "any_warning") for k, c in parts.items()])

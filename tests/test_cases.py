@@ -386,3 +386,10 @@ def test_latin_texts_never_reach_python(spark, monkeypatch):
     pages = [("d", 1, "RELAÇÃO DE ALUNOS INGRESSANTES\nCURSO: Ciência\nANO/SEMESTRE: 2020 / 1\n1 JOSÉ DA CONCEIÇÃO Vestibular NOTURNO"), ("e", 1, "\u0391")]
     rows = extract.detect_kind(spark.createDataFrame(pages, "doc_id string, page_no int, text string")).collect()
     assert {r.doc_id: r.kind for r in rows} == {"d": "ingressante", "e": None}
+
+
+def test_the_gate_reads_documents_once(spark):
+    """Its four parts are made of one written table: nothing of the extraction is left in the plan."""
+    from rollbook import queries
+
+    assert "Join" not in queries.run_gate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
