@@ -56,9 +56,15 @@ class Candidates:
 
 
 def candidate_index(records: DataFrame) -> Candidates:
+    """``Candidates`` of all entrants; the records are read once, and what the index needs of them is written."""
     keys = ["curso_normalizado", "nome_chave"]
-    people = records.where("curso_normalizado IS NOT NULL AND nome_chave IS NOT NULL").select("record_id", "tipo_registro", "period_idx", *keys)
-    spot = F.concat_ws("\x00", *keys, F.format_string("%012d", F.col("period_idx")), F.format_string("%020d", F.col("record_id")))
+    spread = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = records.where(F.col("tipo_registro").isin("ingressante", "concluinte")).select("record_id", "tipo_registro", "period_idx", *keys)
+    rows = cut(rows.repartition(spread, "record_id"))  # all tasks have as much, whatever the records' own parts
+    people = rows.where("curso_normalizado IS NOT NULL AND nome_chave IS NOT NULL")
+    # numbers as hex digits with the sign turned around: in the order of the numbers, negative ones first
+    digits = lambda c: F.lpad(F.hex(F.col(c).cast("long").bitwiseXOR(F.lit(-1 << 63))), 16, "0")
+    spot = F.concat_ws("\x00", *keys, digits("period_idx"), digits("record_id"))
     placed = cut(numbered(people.where("tipo_registro = 'concluinte'").withColumn("spot", spot), "spot").select("record_id", "period_idx", *keys, "nth"))
     cells = placed.groupBy(*keys, "period_idx").agg(F.min("nth").alias("start"), F.count("*").alias("g"))
     entered = people.where("tipo_registro = 'ingressante'")
@@ -66,7 +72,7 @@ def candidate_index(records: DataFrame) -> Candidates:
     ahead = Window.partitionBy(*keys).orderBy("period_idx").rowsBetween(1, Window.unboundedFollowing)  # a row for each period of a name
     later = cells.withColumns({"first": F.min("start").over(ahead), "n": F.coalesce(F.sum("g").over(ahead), F.lit(0))}).select(*keys, "period_idx", "first", "n")
     known = spread_join(entered, later, [*keys, "period_idx"], ["record_id"]).select(F.col("record_id").alias("entrant_id"), "first", "n")
-    lost = records.where("tipo_registro = 'ingressante' AND (curso_normalizado IS NULL OR nome_chave IS NULL)").select(F.col("record_id").alias("entrant_id"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
+    lost = rows.where("tipo_registro = 'ingressante' AND (curso_normalizado IS NULL OR nome_chave IS NULL)").select(F.col("record_id").alias("entrant_id"), F.lit(None).cast("long").alias("first"), F.lit(0).cast("long").alias("n"))
     blocks = placed.groupBy(F.floor(F.col("nth") / LIST).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "record_id"))), lambda x: x["record_id"]).alias("ids"))
     return Candidates(blocks, known.union(lost))
 

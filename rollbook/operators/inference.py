@@ -89,7 +89,15 @@ def _range_head(df: DataFrame, key: str, ranges: int) -> Column:
     few = df.select(F.col(key).alias("k")).where("k IS NOT NULL").orderBy(F.xxhash64("k"), "k").limit(ranges * 50)
     keys = sorted(r.k for r in few.collect())  # ranges * 50 at most
     bounds = sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)}) if keys else []
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    return _found(F.col(key), bounds) if bounds else F.lit(0)
+
+
+def _found(key: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` do not lie above the key, by halving: each key is made once, however many bounds there are, and held against
+    the logarithm of their number."""
+    steps, table = [1 << k for k in reversed(range(len(bounds).bit_length()))], F.array(*map(F.lit, bounds))
+    search = lambda k: F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= k, at + step).otherwise(at))
+    return F.transform(F.array(key), search)[0]
 
 
 def apply_prediction(df: DataFrame, high: float = 0.90, medium: float = 0.75) -> DataFrame:

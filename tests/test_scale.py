@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -186,6 +187,32 @@ def test_candidate_lists_of_a_shared_name_are_linear(spark, as_dealt):
     assert got == {e: ";".join(map(str, [g for g in range(1, 20, 2) if g % 10 > e % 10])) for e in range(0, 20, 2) if e % 10 < 9}
 
 
+def test_candidates_of_negative_ids_stand_in_order(spark):
+    rows = spark.createDataFrame([(1, "ingressante", "X", "A", 1), *[(k, "concluinte", "X", "A", 2) for k in (-30, -4, -1, 0, 5)]], "record_id long, tipo_registro string, curso_normalizado string, nome_chave string, period_idx int")
+    assert cohorts.candidate_pages(cohorts.candidate_index(rows)).first().candidate_ids == [-30, -4, -1, 0, 5]
+
+
+def test_a_key_is_made_once_however_many_ranges(spark):
+    """Ranges are found by halving: 64 times as many of them must not take many times as long."""
+    rows = spark.range(0, 60_000, 1, 4).select(F.concat_ws("-", F.lit("key"), F.format_string("%020d", "id")).alias("key"))
+
+    def seconds(ranges):
+        head = inference._range_head(rows, "key", ranges)
+        began = time.perf_counter()
+        found = rows.groupBy(head.alias("head")).count().collect()
+        assert {r.head for r in found} == set(range(ranges))
+        return time.perf_counter() - began
+
+    seconds(16)
+    assert seconds(1024) < 3 + 5 * seconds(16)
+
+
+@pytest.mark.parametrize("bounds", [[0], [0, 1], [-5, 0, 3], list(range(0, 70, 7)), list(range(64))])
+def test_every_range_is_found(spark, bounds):
+    got = spark.range(-10, 80).select("id", inference._found(F.col("id"), bounds).alias("head")).collect()
+    assert all(r.head == sum(b <= r.id for b in bounds) for r in got)
+
+
 def test_numbers_do_not_depend_on_the_plan(spark):
     spark.conf.set("spark.sql.exchange.reuse", "false")
     try:
