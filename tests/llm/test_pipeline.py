@@ -127,3 +127,17 @@ def test_near_duplicates_go_by_row(spark, small):
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, small).collect())
     # a stays once, under 1; of the two texts of 5 one is near a and goes, the other goes for 7, whose id is its own; b has no id and stays once
     assert got == Counter([(1, a), (None, b), (7, c + " end"), (8, None), (9, " "), (None, ""), (None, None)])
+
+
+def test_near_duplicates_meet_the_repeated_ids_once(spark):
+    """The stage reads its documents for the repeated ids and for the rows, however often texts are compared."""
+    rows = [(k, f"{'one two three four five six seven eight nine ten ' * 3}{k % 3}") for k in range(60)] + [(5, "another text of the same id"), (None, "none")]
+    docs, read = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    corpus_pipeline.near_duplicates(spark, docs.mapInPandas(counted, docs.schema), "").collect()
+    assert read.value <= 2 * len(rows)
