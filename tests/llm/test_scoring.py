@@ -113,6 +113,38 @@ def test_scores_against_a_plain_network():
         assert np.isclose(score, 1 / (1 + np.exp(-max(logits))), atol=1e-4)
 
 
+def test_windows_in_rows_against_windows_in_columns():
+    """The same logits as ``forward`` gives, for inputs from none to such as take every function to its ends."""
+    rng, n, s = np.random.default_rng(4), 300, toxicity.STATE
+    some = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    params = {"u_f": some(s, 3 * s), "u_b": some(s, 3 * s), "attend": some(2 * s, s), "attend_b": some(s), "pick": some(s), "out": some(2 * s), "out_b": some(1)}
+    at, on = np.arange(n)[:, None] + np.arange(toxicity.WINDOW), np.ones((n, toxicity.WINDOW), bool)
+    for scale in (0, 1, 30, 1000):
+        gates = {side: some(n + toxicity.WINDOW - 1, 3 * s) * np.float32(scale) for side in "fb"}
+        got = toxicity._logits(params, {side: np.ascontiguousarray(x.T) for side, x in gates.items()}, n)
+        assert np.allclose(got, toxicity.forward(params, gates, at, on), atol=1e-4)
+
+
+def test_each_start_is_a_task_of_its_own(spark, monkeypatch):
+    """Two starts in one task take twice as long as two tasks."""
+    import types
+
+    few = spark.createDataFrame([(k, k % 2, f"text {k}") for k in range(4000)], "__id long, label int, text string").repartition(7)
+    seen = {}
+
+    def held(self, *keys):
+        seen["tasks"] = sorted(r.n for r in self.groupBy(F.spark_partition_id()).agg(F.count_distinct("seed").alias("n")).collect())
+        raise StopIteration
+
+    frame = type(few)
+    real = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda self, *keys: held(types.SimpleNamespace(groupBy=lambda *k: real(self, *k)), *keys) if keys == ("seed",) else real(self, *keys))
+    for _ in range(3):
+        with pytest.raises(StopIteration):
+            toxicity.fitted(few.withColumn("text", F.concat("text", F.lit(" x"))), 0.5)
+        assert seen["tasks"] == [1] * toxicity.STARTS
+
+
 def test_digits_and_symbols_reach_the_network():
     model = toxicity.fit([b"an 1d10t !!", b"a good day"] * 10, np.array([1.0, 0.0] * 10))
     a, b, c = toxicity.scores(model, [b"1d10t", b"day", b"!!"])
