@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashed import mixed, words_of
-from rollbook.llm.shared import cut, shuffle_parts
+from rollbook.llm.shared import cut, shuffle_parts, sifted
 
 #: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 28 < 4e-7.
 BANDS, ROWS = 28, 4
@@ -80,8 +80,17 @@ def bands(sig: np.ndarray, n_bands: int, n_rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _lower(text) -> bytes:
+    return text.encode("utf-8", "surrogatepass").lower() if isinstance(text, str) else b""  # bytes.lower: A-Z alone
+
+
 def _lowered(texts: Iterable) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in texts]  # bytes.lower: A-Z alone
+    return [_lower(t) for t in texts]
+
+
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents that are among ``ids``, and of few others; the rest of the texts isn't shuffled."""
+    return sifted(texts.select(F.col("doc_id").alias("id"), "text"), "id", cut(ids.distinct()), "id")[1]
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
@@ -115,13 +124,17 @@ def pair_set(text: bytes, width: int) -> set:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+
+    The pairs are written first: of the texts only those go to the joins that a filter of the pairs' documents lets through.
+    """
+    pairs = cut(pairs)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, set()
         for batch in batches:
             keep = []
-            for a, b in zip(_lowered(batch["text_a"]), _lowered(batch["text_b"])):
+            for a, b in zip(map(_lower, batch["text_a"]), map(_lower, batch["text_b"])):
                 if a != last:
                     last, mine = a, pair_set(a, width)
                 other = pair_set(b, width)
@@ -129,7 +142,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 keep.append(100 * both >= percent * (len(mine) + len(other) - both) > 0)
             yield batch.loc[keep, ["a", "b"]]
 
-    ids = texts.select(F.col("doc_id").alias("id"), "text")
+    ids = _texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     rows = pairs.join(ids.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(ids.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
     kind = dict(pairs.dtypes)["a"]
     return rows.select("a", "b", "text_a", "text_b").mapInPandas(each, f"a {kind}, b {kind}")
@@ -200,7 +213,8 @@ def _in_large(entries: DataFrame, texts: DataFrame, width: int, percent: int, si
                 few = batch.iloc[a : a + 200]
                 yield pd.DataFrame({"rep": few["rep"], "cluster": few["cluster"], "shingles": [h.view(np.int64) for h in shingle_sets(_lowered(few["text"]), width)]})
 
-    own = groups.join(texts.withColumnRenamed("doc_id", "rep"), "rep").dropDuplicates(["rep"]).mapInPandas(each, f"rep {kind}, cluster {kind}, shingles array<long>")
+    groups = cut(groups)
+    own = groups.join(_texts_of(texts, groups.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep").dropDuplicates(["rep"]).mapInPandas(each, f"rep {kind}, cluster {kind}, shingles array<long>")
     rows = cut(own).select("rep", "cluster", F.explode("shingles").alias("shingle"))
     df = rows.groupBy("cluster", "shingle").agg(F.count("*").alias("df"))
     sides = entries.select("rep", "n", "component").distinct()

@@ -141,3 +141,17 @@ def test_near_duplicates_meet_the_repeated_ids_once(spark):
 
     corpus_pipeline.near_duplicates(spark, docs.mapInPandas(counted, docs.schema), "").collect()
     assert read.value <= 2 * len(rows)
+
+
+def test_near_duplicates_shuffle_few_of_the_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(64):016x}" for _ in range(1500)) for _ in range(150)]
+    rows = [*enumerate(texts), (150, texts[3] + " end"), (151, texts[4]), (7, "another text under an id that is taken")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).cache()
+    docs.count()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([*range(150), 7]) and written() - before < 0.5 * sum(map(len, texts))
