@@ -172,6 +172,8 @@ class Extraction:
             period_index(period).alias("period_idx"), F.col("original").alias("nome_original"), normalize_name(F.col("original")).alias("nome_normalizado"), name_key(F.col("original")).alias("nome_chave"), "turno", "tipo_ingresso")
         same = Window.partitionBy(*IDENTITY).orderBy("pagina", "i")
         self._nth = hold(self.raw.withColumns({"nth": F.row_number().over(same), "first": F.first(F.struct("turno", "tipo_ingresso")).over(same)}))
+        #: Rows in which every identity is, repetitions or not: those that are written, if any.
+        self._people = (self._nth if reuse else self.raw).select(*IDENTITY)
         #: Unique records.
         self.records = self._nth.where("nth = 1").drop("nth", "first", "i")
 
@@ -198,6 +200,14 @@ class Extraction:
             F.when(least == most, least).alias("total_pdf"), F.coalesce(least < most, F.lit(False)).alias("several"),
             F.when(F.col("kind").isNull(), F.col("empty")).otherwise(F.coalesce("blank_pages", F.lit(0)) > 0).alias("needs_ocr"))
 
+    @cached_property
+    def overlaps(self) -> DataFrame:
+        """doc_id of each document that has a record which another has, too. Repetitions change nothing, so they needn't be found: by itself this takes one
+        pass over the pages and one shuffle of the rows."""
+        anywhere = Window.partitionBy(*[c for c in IDENTITY if c != "arquivo"])
+        shared = self._people.select("arquivo", (F.min("arquivo").over(anywhere) < F.max("arquivo").over(anywhere)).alias("both")).where("both")
+        return shared.select(F.col("arquivo").alias("doc_id")).distinct()
+
     @cached_property
     def warnings(self) -> DataFrame:
         """doc_id, page_no, line, code"""
@@ -207,15 +217,13 @@ class Extraction:
         own = F.array(F.col("code"), F.when(F.col("header_bad"), "bad_period"), F.when(F.col("header_found") & F.col("context.course").isNull(), "no_course"))
         people, known = self.records.select(*IDENTITY), F.col("kind").isNotNull()
         conflicts = people.groupBy("arquivo", "curso_normalizado", "periodo", "numero_sequencial").agg(F.count_distinct("nome_chave").alias("names")).where("names > 1")
-        anywhere = Window.partitionBy(*[c for c in IDENTITY if c != "arquivo"])
-        overlaps = people.select("arquivo", (F.min("arquivo").over(anywhere) < F.max("arquivo").over(anywhere)).alias("both")).where("both")
         parts = [
             self._lines.select("doc_id", F.col("page_no").cast("int").alias("page_no"), F.col("i").alias("line"), F.explode(F.array_compact(own)).alias("code")),
             self._blank.select("doc_id", F.col("page_no").cast("int").alias("page_no"), none.alias("line"), F.lit("no_text").alias("code")),
             of(self._nth.where(~F.col("first").eqNullSafe(F.struct("turno", "tipo_ingresso"))), "diverging_repeat"),
             of(conflicts.select("arquivo").distinct(), "sequence_conflict"),
             of(self._homonyms.select("arquivo", "curso_normalizado", "periodo", "nome_chave").distinct(), ADVISORY),
-            of(overlaps.distinct(), "overlap"),
+            of(self.overlaps.withColumnRenamed("doc_id", "arquivo"), "overlap"),
             self._counts.select("doc_id", none.alias("page_no"), none.alias("line"), many(
                 unknown_kind=~known, no_records=known & (F.col("registros_unicos") == 0), several_totals=known & F.col("several"), total_mismatch=known & (F.col("total_pdf") != F.col("registros_unicos")))),
         ]

@@ -396,7 +396,7 @@ def document_group_counts(spark, sf_dir):
 def cross_document_overlap(spark, sf_dir):
     pages = _stored(bridge.rosters(spark, sf_dir))
     copies = pages.where("doc_id LIKE 'concluinte%'").withColumn("doc_id", F.concat(F.lit("copy "), "doc_id"))
-    return extract.extract(pages.union(copies), reuse=True).warnings.where("code = 'overlap'").select("doc_id")
+    return extract.extract(pages.union(copies)).overlaps
 
 
 @query(f"WITH {ROSTER}, d AS (SELECT arquivo, min(record_id) AS first FROM roster GROUP BY arquivo) SELECT arquivo, 'documento_' || lpad((row_number() OVER (ORDER BY first))::VARCHAR, 3, '0') AS label FROM d")

@@ -289,6 +289,14 @@ def test_reuse_changes_nothing(spark):
     assert held() <= before
 
 
+def test_overlaps_by_themselves_are_those_of_the_warnings(spark):
+    rows = [("a", 1, page([ANA, ANA, JULIO])), ("b", 1, page([ANA])), ("c", 1, page([JULIO.replace("2", "3"), JULIO.replace("2", "3")]))]
+    pages = spark.createDataFrame(rows, "doc_id string, page_no int, text string")
+    got = extract.extract(pages).overlaps
+    assert sorted(r.doc_id for r in got.collect()) == ["a", "b"]
+    assert sorted(r.doc_id for r in extract.extract(pages, reuse=True).warnings.where("code = 'overlap'").collect()) == ["a", "b"]
+
+
 @pytest.mark.parametrize("change", [{"schema_version": 2}, {"analysis_at": "yesterday"}, {"rows": 1}])
 def test_envelope(change):
     good = {"schema_version": 1, "generated_at": "2026-01-01T00:00:00+00:00", "analysis_at": "2026-01-01T00:00:00"}
