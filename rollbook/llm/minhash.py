@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.hashed import mixed, words_of
-from rollbook.llm.shared import cut, shuffle_parts, sifted
+from rollbook.llm.shared import cut, shuffle_parts, sifted, small_batches
 
 #: Signature: BANDS * ROWS coordinates. A pair at similarity 0.8 shares no band with a chance of (1 - 0.8 ** 4) ** 28 < 4e-7.
 BANDS, ROWS = 28, 4
@@ -26,7 +26,7 @@ SMALL = 16
 #: Tasks that the rows of one band are dealt over where they meet the least document of its bucket.
 SALTS = 4
 #: Bytes of text that are hashed together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each lower-cased text's shingles of ``width`` words."""
@@ -35,7 +35,8 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     with np.errstate(over="ignore"):
         joint = h.copy()
         for k in range(1, width):
-            joint[: len(h) - k] = mixed(joint[: len(h) - k] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
+            n = max(0, len(h) - k)  # texts may have fewer words than a shingle, even together
+            joint[:n] = mixed(joint[:n] * np.uint64(0xD6E8FEB86659FD93) + h[k:])
         at = 0
         for n in counts:
             if n >= width:
@@ -257,6 +258,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     long text is hashed by itself, whole. Other columns of ``docs``, whatever their names, play no part. An empty table gives
     an empty one. ``LEEWAY`` is the share by which estimated similarity may fall below the one asked for; 1 looks at all candidates.
     """
+    small_batches(docs.sparkSession)
     found = cut(signatures(docs, doc_id, text, width, n_bands, n_rows))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     classes = found.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).where("rep IS NOT NULL")

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import cut, free, row_key
+from rollbook.llm.shared import cut, free, row_key, small_batches
 from rollbook.sources.shared import spread_join
 
 #: The kinds in the order that breaks ties. ``live`` is what the method adds. Fixed values.
@@ -80,6 +80,7 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo:
     make its values examples. The counts are of distinct (value, repository) and (value, owner) pairs, merged before
     they are shuffled by value; findings of a value that very many texts hold are dealt over all tasks. A null repository or owner is one of its own.
     """
+    small_batches(docs.sparkSession)
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     known = lambda c: F.coalesce(as_col(c).cast("string"), F.lit("\x00"))
     rows = docs.select(row_key(doc_id, text).alias("row_key"), known(repo).alias("repo"), known(owner).alias("owner"), F.col(text).alias("text"))

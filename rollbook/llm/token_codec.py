@@ -374,18 +374,16 @@ def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
     starts = starts.join(parts, "part").select("part", "nth", (F.col("part_start") + F.col("in_part")).alias("block_start"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), LANES):
-                few = batch.iloc[a : a + LANES]
-                rows = []
-                for part, nth, (docs, ids) in zip(few["part"], few["nth"], read_blocks(few["block"].tolist())):
-                    at = 0
-                    for key, before, n in docs.tolist():
-                        own = ids[at : at + n].tobytes()
-                        rows.append((part, nth, None if key == NO_ID else key, at - before, before, n, zlib.crc32(own), own if with_ids or before or n == BLOCK else None))
-                        at += n
-                out = pd.DataFrame(rows, columns=_PIECE)
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        for few in _together(batches, LANES):
+            rows = []
+            for part, nth, (docs, ids) in zip(few["part"], few["nth"], read_blocks(few["block"].tolist())):
+                at = 0
+                for key, before, n in docs.tolist():
+                    own = ids[at : at + n].tobytes()
+                    rows.append((part, nth, None if key == NO_ID else key, at - before, before, n, zlib.crc32(own), own if with_ids or before or n == BLOCK else None))
+                    at += n
+            out = pd.DataFrame(rows, columns=_PIECE)
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     piece = files.select("part", "nth", "block").mapInPandas(each, "part int, nth long, doc_id long, shift long, before long, n long, crc long, ids binary")
     # a row for each piece; only documents of several pieces bring their ids along
@@ -396,6 +394,21 @@ def read_tokens(spark, folder: str, with_ids: bool = False) -> DataFrame:
     return whole.select("doc_id", "start", "n_tokens", F.when(F.col("pieces") == 1, F.col("crc")).otherwise(F.crc32(joined)).alias("ids_crc32"), *more)
 
 
+def _together(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """The rows of all batches, n at a time."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= n:
+            rows = pd.concat(held)
+            whole = size - size % n
+            yield from (rows.iloc[a : a + n] for a in range(0, whole, n))
+            held, size = [rows.iloc[whole:]], size - whole
+    if size:
+        yield pd.concat(held)
+
+
 _PIECE = ["part", "nth", "doc_id", "shift", "before", "n", "crc", "ids"]
 
 

@@ -105,3 +105,10 @@ def test_two_families_that_share_bands_make_few_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(minhash.near_duplicates(df)) == brute(rows)
     assert seen[-1] < 20 * len(rows)
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_chunks_of_fewer_words_than_a_shingle(width):
+    for texts in ([b""], [b"one"], [b"a b"], [b"a few words", b""], [b"one two three four"], [b"a", b"b"]):
+        got = list(minhash.shingle_sets(texts, width))
+        assert [len(x) for x in got] == [max(1, n - width + 1) if (n := len(t.split())) else 0 for t in texts]

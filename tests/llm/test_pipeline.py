@@ -11,7 +11,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from rollbook.llm import mixing, quality_rules
+from rollbook.llm import bpe, minhash, mixing, quality_rules, secret_scan
+from rollbook.llm.shared import BATCH_BYTES, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ASSIGN = r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -155,3 +156,25 @@ def test_near_duplicates_shuffle_few_of_the_texts(spark):
     before = written()
     got = Counter(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == Counter([*range(150), 7]) and written() - before < 0.5 * sum(map(len, texts))
+
+
+def test_python_gets_few_texts_at_a_time(spark, monkeypatch):
+    """The operators of the stages have rows of 12 MB in one partition reach Python in batches of about BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a few words", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    sizes = lambda batches: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in batches)
+
+    def stop(*args):
+        raise StopIteration
+
+    for module, name, operator in ((minhash, "signatures", minhash.near_duplicates), (secret_scan, "row_key", secret_scan.redact), (bpe, "build_lexicon", lambda d: bpe.encode_decode(d, ""))):
+        spark.conf.unset(key)
+        monkeypatch.setattr(module, name, stop)
+        with pytest.raises(StopIteration):
+            operator(docs)
+        large = spark.range(0, 1200, 1, 1).selectExpr("repeat('x', 10000) AS text").mapInPandas(sizes, "n long").toPandas()["n"]
+        assert large.sum() == 12_000_000 and large.max() <= 1.1 * BATCH_BYTES
+    spark.conf.set(key, "2m")
+    small_batches(spark)
+    assert spark.conf.get(key) == "2m"
+    spark.conf.unset(key)

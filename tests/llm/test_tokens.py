@@ -4,6 +4,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -151,3 +152,10 @@ def test_a_long_text_lies_in_several_blocks(spark, tmp_path):
     text = " ".join(f"word{k % 977}" for k in range(3 * token_codec.BLOCK))
     token_codec.write_tokens(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string"), WORD, f"file://{tmp_path}/a")
     check_files([(1, text), (2, "x")], token_codec.read_tokens(spark, f"file://{tmp_path}/a").collect())
+
+
+def test_blocks_of_several_batches_are_decoded_together():
+    frames = [pd.DataFrame({"n": range(a, b)}) for a, b in ((0, 3), (3, 4), (4, 4), (4, 17), (17, 19))]
+    got = [x["n"].tolist() for x in token_codec._together(iter(frames), 5)]
+    assert [len(x) for x in got] == [5, 5, 5, 4] and sum(got, []) == list(range(19))
+    assert list(token_codec._together(iter([]), 5)) == []
