@@ -26,7 +26,7 @@ TRUST = 2
 #: Passes, windows of a step, rates of the first and the second half, and starts of the fit, of which the one with the least loss is taken.
 EPOCHS, STEP, RATES, STARTS = 6, 64, (0.003, 0.0012), 3
 #: Bytes of text, windows, and words that are worked on together.
-CHUNK, BLOCK, BATCH = 1 << 21, 2048, 16_384
+CHUNK, BLOCK, BATCH = 1 << 21, 4096, 16_384
 
 
 def _bytes(texts: Iterable) -> list[bytes]:
@@ -145,6 +145,14 @@ class Lesson(Inputs):
         self.odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((n_docs - toxic + 0.5) / (len(labels) - n1 + 1))
         self.known = _found(self.vocabulary, joined(2)[first])
 
+    def narrow(self) -> np.ndarray:
+        """Leave the words that have no vector of their own out of the vocabulary, as they would never learn; the places of those that stay."""
+        stay = np.flatnonzero(self.trust)
+        place = np.full(len(self.trust) + 1, -1)  # the last is for words without letters
+        place[stay] = np.arange(len(stay))
+        self.vocabulary, self.trust, self.odds, self.known = self.vocabulary[stay], self.trust[stay], self.odds[stay], place[self.known]
+        return stay
+
     def placed(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _placed(*self.windows.at(which)[:2], self.of_word)
 
@@ -188,52 +196,38 @@ def _run(params: dict, gate_of, on: np.ndarray, kept: dict | None = None) -> np.
     return ((states.reshape(-1, 2 * STATE) @ params["out"]).reshape(length, n) * weight).sum(axis=0) + params["out_b"]
 
 
-def _upturned(x: np.ndarray) -> np.ndarray:
-    """1 / (1 + exp(x)) in place: the sigmoid of -x. numpy has a much faster exp than tanh for these numbers; beyond the largest it is 0, as it should be."""
-    with np.errstate(over="ignore"):
-        np.exp(x, out=x)
-    x += np.float32(1)
-    return np.reciprocal(x, out=x)
-
-
-def _tanh(x: np.ndarray) -> np.ndarray:
-    """tanh in place, by ``_upturned``."""
-    x *= np.float32(2)
-    _upturned(x)
-    x *= np.float32(-2)
-    x += np.float32(1)
-    return x
-
-
 def _logits(params: dict, gates: dict[str, np.ndarray], n: int) -> np.ndarray:
     """Logit of n full windows that start one word after the other. gates: input gates by direction, a row for each gate and a column for each of the
-    n + WINDOW - 1 words, so that every step works on whole rows."""
+    n + WINDOW - 1 words, so that every step works on whole rows. The sigmoids are tanhs of half their input: the halves are in the weights."""
     states = np.empty((WINDOW, 2 * STATE, n), np.float32)
-    act, new = np.empty((2 * STATE, n), np.float32), np.empty((STATE, n), np.float32)
+    act, new, pre = np.empty((2 * STATE, n), np.float32), np.empty((STATE, n), np.float32), np.empty((3 * STATE, n), np.float32)
+    half = np.repeat(np.array([0.5, 1], np.float32), [2 * STATE, STATE])[:, None]
     for d, side in enumerate("fb"):
-        u = np.ascontiguousarray(params[f"u_{side}"].T)
+        u, of = params[f"u_{side}"].T * half, gates[side] * half
         h = np.zeros((STATE, n), np.float32)
         for t in range(WINDOW) if side == "f" else range(WINDOW - 1, -1, -1):
-            gate, pre = gates[side][:, t : t + n], u @ h
+            gate = of[:, t : t + n]
+            np.matmul(u, h, out=pre)
             np.add(gate[: 2 * STATE], pre[: 2 * STATE], out=act)
-            np.negative(act, out=act)
-            _upturned(act)
+            np.tanh(act, out=act)
+            act *= np.float32(0.5)
+            act += np.float32(0.5)
             np.multiply(act[:STATE], pre[2 * STATE :], out=new)
             new += gate[2 * STATE :]
-            _tanh(new)
+            np.tanh(new, out=new)
             after = states[t, d * STATE : (d + 1) * STATE]
             np.subtract(h, new, out=after)
             after *= act[STATE:]
             after += new
             h = after
     attend, bias, pick = np.ascontiguousarray(params["attend"].T), params["attend_b"][:, None], params["pick"]
-    weight = np.empty((WINDOW, n), np.float32)
-    value = np.empty((WINDOW, n), np.float32)
+    weight, value, seen = np.empty((WINDOW, n), np.float32), np.empty((WINDOW, n), np.float32), np.empty((STATE, n), np.float32)
     for t in range(WINDOW):
-        seen = attend @ states[t]
+        np.matmul(attend, states[t], out=seen)
         seen += bias
-        weight[t] = pick @ _tanh(seen)
-        value[t] = params["out"] @ states[t]
+        np.tanh(seen, out=seen)
+        np.matmul(pick, seen, out=weight[t])
+        np.matmul(params["out"], states[t], out=value[t])
     np.exp(np.clip(weight, -30, 30, out=weight), out=weight)
     return (value * weight).sum(axis=0) / weight.sum(axis=0) + params["out_b"]
 
@@ -324,7 +318,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float | None = None, seed
     some = lambda *shape: (rng.standard_normal(shape) * shape[0] ** -0.5).astype(np.float32)
     params = {"words": (rng.standard_normal((max(1, n_words), WORD_DIM)) * 0.05).astype(np.float32), "grams": (rng.standard_normal((GRAMS, CHAR_DIM)) * 0.05).astype(np.float32)}
     params["words"][:n_words, 0] = np.clip(lesson.odds, -4, 4) / 2
-    params["trust"] = np.append(lesson.trust, np.float32(0))[: max(1, n_words)]
+    stay = lesson.narrow()
+    params["words"] = params["words"][stay] if len(stay) else params["words"][:1]
+    params["trust"] = np.append(lesson.trust, np.float32(0))[: len(params["words"])]
     for side in "fb":
         params |= {f"w_{side}": some(WORD_DIM + CHAR_DIM, 3 * STATE), f"u_{side}": some(STATE, 3 * STATE), f"b_{side}": np.zeros(3 * STATE, np.float32)}
     share = (n1 + 0.5) / (len(labels) + 1) if share is None else share

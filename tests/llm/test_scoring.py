@@ -125,6 +125,24 @@ def test_windows_in_rows_against_windows_in_columns():
         assert np.allclose(got, toxicity.forward(params, gates, at, on), atol=1e-4)
 
 
+def test_only_attention_takes_exponentials(monkeypatch):
+    """Gates are tanhs: a block has one exponential for each window and word, and no reciprocals."""
+    rng, n, s = np.random.default_rng(5), 100, toxicity.STATE
+    some = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+    params = {"u_f": some(s, 3 * s), "u_b": some(s, 3 * s), "attend": some(2 * s, s), "attend_b": some(s), "pick": some(s), "out": some(2 * s), "out_b": some(1)}
+    seen = {"exp": 0, "reciprocal": 0}
+
+    class Counted:
+        def __getattr__(self, name):
+            if name in seen:
+                return lambda x, *args, **more: (seen.__setitem__(name, seen[name] + x.size), getattr(np, name)(x, *args, **more))[1]
+            return getattr(np, name)
+
+    monkeypatch.setattr(toxicity, "np", Counted())
+    toxicity._logits(params, {side: some(3 * s, n + toxicity.WINDOW - 1) for side in "fb"}, n)
+    assert seen == {"exp": toxicity.WINDOW * n, "reciprocal": 0}
+
+
 def test_each_start_is_a_task_of_its_own(spark, monkeypatch):
     """Two starts in one task take twice as long as two tasks."""
     import types
