@@ -125,6 +125,15 @@ def test_windows_in_rows_against_windows_in_columns():
         assert np.allclose(got, toxicity.forward(params, gates, at, on), atol=1e-4)
 
 
+def test_the_model_holds_only_words_that_learn():
+    texts = [f"common words here only{k}".encode() for k in range(20)] + [b"", b"12 !!"]
+    model = toxicity.fit(texts, np.array([1.0, 0.0] * 11))
+    assert sorted(model["vocabulary"]) == sorted({int(h) for h in toxicity.cores(words_of([b"common words here only"]))}) and len(model["words"]) == 4
+    for few in ([], [b""], [b"one", b"two"], [b"12", b"!!"]):  # no word has a vector of its own
+        model = toxicity.fit(few, np.array([1.0, 0.0][: len(few)]), 0.5)
+        assert len(model["vocabulary"]) == 0 and np.isfinite(toxicity.scores(model, [b"one more", b"", b"12"])).all()
+
+
 def test_only_attention_takes_exponentials(monkeypatch):
     """Gates are tanhs: a block has one exponential for each window and word, and no reciprocals."""
     rng, n, s = np.random.default_rng(5), 100, toxicity.STATE
